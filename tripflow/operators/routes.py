@@ -60,9 +60,10 @@ def normalise_routes(responses: DataFrame) -> DataFrame:
     is_legs = provider == "google"
     path = "$.features[0].geometry.coordinates"
     line = F.try_variant_get("doc", path, "array<array<double>>")
-    lines = F.when(provider == "geoapify", F.try_variant_get("doc", path, "array<array<array<double>>>")[0])
-    no_points = F.array().cast("array<array<double>>")
-    coordinates = F.when(~is_legs, from_lon_lat(F.coalesce(line, lines, no_points)))
+    first_line = F.try_variant_get("doc", f"{path}[0]", "array<array<double>>")
+    many = (provider == "geoapify") & F.try_variant_get("doc", f"{path}[0][0]", "double").isNull()
+    pairs = F.coalesce(F.when(many, first_line).otherwise(line), F.array().cast("array<array<double>>"))
+    coordinates = F.when(~is_legs, from_lon_lat(pairs))
     found = F.when(is_legs, F.schema_of_variant(F.try_variant_get("doc", "$.routes[0]", "variant"))).otherwise(
         F.schema_of_variant(F.try_variant_get("doc", "$.features[0]", "variant"))
     )

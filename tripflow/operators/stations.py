@@ -48,27 +48,23 @@ def row_mean(values: list[Column]) -> Column:
     """Mean of the non-null values, null when there are none."""
     if not values:
         return F.lit(None).cast("double")
-    n = _count(values)
-    return F.when(n > 0, _total([_zero_if_null(v) for v in values]) / n)
+    return F.try_divide(_total([_zero_if_null(v) for v in values]), _count(values))
 
 
-def row_std(values: list[Column]) -> Column:
+def row_std(values: list[Column], mean: Column) -> Column:
     """Population standard deviation of the non-null values; 0 for a single one."""
-    mean = row_mean(values)
-    squares = _total([_zero_if_null((v - mean) * (v - mean)) for v in values])
-    n = _count(values)
-    return F.when(n > 0, F.sqrt(squares / n))
+    squares = _total([_zero_if_null(F.pow(v - mean, 2)) for v in values])
+    return F.sqrt(F.try_divide(squares, _count(values)))
 
 
-def row_slope(values: list[Column], years: list[int]) -> Column:
-    """Least-squares slope over the non-null years, null below two of them."""
-    first = years[0]
-    present = [F.when(v.isNotNull(), float(y - first)) for v, y in zip(values, years)]
-    n = _count(values)
-    mean_x, mean_y = row_mean(present), row_mean(values)
-    cross = _total([_zero_if_null((x - mean_x) * (v - mean_y)) for x, v in zip(present, values)])
-    spread = _total([_zero_if_null((x - mean_x) * (x - mean_x)) for x in present])
-    return F.when(n >= 2, cross / spread)
+def row_slope(values: list[Column], years: list[Column], mean: Column, mean_year: Column) -> Column:
+    """Least-squares slope over the non-null years, null below two of them.
+
+    ``years`` are null where the value is.
+    """
+    cross = _total([_zero_if_null((x - mean_year) * (v - mean)) for x, v in zip(years, values)])
+    spread = _total([_zero_if_null(F.pow(x - mean_year, 2)) for x in years])
+    return F.try_divide(cross, spread)
 
 
 def attribute_rows(annual: DataFrame) -> DataFrame:
@@ -99,19 +95,27 @@ def typed_stations(merged: DataFrame, prefer: str = "serving") -> DataFrame:
 def yearly_features(typed: DataFrame) -> DataFrame:
     years, trucks = volume_years(typed.columns), truck_years(typed.columns)
     latest = years[-1]
-    slope_years, rolling_years = years[-SLOPE_YEARS:], years[-ROLLING_YEARS:]
-    rolling = [F.col(f"AADT_{y}") for y in rolling_years]
+    rolling = [F.col(f"AADT_{y}") for y in years[-ROLLING_YEARS:]]
+    sloped = [F.col(f"AADT_{y}") for y in years[-SLOPE_YEARS:]]
+    # counted from the first year, for accuracy
+    offsets = [F.when(v.isNotNull(), float(y - years[0])) for v, y in zip(sloped, years[-SLOPE_YEARS:])]
     truck_latest = F.col(f"TRUCK_{latest}") if latest in trucks else F.lit(None).cast("double")
-    return typed.withColumns(
+    means = typed.withColumns(
         {
             "AADT_LATEST": F.col(f"AADT_{latest}"),
-            "AADT_TREND_SLOPE": row_slope([F.col(f"AADT_{y}") for y in slope_years], slope_years),
             "AADT_MEAN_3YR": row_mean(rolling),
-            "AADT_STD_3YR": row_std(rolling),
             "TRUCK_PCT_MEAN": row_mean([F.col(f"TRUCK_{y}") for y in trucks]),
             "TRUCK_PCT_LATEST": truck_latest,
+            "_mean": row_mean(sloped),
+            "_mean_year": row_mean(offsets),
         }
     )
+    return means.withColumns(
+        {
+            "AADT_STD_3YR": row_std(rolling, F.col("AADT_MEAN_3YR")),
+            "AADT_TREND_SLOPE": row_slope(sloped, offsets, F.col("_mean"), F.col("_mean_year")),
+        }
+    ).drop("_mean", "_mean_year")
 
 
 def station_table(old: DataFrame, new: DataFrame, annual: DataFrame, prefer: str = "serving") -> DataFrame:

@@ -42,8 +42,12 @@ def labelled(stations: DataFrame) -> DataFrame:
 
 
 def training_table(stations: DataFrame) -> DataFrame:
-    """Features, label and ``is_test``."""
-    rows = labelled(stations)
+    """Features, label and ``is_test``.
+
+    Threshold and split read the table several times, so the merge behind it is
+    written out once.
+    """
+    rows = cut_lineage(labelled(cut_lineage(stations)))
     split = stratified_split(rows, LABEL, [c for c in IDENTITY if c in rows.columns], TEST_SIZE, SEED)
     return feature_contract(split, keep=[LABEL, "is_test"])
 
@@ -111,10 +115,9 @@ def with_probability(rows: DataFrame, model: PipelineModel) -> DataFrame:
 
 def score_stations(stations: DataFrame, model: PipelineModel) -> DataFrame:
     """(station_id, lat, lon, probability): every station once, reused by every trip."""
-    rows = stations.withColumn("station_id", F.col("STATION_ID"))
-    shaped = feature_contract(rows.drop("STATION_ID"), keep=["station_id"])
+    shaped = feature_contract(stations, keep=["STATION_ID"])
     return with_probability(shaped, model).select(
-        "station_id", F.col("LAT").alias("lat"), F.col("LON").alias("lon"), "probability"
+        F.col("STATION_ID").alias("station_id"), F.col("LAT").alias("lat"), F.col("LON").alias("lon"), "probability"
     )
 
 

@@ -146,5 +146,8 @@ def trip_records(trips: DataFrame) -> DataFrame:
 
 
 def split_unscored(trips: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scored trips, and those no station was in reach of."""
+    """Scored trips, and those no station was in reach of.
+
+    Meant for a written result table: on a plan the scoring would run twice.
+    """
     return trips.where(F.col("p_final").isNotNull()), trips.where(F.col("p_final").isNull())

@@ -471,7 +471,10 @@ def polyline_encode(spark, sf_dir):
 def geojson_line(spark, sf_dir):
     made = routes.lines_from_points(fx.route_points(spark, sf_dir), "route_id", "seq", "lat", "lon")
     rounded = F.transform(
-        "line", lambda p: F.struct(F.round(p["lat"], 2).alias("lat"), F.round(p["lon"], 4).alias("lon"))
+        "line",
+        lambda p: F.struct(
+            coerce.round_half_even(p["lat"], 2).alias("lat"), coerce.round_half_even(p["lon"], 4).alias("lon")
+        ),
     )
     return made.select("route_id", F.to_json(lines.geojson_line(rounded)).alias("geojson"))
 

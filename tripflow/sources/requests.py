@@ -20,31 +20,51 @@ def read_request_bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("trip_id long, request_ts timestamp, body string").json(path)
 
 
-def _present(path: str) -> Column:
-    """Whether the key exists, even with a null value."""
-    return F.try_variant_get("doc", path, "variant").isNotNull()
+POINT_FIELDS = ["origin.lat", "origin.lon", "destination.lat", "destination.lon"]
+OPTION_FIELDS = ["leave_in_minutes", "leave_in", "live", "router", "polyline_format"]
 
 
-def _text(path: str) -> Column:
-    return F.try_variant_get("doc", path, "string")
+def _extracted(bodies: DataFrame) -> DataFrame:
+    """Each field once: its text, and for options the JSON kind, null when the key is absent."""
 
+    def text(path: str) -> Column:
+        return F.try_variant_get("doc", f"$.{path}", "string")
 
-def _minutes(path: str) -> Column:
-    """Whole minutes; missing, null, zero and empty are 0; null when not a number."""
-    text = F.trim(_text(path))
-    kind = F.schema_of_variant(F.try_variant_get("doc", path, "variant"))
-    whole_text = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
-    number = F.when(kind == "STRING", whole_text).otherwise(text.try_cast("double").try_cast("int"))
-    truth = F.when(kind == "BOOLEAN", (text == "true").cast("int"))
-    return F.when(text.isNull() | (text == ""), 0).otherwise(F.coalesce(truth, number))
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("doc", f"$.{path}", "variant"))
 
+    fields = F.struct(
+        F.col("doc").isNotNull().alias("is_json"),
+        *[to_number(text(f)).alias(f.replace(".", "_")) for f in POINT_FIELDS],
+        text("roadway").alias("roadway"),
+        kind("roadway").alias("roadway_kind"),
+        *[text(f).alias(f) for f in OPTION_FIELDS],
+        *[kind(f).alias(f"{f}_kind") for f in OPTION_FIELDS],
+    )
+    # Generating one row per body keeps later filters on these fields from being
+    # pushed below the parsing, which would then run once per use.
+    return bodies.withColumn("doc", F.try_parse_json("body")).select(
+        "trip_id", "request_ts", F.inline(F.array(fields))
+    )
+
+
+def _minutes(field: str) -> Column:
+    """Whole minutes; null, zero and empty are 0; null when not a whole number."""
+    text, kind = F.trim(field), F.col(f"{field}_kind")
+    whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+    return (
+        F.when(kind.isNull() | text.isNull() | (text == ""), 0)
+        .when(kind == "STRING", whole)
+        .when(kind == "BOOLEAN", (text == "true").cast("int"))
+        .otherwise(text.try_cast("double").try_cast("int"))
+    )
 
-def _truthy(path: str, default: bool) -> Column:
+
+def _truthy(field: str, default: bool) -> Column:
     """Truth value as scripts see it: null, 0, empty text, list and object are false."""
-    kind = F.schema_of_variant(F.try_variant_get("doc", path, "variant"))
-    text = _text(path)
+    text, kind = F.col(field), F.col(f"{field}_kind")
     return (
-        F.when(~_present(path), default)
+        F.when(kind.isNull(), default)
         .when(text.isNull(), False)
         .when(kind == "STRING", text != "")
         .when(kind == "BOOLEAN", text == "true")
@@ -53,38 +73,37 @@ def _truthy(path: str, default: bool) -> Column:
     )
 
 
+def _option(field: str, default: str) -> Column:
+    """Text of the option; an explicit null reads as the word None, a missing key as the default."""
+    return F.when(F.col(f"{field}_kind").isNull(), default).otherwise(F.coalesce(field, F.lit("None")))
+
+
 def parse_requests(bodies: DataFrame) -> DataFrame:
     """(trip_id, request_ts, body) to typed requests plus ``reason``, null when accepted."""
-    parsed = bodies.withColumn("doc", F.try_parse_json("body"))
-    point = {
-        name: to_number(_text(f"$.{name}")) for name in
-        ("origin.lat", "origin.lon", "destination.lat", "destination.lon")
-    }
-    complete = _present("$.roadway")
-    for value in point.values():
-        complete = complete & value.isNotNull()
-    leave_in = F.when(_present("$.leave_in_minutes"), _minutes("$.leave_in_minutes")).otherwise(
-        _minutes("$.leave_in")
+    fields = _extracted(bodies)
+    complete = F.col("roadway_kind").isNotNull()
+    for name in POINT_FIELDS:
+        complete = complete & F.col(name.replace(".", "_")).isNotNull()
+    leave_in = F.when(F.col("leave_in_minutes_kind").isNotNull(), _minutes("leave_in_minutes")).otherwise(
+        _minutes("leave_in")
     )
-    return parsed.select(
+
+    def point(name: str) -> Column:
+        return F.struct(F.col(f"{name}_lat").alias("lat"), F.col(f"{name}_lon").alias("lon")).alias(name)
+
+    return fields.withColumn("minutes", leave_in).select(
         "trip_id",
         "request_ts",
-        F.trim(F.coalesce(_text("$.roadway"), F.lit("None"))).alias("roadway"),
-        F.struct(point["origin.lat"].alias("lat"), point["origin.lon"].alias("lon")).alias("origin"),
-        F.struct(point["destination.lat"].alias("lat"), point["destination.lon"].alias("lon")).alias(
-            "destination"
-        ),
-        leave_in.alias("leave_in_minutes"),
-        _truthy("$.live", True).alias("live"),
-        F.when(_present("$.router"), F.coalesce(_text("$.router"), F.lit("None")))
-        .otherwise(DEFAULT_ROUTER)
-        .alias("router"),
-        F.when(_present("$.polyline_format"), F.coalesce(_text("$.polyline_format"), F.lit("None")))
-        .otherwise(DEFAULT_POLYLINE_FORMAT)
-        .alias("polyline_format"),
-        F.when(F.col("doc").isNull(), BAD_JSON)
+        F.trim(F.coalesce("roadway", F.lit("None"))).alias("roadway"),
+        point("origin"),
+        point("destination"),
+        F.col("minutes").alias("leave_in_minutes"),
+        _truthy("live", True).alias("live"),
+        _option("router", DEFAULT_ROUTER).alias("router"),
+        _option("polyline_format", DEFAULT_POLYLINE_FORMAT).alias("polyline_format"),
+        F.when(~F.col("is_json"), BAD_JSON)
         .when(~complete, BAD_PAYLOAD)
-        .when(leave_in.isNull(), BAD_LEAVE_IN)
+        .when(F.col("minutes").isNull(), BAD_LEAVE_IN)
         .alias("reason"),
     )
 
