@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripflow.session import spread
+
 OLD_YEARS = [1995, 1996, 1997, 1998]
 NEW_YEARS = [1999, 2000, 2001]
 
@@ -90,7 +92,8 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed trip requests, one per order."""
-    return as_requests(table(spark, sf_dir, "orders"))
+    columns = ["o_orderkey", "o_custkey", "o_orderpriority"]
+    return as_requests(spread(table(spark, sf_dir, "orders").select(*columns)))
 
 
 def as_requests(orders: DataFrame) -> DataFrame:
@@ -120,7 +123,7 @@ def as_requests(orders: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_events(table(spark, sf_dir, "events"))
+    return as_events(spread(table(spark, sf_dir, "events")))
 
 
 def as_events(raw: DataFrame) -> DataFrame:

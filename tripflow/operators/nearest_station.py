@@ -44,7 +44,7 @@ CELL = ["cx", "cy"]
 
 @dataclass(frozen=True)
 class StationIndex:
-    cells: DataFrame  # level, cx, cy, near: array of stations
+    cells: DataFrame  # level, cx, cy, near: array of struct(phi, theta, cos, station)
     levels: DataFrame  # bx, by, levels: which levels have cells inside a base cell
     broadcast_cells: bool
     k: int
@@ -156,13 +156,19 @@ def build_station_index(
     rows = stations.dropna(subset=["lat", "lon"]).select(F.struct(*fields).alias("station"))
     pairs = cut_lineage(_prune(_base_pairs(_one_position_at_most(rows, k), max_miles), 0, k, max_miles))
     cells = pairs.select(*CELL).distinct()
+    entry = F.struct(
+        F.radians("station.lat").alias("phi"),
+        F.radians("station.lon").alias("theta"),
+        F.cos(F.radians("station.lat")).alias("cos"),
+        "station",
+    )
     level, finished = 0, []
     while True:
         sizes = pairs.groupBy(*CELL).count()
         long = sizes.where(F.col("count") > list_target).select(*CELL)
         last = level == MAX_LEVEL or long.isEmpty()
         done = pairs if last else pairs.join(long, CELL, "left_anti")
-        lists = done.groupBy(*CELL).agg(F.collect_list("station").alias("near"))
+        lists = done.groupBy(*CELL).agg(F.collect_list(entry).alias("near"))
         done_cells = cells if last else cells.join(long, CELL, "left_anti")
         # cells without any station in reach stay, with an empty list: the cells tile the map
         finished.append(
@@ -183,23 +189,27 @@ def build_station_index(
         F.floor(F.col("cx") / to_base).alias("bx"), F.floor(F.col("cy") / to_base).alias("by")
     ).agg(F.collect_set("level").alias("levels"))
     size = index.agg(F.count("*").alias("cells"), F.sum(F.size("near")).alias("entries")).first()
-    bytes_estimate = size["cells"] * 64 + (size["entries"] or 0) * (48 + 16 * len(payload))
+    bytes_estimate = size["cells"] * 64 + (size["entries"] or 0) * (72 + 16 * len(payload))
     return StationIndex(index, cut_lineage(levels), bytes_estimate <= broadcast_bytes, k, max_miles)
 
 
-def _neighbours(index: StationIndex, lat: Column, lon: Column) -> Column:
-    near = F.transform(
-        "_near",
-        lambda s: F.struct(haversine_miles(lat, lon, s["lat"], s["lon"]).alias("dist_miles"), s.alias("station")),
+def _neighbours(index: StationIndex) -> Column:
+    """The point's list ranked. Angles and cosines are computed ahead, once per point and station."""
+
+    def distance(s: Column) -> Column:
+        half_lat = F.sin((s["phi"] - F.col("_phi")) * 0.5)
+        half_lon = F.sin((s["theta"] - F.col("_theta")) * 0.5)
+        chord = F.pow(half_lat, 2) + F.col("_cos") * s["cos"] * F.pow(half_lon, 2)
+        return F.asin(F.sqrt(F.least(F.lit(1.0), chord))) * (2 * EARTH_RADIUS_MILES)
+
+    measured = F.transform(
+        "_near", lambda s: F.struct(distance(s).alias("dist_miles"), s["station"].alias("station"))
     )
-    near = F.filter(near, lambda s: s["dist_miles"] <= index.max_miles)
+    near = F.filter(measured, lambda s: s["dist_miles"] <= index.max_miles)
     ranked = F.transform(
-        near,
-        lambda s: F.struct(
-            F.rint(s["dist_miles"] * TIE_SCALE).alias("tie"), s["station"].alias("station"), s["dist_miles"]
-        ),
+        near, lambda s: F.struct(F.rint(s["dist_miles"] * TIE_SCALE).alias("tie"), s["station"], s["dist_miles"])
     )
-    return F.slice(F.array_sort(ranked), 1, index.k)
+    return F.slice(F.sort_array(ranked), 1, index.k)
 
 
 def nearest_stations(points: DataFrame, index: StationIndex, lat: Column, lon: Column) -> DataFrame:
@@ -220,7 +230,8 @@ def nearest_stations(points: DataFrame, index: StationIndex, lat: Column, lon: C
     found = placed.join(cells, ["_level", "_cx", "_cy"], "left").where(
         F.col("_near").isNotNull() | F.col("_level").isNull()
     )
-    return found.withColumn("neighbours", _neighbours(index, lat, lon)).select(*points.columns, "neighbours")
+    angles = {"_phi": F.radians(lat), "_theta": F.radians(lon), "_cos": F.cos(F.radians(lat))}
+    return found.withColumns(angles).select(*points.columns, _neighbours(index).alias("neighbours"))
 
 
 def neighbour_weight(distance: Column) -> Column:

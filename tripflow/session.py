@@ -51,3 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan with fewer splits than cores; larger scans stay as they are.
+
+    For plain scans only: counting the splits of a plan with shuffles would run it.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
