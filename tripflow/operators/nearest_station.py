@@ -35,6 +35,8 @@ BASE_DEGREES = 0.5  # at most 720 x 360 base cells, which bounds the level table
 SPLIT = 4  # a split cell becomes 4 x 4 cells
 MAX_LEVEL = 9  # 0.5 degrees / 4**9 is about eight inches
 SLACK_MILES = 1e-6
+# With evenly spread stations a list longer than three times k ends within five radii.
+NEARBY_RADII = 5.0
 # Distances closer than this count as equal and are ordered by station id, so
 # that rounding noise in trigonometric functions cannot decide a rank.
 TIE_SCALE = 1e8
@@ -125,7 +127,7 @@ def _prune(pairs: DataFrame, level: int, k: int, max_miles: float) -> DataFrame:
     return (
         measured.join(bound, CELL)
         .where(F.col("kth").isNull() | (F.col("d") <= F.col("kth") + 2 * radius + SLACK_MILES))
-        .select(*CELL, "station")
+        .select(*CELL, "station", (F.col("d") <= NEARBY_RADII * radius).alias("nearby"))
     )
 
 
@@ -164,8 +166,10 @@ def build_station_index(
     )
     level, finished = 0, []
     while True:
-        sizes = pairs.groupBy(*CELL).count()
-        long = sizes.where(F.col("count") > list_target).select(*CELL)
+        # Splitting shortens a list only where stations are dense around the cell itself.
+        # A far, tight group stays one bundle however small the cell, so it does not count.
+        sizes = pairs.groupBy(*CELL).agg(F.count_if("nearby").alias("nearby"))
+        long = sizes.where(F.col("nearby") > list_target).select(*CELL)
         last = level == MAX_LEVEL or long.isEmpty()
         done = pairs if last else pairs.join(long, CELL, "left_anti")
         lists = done.groupBy(*CELL).agg(F.collect_list(entry).alias("near"))
@@ -182,7 +186,7 @@ def build_station_index(
             break
         level += 1
         cells = _split(long)
-        pairs = cut_lineage(_prune(_split(pairs.join(long, CELL)), level, k, max_miles))
+        pairs = cut_lineage(_prune(_split(pairs.join(long, CELL).drop("nearby")), level, k, max_miles))
     index = cut_lineage(reduce(DataFrame.unionByName, finished))
     to_base = F.pow(F.lit(SPLIT), F.col("level"))
     levels = index.groupBy(
