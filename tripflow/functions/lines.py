@@ -23,17 +23,21 @@ def fixed_point(degrees: Column) -> Column:
     return F.rint(degrees * FIXED_POINT_SCALE).cast("long")
 
 
-def encode_step(step: Column) -> Column:
-    """One signed step as text: low chunks first, the last without continuation bit."""
-    zigzag = F.when(step < 0, -2 * step - 1).otherwise(2 * step)
-    chunks = []
+def zigzag(step: Column) -> Column:
+    """Signed step to a non-negative number, small for small steps of either sign."""
+    return F.when(step < 0, -2 * step - 1).otherwise(2 * step)
+
+
+def chunk_text(number: Column) -> Column:
+    """Low chunks first, the last without continuation bit."""
+    texts = []
     for i in range(MAX_CHUNKS):
-        rest = F.shiftright(zigzag, CHUNK_BITS * i)
-        chunk = rest.bitwiseAND(CHUNK_MASK)
-        chunk = chunk + F.when(rest > CHUNK_MASK, CONTINUATION_BIT).otherwise(0) + CHAR_OFFSET
+        rest = F.shiftright(number, CHUNK_BITS * i) if i else number
+        more = F.when(rest > CHUNK_MASK, CONTINUATION_BIT + CHAR_OFFSET).otherwise(CHAR_OFFSET)
+        text = F.char(rest.bitwiseAND(CHUNK_MASK) + more)
         # every chunk after the highest set one is absent
-        chunks.append(F.char(chunk) if i == 0 else F.when(rest > 0, F.char(chunk)).otherwise(""))
-    return F.concat(*chunks)
+        texts.append(text if i == 0 else F.when(rest > 0, text).otherwise(""))
+    return F.concat(*texts)
 
 
 def encode_polyline(line: Column) -> Column:
@@ -42,13 +46,13 @@ def encode_polyline(line: Column) -> Column:
         line, lambda p: F.struct(fixed_point(p["lat"]).alias("lat"), fixed_point(p["lon"]).alias("lon"))
     )
     origin = F.array(F.struct(F.lit(0).cast("long").alias("lat"), F.lit(0).cast("long").alias("lon")))
-    before = F.slice(F.concat(origin, grid), 1, F.size(grid))
+    before = F.slice(F.concat(origin, grid), 1, F.size(line))
     steps = F.zip_with(
         grid,
         before,
-        lambda p, q: F.struct((p["lat"] - q["lat"]).alias("lat"), (p["lon"] - q["lon"]).alias("lon")),
+        lambda p, q: F.struct(zigzag(p["lat"] - q["lat"]).alias("lat"), zigzag(p["lon"] - q["lon"]).alias("lon")),
     )
-    texts = F.transform(steps, lambda s: F.concat(encode_step(s["lat"]), encode_step(s["lon"])))
+    texts = F.transform(steps, lambda s: F.concat(chunk_text(s["lat"]), chunk_text(s["lon"])))
     return F.when(F.size(line) > 0, F.array_join(texts, ""))
 
 

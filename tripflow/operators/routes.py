@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripflow.functions.coerce import round_half_even, to_number
@@ -35,6 +36,7 @@ ROUTE_COLUMNS = [
     "encoded",
     "error",
 ]
+ANSWER_COLUMNS = ROUTE_COLUMNS[1:]
 
 
 def _number(path: str) -> Column:
@@ -115,17 +117,16 @@ def empty_routes(spark) -> DataFrame:
     )
 
 
-def preferred_routes(routes: DataFrame) -> DataFrame:
-    """One row per trip: its responses by provider, and the first by preference."""
+def ranked_routes(routes: DataFrame) -> DataFrame:
+    """One row per trip and provider, with ``is_first`` on the trip's preferred provider."""
     priority = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), F.col("provider"))
-    answer = F.struct(*[c for c in ROUTE_COLUMNS if c != "trip_id"])
-    one_each = [
-        F.first(F.when(F.col("provider") == p, answer), ignorenulls=True).alias(p) for p in PROVIDERS
-    ]
+    in_order = W.partitionBy("trip_id").orderBy(priority, F.desc("ok"), "distance_miles", "duration_minutes")
+    repeated = F.lag("provider").over(in_order) == F.col("provider")
     return (
         routes.where(F.col("provider").isin(*PROVIDERS))
-        .groupBy("trip_id")
-        .agg(*one_each, F.min_by(answer, priority).alias(ANY_ROUTER))
+        .withColumns({"is_first": F.row_number().over(in_order) == 1, "repeated": repeated})
+        .where(~F.coalesce("repeated", F.lit(False)))
+        .drop("repeated")
     )
 
 
@@ -133,21 +134,23 @@ def route_for(trips: DataFrame, routes: DataFrame) -> DataFrame:
     """``trips`` plus ``answer``, the response of the requested router, and ``route_error``.
 
     ``auto`` asks the first provider that answers for the trip and does not try
-    the next one when that answer is an error.
+    the next one when that answer is an error. Ranking and join share one
+    shuffle by trip, and only the answer columns in use are carried along.
     """
-    answers = preferred_routes(routes)
-    chosen = F.coalesce(*[F.when(F.col("router") == r, F.col(r)) for r in [*PROVIDERS, ANY_ROUTER]])
+    ranked = ranked_routes(routes).select(
+        F.col("trip_id").alias("_trip"), *[F.col(c).alias(f"_{c}") for c in ANSWER_COLUMNS], "is_first"
+    )
+    asked = (F.col("_provider") == F.col("router")) | ((F.col("router") == ANY_ROUTER) & F.col("is_first"))
     error = (
         F.when(F.col("router") == NO_ROUTER, ROUTING_DISABLED)
         .when(~F.col("router").isin(*PROVIDERS, ANY_ROUTER), F.concat(F.lit("unknown router "), F.col("router")))
-        .when(F.col("answer").isNull(), NO_PROVIDER)
-        .otherwise(F.col("answer.error"))
+        .when(F.col("_provider").isNull(), NO_PROVIDER)
+        .otherwise(F.col("_error"))
     )
-    return (
-        trips.join(answers, "trip_id", "left")
-        .withColumn("answer", chosen)
-        .withColumn("route_error", error)
-        .drop(*PROVIDERS, ANY_ROUTER)
+    return trips.join(ranked, (F.col("trip_id") == F.col("_trip")) & asked, "left").select(
+        *trips.columns,
+        F.struct(*[F.col(f"_{c}").alias(c) for c in ANSWER_COLUMNS]).alias("answer"),
+        error.alias("route_error"),
     )
 
 
