@@ -223,7 +223,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "after": (
         ["places", "timed", "moments", "conditions"],
-        """SELECT t.*, least(1e0, greatest(0e0, p_time + w.bump + incident_bump)) AS p_live, w.bump AS nws, incident_bump, events
+        # DuckDB's least and greatest skip nulls; a trip without a station must stay null
+        """SELECT t.*, CASE WHEN p_time IS NOT NULL THEN least(1e0, greatest(0e0, p_time + w.bump + incident_bump)) END AS p_live,
+        w.bump AS nws, incident_bump, events
         FROM timed t JOIN nearest USING (trip_id) JOIN moments w ON w.at = nearest.at, conditions""",
     ),
     "runs": (
