@@ -78,15 +78,15 @@ def null_direction(head: float, others: np.ndarray) -> np.ndarray:
 def flight(size: np.ndarray, prob: np.ndarray, seed: int, land: bool) -> np.ndarray:
     """Settled probabilities, all but two at most; with ``land`` those too.
 
-    Documents are settled from the largest to the smallest. The head's end, 0 or
-    1, is drawn by its probability; it moves there along the null-space of the
-    constraints over itself and the next ``WINDOW`` open documents, and where one
-    of those reaches a bound it is settled and the direction is found anew. The
-    last open document is the smallest, so its draw hardly changes a total.
+    Documents are settled from the largest to the smallest. The head moves along
+    the null-space of the constraints over itself and the next ``WINDOW`` open
+    documents until one of them reaches 0 or 1; which way is drawn so that every
+    probability keeps its mean. The last open document is the smallest, so its
+    draw hardly changes a total.
     """
     order = np.argsort(-size, kind="stable")
     sizes, out = size[order].astype(float), prob[order].astype(float)
-    coins = np.random.default_rng(seed).random(len(out))
+    coins = np.random.default_rng(seed).random(2 * len(out) + 1).tolist()
     left = int(((out > 0) & (out < 1)).sum())
 
     def following(at: int) -> np.ndarray:
@@ -104,19 +104,22 @@ def flight(size: np.ndarray, prob: np.ndarray, seed: int, land: bool) -> np.ndar
             break
         if not 0 < out[head] < 1:
             continue
-        end = 1.0 if coins[head] < out[head] else 0.0
-        while out[head] != end and len(rest := following(head)):
-            direction = null_direction(sizes[head], sizes[rest]) * (1 if end else -1)
-            room = np.where(direction > 0, 1 - out[rest], out[rest]) / np.maximum(np.abs(direction), 1e-300)
-            step = min(room.min(), abs(end - out[head]))
-            moved = out[rest] + step * direction
-            full = (room <= step * (1 + SETTLED)) | (moved < SETTLED) | (moved > 1 - SETTLED)
-            out[rest] = np.where(full, np.round(moved), moved)
-            left -= int(full.sum())
-            there = out[head] + (step if end else -step)
-            out[head] = end if abs(end - there) < SETTLED else there
-        out[head] = end
-        left -= 1
+        while 0 < out[head] < 1 and len(rest := following(head)):
+            group = np.concatenate([[head], rest])
+            direction = np.concatenate([[1.0], null_direction(sizes[head], sizes[rest])])
+            speed = np.maximum(np.abs(direction), 1e-300)
+            up, down = (1 - out[group]) / speed, out[group] / speed
+            ahead = np.where(direction > 0, up, down).min()
+            back = np.where(direction > 0, down, up).min()
+            step = ahead if coins.pop() * (ahead + back) < back else -back
+            moved = out[group] + step * direction
+            done = (moved < SETTLED) | (moved > 1 - SETTLED)
+            done[np.argmin(np.minimum(moved, 1 - moved))] = True
+            out[group] = np.where(done, np.round(moved), moved)
+            left -= int(done.sum())
+        if 0 < out[head] < 1:
+            out[head] = float(coins.pop() < out[head])
+            left -= 1
     settled = np.empty(len(out))
     settled[order] = out
     return settled

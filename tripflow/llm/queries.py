@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tripflow.llm.decontamination import OP1_SQL, op1_decontamination
 from tripflow.llm.mixing import op2_mixing
+from tripflow.llm.quality import op8_quality
 from tripflow.llm.sharding import op3_sharding
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_sharding, op8_quality)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
