@@ -32,10 +32,10 @@ def numbered(df: DataFrame, doc: list[str] | None = None, **columns: Column) ->
     path = new_folder(spark, "numbered")
     kept = [df[c] for c in (df.columns if doc is None else doc)]
     df.select(
-        F.struct(*kept).alias("doc"),
+        (F.struct(*kept) if kept else F.lit(None).cast("boolean")).alias("doc"),
         F.monotonically_increasing_id().alias("row_id"),
         *[c.alias(name) for name, c in columns.items()],
-    ).write.parquet(path)
+    ).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
