@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tripflow.llm.chat_format import OP5_SQL, op5_chat_format
 from tripflow.llm.decontamination import OP1_SQL, op1_decontamination
+from tripflow.llm.fingerprints import op7_fingerprints
 from tripflow.llm.mixing import op2_mixing
 from tripflow.llm.near_dedup import op10_near_dedup
 from tripflow.llm.quality import op8_quality
 from tripflow.llm.sharding import op3_sharding
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_sharding, op8_quality, op10_near_dedup)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_sharding, op5_chat_format, op7_fingerprints, op8_quality, op10_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_chat_format": OP5_SQL}
