@@ -9,6 +9,7 @@ from tripflow.llm.mixing import op2_mixing
 from tripflow.llm.near_dedup import op10_near_dedup
 from tripflow.llm.quality import op8_quality
 from tripflow.llm.sharding import op3_sharding
+from tripflow.llm.token_counts import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_sharding, op5_chat_format, op7_fingerprints, op8_quality, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_sharding, op4_token_counts, op5_chat_format, op7_fingerprints, op8_quality, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_chat_format": OP5_SQL}
