@@ -26,6 +26,7 @@ from tripflow.llm.common import documents, mix64, numbered, stored, with_columns
 SETTLED = 1e-9
 #: open documents that share in one move
 WINDOW = 32
+STEEPEST = 0.25
 #: documents a group starts with, and groups merged at each further level
 GROUP_ROWS = 1 << 14
 FAN_IN = 1 << 10
@@ -65,14 +66,20 @@ def source_targets(sizes: DataFrame, repeats: int) -> DataFrame:
 def null_direction(head: float, others: np.ndarray) -> np.ndarray:
     """How ``others`` move per unit that the head moves, so that count and words stay.
 
-    The smallest such move; where all others have one size that is not the
-    head's, both cannot stay and the words do.
+    The smallest such move. Where the others are too unlike the head for both,
+    one of them would have to move by more than ``STEEPEST``; then the words stay
+    and the count gives way.
     """
     n, mean = len(others), others.mean()
     spread = ((others - mean) ** 2).sum()
     if spread > 0:
-        return -1 / n - (others - mean) * (head - mean) / spread
-    return np.full(n, -(head / mean if mean else 1.0) / n)
+        both = -1 / n - (others - mean) * (head - mean) / spread
+        if np.abs(both).max() <= STEEPEST:
+            return both
+    elif head == mean:
+        return np.full(n, -1 / n)
+    squares = (others**2).sum()
+    return -head * others / squares if squares else np.full(n, -1 / n)
 
 
 def flight(size: np.ndarray, prob: np.ndarray, seed: int, land: bool) -> np.ndarray:
