@@ -35,8 +35,8 @@ ESCAPE = 31
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: contexts: symbols looked back on (0: the word so far), and bits of its hashed table's slots
-CONTEXTS = [(3, 15), (4, 18), (6, 19), (10, 19), (0, 19)]
-LONG, WORD = 3, 4
+CONTEXTS = [(3, 15), (5, 18), (8, 19), (0, 19)]
+LONG, WORD = 2, 3
 PAD = max(back for back, _ in CONTEXTS)
 #: slots of 32 counts in a block that is summed as one
 BLOCK_SLOTS = 1 << 11
@@ -46,12 +46,14 @@ WINDOW, STEP, LANES = 4096, 32, 128
 CHUNK = 1 << 21
 #: first weights by context: where long contexts are unknown, one is known, both are
 FIRST_WEIGHTS = np.array(
-    [[0.4, 0.4, 0.4, 0.1, 0.1], [0.2, 0.3, 0.2, 0.4, 0.2], [0.2, 0.3, 0.2, 0.2, 0.4], [0.1, 0.1, 0.15, 0.45, 0.3]],
+    [[0.6, 0.4, 0.1, 0.1], [0.3, 0.3, 0.45, 0.2], [0.3, 0.3, 0.2, 0.45], [0.15, 0.15, 0.5, 0.35]],
     dtype=np.float32,
 )
-WEIGHT_RATE, TABLE_RATE = 0.002, 0.02
+WEIGHT_RATE, TABLE_RATE = 0.003, 0.02
 #: tables hold log odds in sixteenths
 SCALE = 16
+#: input splits that one task counts, where that leaves every core a task
+SPLITS_PER_TASK = 4
 #: words whose counts every task knows; the rest is joined
 FREQUENT = 1 << 18
 
@@ -175,14 +177,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = 0
     for table in tables:
         for part in table.reshape(-1, 32 * min(BLOCK_SLOTS, len(table) // 32)):
-            used = np.flatnonzero(part)
-            if len(used):
-                packed = zlib.compress(used.astype(np.uint16).tobytes() + part[used].tobytes(), 1)
+            if part.any():
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([task], pa.int32()),
                         pa.array([block], pa.int32()),
-                        pa.array([packed], pa.binary()),
+                        pa.array([packed_counts(part)], pa.binary()),
                         pa.nulls(1, pa.binary()),
                         pa.nulls(1, pa.int64()),
                     ],
@@ -197,22 +197,26 @@ def blocks_of(bits: int) -> tuple[int, int]:
     return (1 << bits) // each, each
 
 
+def packed_counts(part: np.ndarray) -> bytes:
+    """The counts of a block, byte by byte of significance, so that the many zeros and small ones pack well."""
+    planes = part.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(planes[: max((i + 1 for i in range(4) if planes[i].any()), default=1)].tobytes(), 1)
+
+
 def _summed(packs) -> np.ndarray:
     """The sum of packed counts, as one block of the largest size."""
     total = np.zeros(32 * BLOCK_SLOTS, dtype=np.uint64)
     for packed in packs:
-        data = zlib.decompress(packed)
-        k = len(data) // 6
-        total[np.frombuffer(data, np.uint16, k)] += np.frombuffer(data, np.uint32, k, 2 * k).astype(np.uint64)
+        planes = np.frombuffer(zlib.decompress(packed), np.uint8)
+        for i, plane in enumerate(planes.reshape(-1, len(total))):
+            total += plane.astype(np.uint64) << np.uint64(8 * i)
     return total
 
 
 def _partly(pdf: pd.DataFrame) -> pd.DataFrame:
     # counts beyond 32 bits no longer change a prediction
     total = np.minimum(_summed(pdf["packed"]), 0xFFFFFFFF).astype(np.uint32)
-    used = np.flatnonzero(total)
-    packed = zlib.compress(used.astype(np.uint16).tobytes() + total[used].tobytes(), 1)
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "packed": [packed]})
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "packed": [packed_counts(total)]})
 
 
 def _wholly(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -290,14 +294,13 @@ class Model:
             cell += np.arange(0, n * 33, 33)[:, None]
             # a step's symbols see weights and table as they were before the step
             seen = refine[:n].reshape(-1).take(cell)
-            final = (z + seen) * (half - bit)  # towards the wrong bit
-            total[:n] -= (np.log(one + np.exp(final)).sum(axis=0) * mask).sum(axis=1, dtype=np.float64)
-            error = (bit - one / (one + np.exp(-z))) * mask
+            against = np.exp((z + seen) * (half - bit))  # odds of the wrong bit
+            total[:n] -= (np.log(one + against).sum(axis=0) * mask).sum(axis=1, dtype=np.float64)
+            error = against / (one + against) * (bit + bit - one) * mask
             gain = np.stack([(error * x[i]).sum(axis=0) for i in range(c)], axis=2)
             chosen = (known[:, None, :] == np.arange(gates)[None, :, None]).astype(np.float32)
             weights[:n] += np.float32(WEIGHT_RATE) * (chosen @ gain)
-            miss = (bit - one / (one + np.exp(-seen))) * mask
-            moved = np.bincount(cell.ravel(), miss.ravel(), minlength=n * 33)
+            moved = np.bincount(cell.ravel(), error.ravel(), minlength=n * 33)
             refine[:n] += (TABLE_RATE * moved).reshape(n, 33).astype(np.float32)
         return total
 
@@ -368,8 +371,11 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int
     have a fixed size, whatever the corpus.
     """
     spark = docs.sparkSession
+    # a task's tables have one size whatever it reads, so a few splits are counted together
+    splits = learn_from.rdd.getNumPartitions()
+    together = learn_from.select("text").coalesce(max(spark.sparkContext.defaultParallelism, splits // SPLITS_PER_TASK, 1))
     gathered = stored(
-        learn_from.select("text").mapInArrow(_gather, "task int, block int, packed binary, word binary, n long"), "counts"
+        together.mapInArrow(_gather, "task int, block int, packed binary, word binary, n long"), "counts"
     )
     counts = stored(
         gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary"

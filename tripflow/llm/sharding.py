@@ -98,7 +98,7 @@ def receivers(rows: int, shards: int, block_rows: int) -> list[tuple[int, int, i
     return out
 
 
-def shard(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = 1 << 20) -> DataFrame:
+def shard(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = 1 << 16) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (0 up, without gaps in a shard).
 
     Every assignment of rows to slots is equally likely, and shard sizes differ
