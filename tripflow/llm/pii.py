@@ -17,19 +17,20 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import documents, stored
+from tripflow.llm.common import documents, numbered, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 
 # The base patterns. Possessive forms match what the plain ones do and
 # never step back; an e-mail starts where a run of its characters does, or where the
-# match before it ended.
+# match before it ended; shorter digit runs, which no card rule takes, are passed over.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: looser forms: an address with "at" and "dot" spelled out, a number in groups without its country
@@ -41,7 +42,7 @@ LOOSE = {
 NEEDED = {
     ("email", True): "@",
     ("ip", True): r"[0-9]\.[0-9]",
-    ("card", True): r"[0-9][\x20-]?[0-9]",
+    ("card", True): r"[0-9](?:[\x20-]?[0-9]){12}",
     ("phone", True): r"\+[0-9]",
     ("email", False): r"[(\[]at[)\]]",
     ("phone", False): r"[0-9]{3}[ .-][0-9]{4}",
@@ -67,32 +68,32 @@ SHAPE = {
 }
 VOTES = ["strict", "gazetteer", "context", "shape"]
 CONTEXT_CHARS = 40
+MATCHES = "array<struct<kind:int,strictly:boolean,gap:int,value:string,before:string>>"
 ROUNDS = 40
 
 
-def raw_spans(text: Column, kind: str, base: bool) -> Column:
-    """(start, end, value, before) of a pattern's leftmost matches without overlap, in code points.
+def matches(text: Column, kind: str, base: bool) -> Column:
+    """(gap, value, before) of a pattern's leftmost matches without overlap: the code points between the last one and this.
 
-    What lies between the matches is had by splitting at them; starts are sums of
-    the lengths before.
+    What lies between the matches is had by splitting at them. Both lists are
+    walked once, side by side.
     """
     pattern = (BASE if base else LOOSE)[kind]
     held = F.when(text.rlike(NEEDED[kind, base]), text)
-    found = F.regexp_extract_all(held, F.lit(pattern), F.lit(0))
-    gaps = F.split(held, pattern, -1)
-    lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
-
-    def span(value: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda n, x: n + x["g"] + x["m"]) + F.length(gaps[i])
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(value)).alias("end"),
-            value.alias("value"),
-            F.right(gaps[i], F.lit(CONTEXT_CHARS)).alias("before"),
-        )
-
-    nothing = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
-    return F.coalesce(F.transform(found, span), nothing)
+    gaps = F.transform(
+        F.split(held, pattern, -1),
+        lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT_CHARS)).alias("before")),
+    )
+    found = F.zip_with(
+        gaps,
+        F.regexp_extract_all(held, F.lit(pattern), F.lit(0)),
+        lambda g, value: F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"), F.lit(base).alias("strictly"), g["gap"].alias("gap"),
+            value.alias("value"), g["before"].alias("before"),
+        ),
+    )
+    # after the last match there is one more gap
+    return F.coalesce(F.filter(found, lambda m: m["value"].isNotNull()), F.array().cast(MATCHES))
 
 
 def digits(value: Column) -> Column:
@@ -122,43 +123,49 @@ def passes(value: Column, kind: str) -> Column:
     return F.lit(True)
 
 
-def voter(kind: str, base: bool) -> Callable[[Column], Column]:
-    return lambda span: voted(span, kind, base)
+def by_kind(choose: Callable[[str], Column]) -> Column:
+    """One column per kind, the row's own."""
+    out = choose(KINDS[-1])
+    for i, kind in enumerate(KINDS[:-1]):
+        out = F.when(F.col("kind") == i, choose(kind)).otherwise(out)
+    return out
+
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """(row_id, kind, start, end, base, votes, digits) of all candidates in rows (row_id, found).
 
-def voted(span: Column, kind: str, base: bool) -> Column:
-    """A candidate with its votes: 1 for, -1 against, 0 abstains."""
-    value, before = span["value"], span["before"]
-    ok = passes(value, kind) if base else F.lit(False)
+    Starts are running sums of gaps and matches, so a text takes time in
+    proportion to its matches. Votes are 1 for, -1 against, 0 abstains; a loose
+    match has no check to pass. Digit runs too short or long for a card are left out.
+    """
+    each = rows.select("row_id", F.posexplode("found").alias("at", "m")).select("row_id", "at", "m.*")
+    ordered = W.partitionBy("row_id", "kind", "strictly").orderBy("at")
+    n = F.length("value")
+    end = F.sum(F.col("gap") + n).over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))
+    value, before, count = F.col("value"), F.col("before"), F.length(digits(F.col("value")))
+    ok = F.col("strictly") & by_kind(lambda k: passes(value, k))
 
     def vote(yes: Column, no: int) -> Column:
         return F.when(yes, 1).otherwise(no)
 
-    return F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"),
-        span["start"].alias("start"),
-        span["end"].alias("end"),
-        ok.alias("base"),
-        (vote(ok, -1) if base else F.lit(0)).alias("strict"),
-        vote(value.rlike(GAZETTEER[kind]), -1).alias("gazetteer"),
-        vote(before.rlike(CONTEXT[kind]), 0).alias("context"),
-        vote(value.rlike(SHAPE[kind]), -1).alias("shape"),
-        F.least(F.length(digits(value)), F.lit(24)).alias("digits"),
+    return (
+        each.withColumn("end", end)
+        .where((F.col("kind") != KINDS.index("card")) | count.between(13, 19))
+        .select(
+            "row_id",
+            "kind",
+            (F.col("end") - n).alias("start"),
+            "end",
+            ok.alias("base"),
+            F.when(F.col("strictly"), vote(ok, -1)).otherwise(0).alias("strict"),
+            vote(by_kind(lambda k: value.rlike(GAZETTEER[k])), -1).alias("gazetteer"),
+            vote(by_kind(lambda k: before.rlike(CONTEXT[k])), 0).alias("context"),
+            vote(by_kind(lambda k: value.rlike(SHAPE[k])), -1).alias("shape"),
+            F.least(count, F.lit(24)).alias("digits"),
+        )
     )
 
 
-def candidates(text: Column) -> Column:
-    """All candidates of a text, in order of kind and start; long digit runs that no rule takes are left out."""
-    found = []
-    for base, patterns in ((True, BASE), (False, LOOSE)):
-        for kind in patterns:
-            spans = raw_spans(text, kind, base)
-            if kind == "card":
-                spans = F.filter(spans, lambda s: F.length(digits(s["value"])).between(13, 19))
-            found.append(F.transform(spans, voter(kind, base)))
-    return F.array_sort(F.concat(*found))
-
-
 def fit_reliabilities(patterns: list[Row]) -> dict[int, tuple[float, dict[str, list[list[float]]]]]:
     """By kind: log prior odds, and per labeler the chances of each vote given that a span is not, or is, personal data.
 
@@ -217,15 +224,14 @@ def features(of: Column) -> dict[str, Column]:
 
 
 def train(spans: DataFrame) -> tuple[float, dict[str, float]]:
-    """Intercept and weights of the span classifier from rows with ``found``, the candidates of each text.
+    """Intercept and weights of the span classifier from all candidates.
 
     Every candidate counts. Without candidates all weights are 0 and the
     intercept is negative, so nothing would be added.
     """
     keys = ["kind", *VOTES, "digits"]
     counted = stored(
-        spans.select(F.explode("found").alias("s")).groupBy(*[F.col("s")[k].alias(k) for k in keys]).agg(F.count("*").alias("n")),
-        "votes",
+        spans.groupBy(*keys).agg(F.count("*").alias("n")), "votes"
     )
     model = fit_reliabilities(counted.groupBy("kind", *VOTES).agg(F.sum("n").alias("n")).collect())
     chance = posterior(F.col("kind"), {v: F.col(v) for v in VOTES}, model)
@@ -253,44 +259,57 @@ def classify(span: Column, weights: tuple[float, dict[str, float]]) -> Column:
     return reduce(lambda total, name: total + inputs[name] * weights[1][name], inputs, F.lit(weights[0])) >= 0
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def clear_of(spans: DataFrame, others: Column, own: Column) -> DataFrame:
+    """``spans`` without those marked ``own`` that overlap, in their row, a span marked ``others``.
+
+    In order of start, what reaches farthest of the earlier ones and begins first
+    of the later ones tells, so each row is read once forward and once backward.
+    """
+    ordered = W.partitionBy("row_id").orderBy("start", "end", "kind")
+    reach = F.max(F.when(others, F.col("end"))).over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    near = F.min(F.when(others, F.col("start"))).over(ordered.rowsBetween(1, W.unboundedFollowing))
+    hit = (reach > F.col("start")) | (near < F.col("end"))
+    return spans.withColumn("hit", F.coalesce(hit, F.lit(False))).where(~(own & F.col("hit"))).drop("hit")
+
+
+def clear_of_earlier(spans: DataFrame) -> DataFrame:
+    """Base spans, and of the rest those that overlap no earlier one of the rest."""
+    ordered = W.partitionBy("row_id").orderBy("start", "end", "kind").rowsBetween(W.unboundedPreceding, -1)
+    reach = F.max(F.when(~F.col("base"), F.col("end"))).over(ordered)
+    return spans.withColumn("reach", F.coalesce(reach, F.lit(0))).where(F.col("base") | (F.col("reach") <= F.col("start"))).drop("reach")
 
 
 def find_pii(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """(doc, base, added): spans of each text as arrays of (kind, start, end, ...), in order of kind and start.
+    """(doc, base, added): spans of each text as arrays of (kind, start, end), in that order.
 
     ``base`` are the matches of the base rules. ``added`` are other candidates
-    that the classifier takes and that overlap neither a base span nor an added
-    one before them in order. ``doc`` is a struct of the columns ``keep``. Null
-    and empty texts have no spans; repeated rows are read one by one and all
+    that the classifier takes and that overlap neither a base span nor another
+    one that starts before them. ``doc`` is a struct of the columns ``keep``.
+    Null and empty texts have no spans; repeated rows are read one by one and all
     count in training. An empty table gives no rows.
+
+    Texts are read once; what matched is stored and worked on as rows, so a text
+    with very many matches costs in proportion to them.
     """
     text = F.coalesce("text", F.lit(""))
-    found = stored(
-        docs.select(
-            (F.struct(*[docs[c] for c in keep]) if keep else F.lit(None).cast("boolean")).alias("doc"),
-            candidates(text).alias("found"),
-        ),
-        "candidates",
+    patterns = [(kind, base) for base, kinds in ((True, BASE), (False, LOOSE)) for kind in kinds]
+    table = numbered(docs, keep, found=F.concat(*[matches(text, kind, base) for kind, base in patterns]))
+    spans = stored(candidates(table.select("row_id", "found")), "candidates")
+    weights = train(spans)
+    base = F.col("base")
+    taken = spans.where(base | classify(F.struct(*[F.col(c) for c in spans.columns]), weights))
+    taken = clear_of_earlier(clear_of(taken, base, ~base))
+    place = F.struct("kind", "start", "end")
+    lists = taken.groupBy("row_id").agg(
+        F.array_sort(F.collect_list(F.when(base, place))).alias("base"),
+        F.array_sort(F.collect_list(F.when(~base, place))).alias("added"),
     )
-    weights = train(found)
-    base = F.filter("found", lambda s: s["base"])
-    split = found.select("doc", "found", base.alias("base")).withColumn(
-        "extra",
-        F.filter(
-            "found",
-            lambda s: ~s["base"] & classify(s, weights) & ~F.exists("base", lambda b: overlaps(s, b)),
-        ),
-    )
-    first = F.filter(
-        "extra",
-        lambda s: ~F.exists(
-            "extra",
-            lambda o: overlaps(s, o) & (F.struct(o["start"], o["kind"], o["end"]) < F.struct(s["start"], s["kind"], s["end"])),
-        ),
+    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
+    return (
+        table.select("row_id", "doc")
+        .join(lists, "row_id", "left")
+        .select("doc", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
     )
-    return split.select("doc", "base", first.alias("added"))
 
 
 def listed(spans: Column) -> Column:
