@@ -35,18 +35,18 @@ ESCAPE = 31
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: contexts: symbols looked back on (0: the word so far), and bits of its hashed table's slots
-CONTEXTS = [(3, 15), (5, 18), (8, 19), (0, 19)]
-LONG, WORD = 2, 3
+CONTEXTS = [(4, 18), (8, 19), (0, 19)]
+LONG, WORD = 1, 2
 PAD = max(back for back, _ in CONTEXTS)
 #: slots of 32 counts in a block that is summed as one
 BLOCK_SLOTS = 1 << 11
 #: symbols read before weights start anew, symbols between two updates, windows that advance together
-WINDOW, STEP, LANES = 4096, 32, 128
+WINDOW, STEP, LANES = 4096, 64, 128
 #: symbols prepared at once
 CHUNK = 1 << 21
 #: first weights by context: where long contexts are unknown, one is known, both are
 FIRST_WEIGHTS = np.array(
-    [[0.6, 0.4, 0.1, 0.1], [0.3, 0.3, 0.45, 0.2], [0.3, 0.3, 0.2, 0.45], [0.15, 0.15, 0.5, 0.35]],
+    [[0.9, 0.15, 0.15], [0.4, 0.5, 0.25], [0.4, 0.25, 0.5], [0.25, 0.5, 0.4]],
     dtype=np.float32,
 )
 WEIGHT_RATE, TABLE_RATE = 0.003, 0.02
@@ -355,7 +355,8 @@ def _loaded(model, frequent) -> tuple[Model, dict[bytes, float]]:
     key = model.value["digest"]
     if key not in _CACHE:
         _CACHE.clear()
-        _CACHE[key] = (Model(model.value["blocks"]), dict(frequent.value))
+        names, logs = frequent.value
+        _CACHE[key] = (Model(model.value["blocks"]), dict(zip(names.split(), logs.tolist())))
     return _CACHE[key]
 
 
@@ -386,12 +387,15 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int
     # two levels, so that a group holds about the square root of the tasks' packs
     salt = (F.col("task") % (math.isqrt(tasks) + 1)).alias("salt")
     halves = packs.groupBy("block", salt).applyInPandas(_partly, "block int, packed binary")
-    blocks = {r[0]: bytes(r[1]) for r in halves.groupBy("block").applyInPandas(_wholly, "block int, packed binary").collect()}
+    whole = halves.groupBy("block").applyInPandas(_wholly, "block int, packed binary").toArrow()
+    blocks = dict(zip(whole["block"].to_pylist(), whole["packed"].to_pylist()))
     digest = zlib.crc32(b"".join(blocks[k] for k in sorted(blocks)))
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(frequent_words)
-    logs = {bytes(r[0]): math.log10(r[1] + 1) for r in top.collect()}
+    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(frequent_words).toArrow()
     model = spark.sparkContext.broadcast({"digest": (digest, v, total), "blocks": blocks})
-    frequent = spark.sparkContext.broadcast(list(logs.items()))
+    # the words in one string, as none holds white space
+    frequent = spark.sparkContext.broadcast(
+        (b" ".join(top["word"].to_pylist()), np.log10(top["c"].to_numpy().astype(float) + 1))
+    )
     id_type = dict(docs.dtypes)["doc_id"]
     read = docs.select("doc_id", "text").mapInArrow(
         _apply(model, frequent),
@@ -408,8 +412,7 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int
     ends = counts.where(F.col("word") == F.lit(END)).select("c").first()
     end_count = ends[0] if ends else 0
     n_tokens = F.col("n_words") + 1
-    whole = rows.join(known, "row_id", "left")
-    return whole.select(
+    return rows.join(known, "row_id", "left").select(
         "doc.doc_id",
         n_tokens.alias("n_tokens"),
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0)) + int(end_count > 0)).alias("n_known"),
