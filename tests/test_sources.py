@@ -50,13 +50,13 @@ def test_flatten_shapes(spark):
     assert sorted(int(r["id"]) for r in got.collect()) == [1, 2, 3, 5, 7, 8]
 
 
-def test_flatten_refuses_deeper_nesting(spark):
-    deep = {"id": 1}
-    for _ in range(5):
-        deep = {"data": deep}
-    assert payloads.flatten_objects(bodies(spark, deep), max_depth=5).count() == 1
-    with pytest.raises(Exception, match="nested deeper"):
-        payloads.flatten_objects(bodies(spark, deep), max_depth=4).collect()
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 17, 30])
+def test_flatten_opens_any_depth(spark, depth):
+    wrapped, listed = {"id": 1}, {"id": 2}
+    for _ in range(depth):
+        wrapped, listed = {"data": wrapped}, [listed]
+    got = payloads.flatten_objects(bodies(spark, wrapped, listed, {"id": 3})).select(payloads.text_at("event", "id").alias("id"))
+    assert sorted(int(r["id"]) for r in got.collect()) == [1, 2, 3]
 
 
 def test_incident_coordinates(spark):
@@ -118,6 +118,35 @@ def test_batches_replace_themselves(spark, tmp_path):
     assert logs.read_log(spark, path, INCIDENT_LOG).count() == 2
 
 
+def test_writers_keep_to_their_own_rows(spark, tmp_path):
+    path, kept = str(tmp_path / "log"), str(tmp_path / "kept")
+    rows = bodies(spark, "x").select("snapshot_utc", F.lit("1").alias("id"))
+    for writer in ("a", "b", "a"):
+        logs.append_log(rows, path, INCIDENT_LOG, 0, writer)
+    logs.append_log(rows, path, INCIDENT_LOG)
+    assert logs.read_log(spark, path, INCIDENT_LOG).count() == 3
+    # a pruned log has the same layout, so streams go on with it
+    logs.prune_log(spark, path, kept, INCIDENT_LOG, "2024-01-02 00:00:00", days=3000)
+    logs.append_log(rows, kept, INCIDENT_LOG, 0, "a")
+    assert logs.read_log(spark, kept, INCIDENT_LOG).count() == 4
+
+
+def test_pruning_skips_old_days(spark, tmp_path):
+    path = str(tmp_path / "log")
+    logs.append_log(bodies(spark, "x").select("snapshot_utc", F.lit("1").alias("id")), path, INCIDENT_LOG)
+    read = logs.read_log(spark, path, INCIDENT_LOG, F.lit("2023-01-01").cast("timestamp"))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "snapshot_date" in plan.split("PartitionFilters")[1]
+
+
+@pytest.mark.parametrize("around", ["\t", "\n", "\u00a0 ", " \u3000"])
+def test_all_white_space_is_stripped(spark, around):
+    from tripflow.functions.coerce import strip
+
+    row = spark.createDataFrame([(f"{around}I-75 N{around}",)], "t string").select(strip(F.col("t"))).first()
+    assert row[0] == "I-75 N"
+
+
 def test_keep_recent_drops_bad_dates(spark):
     rows = spark.createDataFrame([("2024-01-01T00:00:00+00:00",), ("2023-01-01T00:00:00+00:00",), ("junk",), (None,)], "snapshot_utc string")
     assert logs.keep_recent(rows, "snapshot_utc", "2024-03-01 00:00:00").count() == 1

@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 _JVM_ONLY_NUMBER = r"(?i)x|[0-9.][df]$"
 
 
+# The white space that surrounds a value without being part of it.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def to_number(text: Column) -> Column:
     """Text to double; unparseable text and NaN become null."""
-    trimmed = F.trim(text.cast("string"))
+    trimmed = strip(text.cast("string"))
     number = trimmed.try_cast("double")
     return F.when(~trimmed.rlike(_JVM_ONLY_NUMBER) & ~F.isnan(number), number)
 

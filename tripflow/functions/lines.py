@@ -14,8 +14,8 @@ CHUNK_BITS = 5
 CHUNK_MASK = 0x1F
 CONTINUATION_BIT = 0x20
 CHAR_OFFSET = 63
-# A coordinate step is at most 360 degrees: 27 bits after zigzag, six chunks.
-MAX_CHUNKS = 6
+# The chunks that any number of 64 bits can need.
+NUMBER_CHUNKS = -(-64 // CHUNK_BITS)
 
 
 def fixed_point(degrees: Column) -> Column:
@@ -31,7 +31,7 @@ def zigzag(step: Column) -> Column:
 def chunk_text(number: Column) -> Column:
     """Low chunks first, the last without continuation bit."""
     texts = []
-    for i in range(MAX_CHUNKS):
+    for i in range(NUMBER_CHUNKS):
         rest = F.shiftright(number, CHUNK_BITS * i) if i else number
         more = F.when(rest > CHUNK_MASK, CONTINUATION_BIT + CHAR_OFFSET).otherwise(CHAR_OFFSET)
         text = F.char(rest.bitwiseAND(CHUNK_MASK) + more)

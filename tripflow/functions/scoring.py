@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tripflow.functions.coerce import strip
+
 # Speeds by roadway prefix, path factors, bumps and their hours.
 INTERSTATE_PREFIX = "I-"
 STATE_ROAD_PREFIXES = ["SR-", "GA-", "US-"]
@@ -34,7 +36,7 @@ SECONDS_PER_MINUTE = 60.0
 
 
 def _road_name(roadway: Column) -> Column:
-    return F.upper(F.trim(F.coalesce(roadway, F.lit(""))))
+    return F.upper(strip(F.coalesce(roadway, F.lit(""))))
 
 
 def freeflow_mph(roadway: Column) -> Column:

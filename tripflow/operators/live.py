@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.functions.coerce import round_half_even, to_number, to_utc
+from tripflow.functions.coerce import round_half_even, strip, to_number, to_utc
 from tripflow.functions.scoring import (
     clamp01,
     incident_bump,
@@ -101,7 +101,7 @@ def heartbeat_rows(records: DataFrame, periods: DataFrame, alerts: DataFrame, in
 
     runs = records.select("snapshot_utc", "weather_error", "incident_error")
     current = current_period(periods, ["shortForecast", "temperature", "windSpeed"])
-    short = F.trim(F.coalesce(F.col("period.shortForecast"), F.lit("")))
+    short = strip(F.coalesce(F.col("period.shortForecast"), F.lit("")))
     errors = [F.when(F.col(c) != "", F.col(c)) for c in ("weather_error", "incident_error")]
 
     def zero(name: str) -> Column:

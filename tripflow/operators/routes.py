@@ -20,6 +20,7 @@ NO_ROUTER = "none"
 ANY_ROUTER = "auto"
 FALLBACK = "fallback"
 NO_FEATURES = "no features"
+BAD_FEATURE = "route feature without properties or with an unreadable line"
 NO_ROUTES = "no routes"
 BAD_BODY = "response is not JSON"
 ROUTING_DISABLED = "routing disabled"
@@ -69,6 +70,10 @@ def normalise_routes(responses: DataFrame) -> DataFrame:
     found = F.when(is_legs, F.schema_of_variant(F.try_variant_get("doc", "$.routes[0]", "variant"))).otherwise(
         F.schema_of_variant(F.try_variant_get("doc", "$.features[0]", "variant"))
     )
+    # a feature needs properties, and a line where its provider puts one
+    properties = F.schema_of_variant(F.try_variant_get("doc", "$.features[0].properties", "variant"))
+    given = F.schema_of_variant(F.try_variant_get("doc", path, "variant"))
+    complete = properties.startswith("OBJECT") & (given.isNull() | F.when(many, first_line).otherwise(line).isNotNull())
     missing = F.when(
         is_legs, F.coalesce(F.try_variant_get("doc", "$.status", "string"), F.lit(NO_ROUTES))
     ).otherwise(NO_FEATURES)
@@ -87,6 +92,7 @@ def normalise_routes(responses: DataFrame) -> DataFrame:
         .when(~provider.isin(*PROVIDERS), F.concat(F.lit("unknown router "), provider))
         .when(F.col("doc").isNull(), BAD_BODY)
         .when(found.isNull() | ~found.startswith("OBJECT"), missing)
+        .when(~is_legs & ~F.coalesce(complete, F.lit(False)), BAD_FEATURE)
     )
     routes = (
         responses.withColumn("doc", F.try_parse_json("body"))

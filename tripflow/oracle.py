@@ -626,6 +626,11 @@ add("incident_flatten", with_parts("found") + "SELECT at_micros, count(*) AS obj
 _found = "SELECT at_micros, id, lanes AS lanesBlocked, lat, lon, CAST(NULL AS VARCHAR) AS headline FROM found"
 add("incident_fields", with_parts("found") + _found)
 add("stream_ingest", with_parts("found") + _found)
+add("log_two_streams", with_parts("found") + f"{_found} UNION ALL {_found}")
+add(
+    "retention_then_ingest",
+    with_parts("found") + f"{_found} UNION ALL {_found} WHERE at_micros >= epoch_us(TIMESTAMP '2024-01-21')",
+)
 add(
     "coordinate_resolve",
     with_parts("weather")

@@ -232,7 +232,7 @@ def classification_report(spark, sf_dir):
 def gbt_scores(spark, sf_dir):
     """Fit on the training part, save, load, score every located station."""
     stations = station_table(spark, sf_dir)
-    model, scored = training.train(stations, trees=5)
+    model, scored = training.train(stations)
     folder = new_folder(spark, "model")
     training.save_artifacts(spark, folder, model, training.contract_record(stations), training.quality(scored))
     loaded, _ = training.load_artifacts(spark, folder)
@@ -596,10 +596,34 @@ def _ingest(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def _incident_view(spark: SparkSession, folder: str) -> DataFrame:
+    rows = logs.read_log(spark, f"{folder}/incidents", INCIDENT_LOG)
+    return rows.select(F.unix_micros("snapshot_utc").alias("at_micros"), "id", "lanesBlocked", "lat", "lon", "headline")
+
+
 @query
 def stream_ingest(spark, sf_dir):
-    rows = logs.read_log(spark, f"{_ingest(spark, sf_dir)}/incidents", INCIDENT_LOG)
-    return rows.select(F.unix_micros("snapshot_utc").alias("at_micros"), "id", "lanesBlocked", "lat", "lon", "headline")
+    return _incident_view(spark, _ingest(spark, sf_dir))
+
+
+@query
+def log_two_streams(spark, sf_dir):
+    """Two streams with checkpoints of their own, both numbering batches from 0, into the same logs."""
+    folder = new_folder(spark, "stream")
+    for name in ("first", "second"):
+        runs = fx.run_records(_event_stream(spark, sf_dir))
+        ingest_stream(runs, folder, f"{folder}/{name}").awaitTermination()
+    return _incident_view(spark, folder)
+
+
+@query
+def retention_then_ingest(spark, sf_dir):
+    """A stream goes on with a log that retention has rewritten."""
+    kept = new_folder(spark, "pruned")
+    landed = f"{_ingest(spark, sf_dir)}/incidents"
+    logs.prune_log(spark, landed, f"{kept}/incidents", INCIDENT_LOG, "2024-01-31 00:00:00", days=10)
+    ingest_stream(fx.run_records(_event_stream(spark, sf_dir)), kept, f"{kept}/checkpoint").awaitTermination()
+    return _incident_view(spark, kept)
 
 
 @query

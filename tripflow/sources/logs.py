@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+LOG_PARTITIONS = ["snapshot_date", "writer", "batch_id"]
+
+
 def _fields(schema: str) -> list[T.StructField]:
     return T.StructType.fromDDL(schema).fields
 
@@ -22,34 +25,49 @@ def to_log(df: DataFrame, schema: str) -> DataFrame:
     )
 
 
-def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The log at ``path``; an empty table when nothing was written there yet."""
+def read_log(spark: SparkSession, path: str, schema: str, since=None) -> DataFrame:
+    """The log at ``path``; an empty table when nothing was written there yet.
+
+    With ``since``, a timestamp, folders of days before it are not read; its own
+    day is read whole.
+    """
     names = [f.name for f in _fields(schema)]
     try:
-        return spark.read.schema(schema).parquet(path).select(*names)
+        rows = spark.read.schema(f"{schema}, snapshot_date date, writer string, batch_id long").parquet(path)
+        if since is not None:
+            rows = rows.where(F.col("snapshot_date") >= F.to_date(since))
+        return rows.select(*names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def append_log(df: DataFrame, path: str, schema: str, batch_id: int | None = None) -> None:
+def append_log(df: DataFrame, path: str, schema: str, batch_id: int | None = None, writer: str = "stream") -> None:
     """Append rows to a log.
 
-    A streaming batch passes its id: its rows then live in partitions of their
-    own, so a batch that is run again after a failure replaces its first try.
+    All rows lie in folders of day, writer and batch. A streaming batch passes
+    its id and its stream's: its rows then have folders of their own, so a batch
+    that is run again after a failure replaces its first try and no other
+    stream's rows. Without a batch id rows are added beside those there.
     """
     rows = to_log(df, schema).withColumn("snapshot_date", F.to_date("snapshot_utc"))
     if batch_id is None:
-        rows.write.mode("append").partitionBy("snapshot_date").parquet(path)
+        rows = rows.withColumns({"writer": F.lit("append"), "batch_id": F.lit(0)})
+        rows.write.mode("append").partitionBy(*LOG_PARTITIONS).parquet(path)
         return
-    (
-        rows.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("snapshot_date", "batch_id")
-        .parquet(path)
-    )
+    replace_batch(rows.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id)}), path, LOG_PARTITIONS)
+
+
+def replace_batch(rows: DataFrame, path: str, partitions: list[str]) -> None:
+    """Write ``rows``, in place of what their partitions held."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions).parquet(path)
+
+
+def stream_id(batch: DataFrame) -> str:
+    """The id of the stream whose batch function is running; it is kept in the stream's checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
 def union_logs(*parts: DataFrame) -> DataFrame:
@@ -75,7 +93,8 @@ def keep_recent(df: DataFrame, ts: str, now, days: int = 90) -> DataFrame:
 
 def prune_log(spark: SparkSession, path: str, target: str, schema: str, now, days: int = 90) -> None:
     """Write the kept part of a log to a new place; swapping it in is the caller's step."""
-    append_log(keep_recent(read_log(spark, path, schema), "snapshot_utc", now, days), target, schema)
+    cutoff = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
+    append_log(keep_recent(read_log(spark, path, schema, cutoff), "snapshot_utc", now, days), target, schema)
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:

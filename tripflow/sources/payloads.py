@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from tripflow.functions.coerce import first_present, to_number
 from tripflow.schemas import RUN_RECORD
+from tripflow.session import cut_lineage
+
+#: wrappers and lists opened between two looks at what is left
+LEVELS_PER_ROUND = 8
 
 # Wrapper keys in order, and the source keys of every incident field.
 WRAPPER_KEYS = ["events", "event", "data"]
@@ -102,32 +106,40 @@ def alert_rows(payloads: DataFrame) -> DataFrame:
     )
 
 
-def flatten_objects(payloads: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(snapshot_utc, body) to one row per innermost object.
+def flatten_objects(payloads: DataFrame) -> DataFrame:
+    """(snapshot_utc, body) to one row per innermost object, however deep it lies.
 
     Each step opens one wrapper or one list; objects without a wrapper key stay
     as they are and scalars vanish. Every step is narrow, so a payload never
-    leaves its task. A payload nested deeper than ``max_depth`` is an error, not
-    a silent loss.
+    leaves its task. Steps go on for as long as any node can be opened; only
+    those nodes are carried into the next round.
     """
-
-    def openable(node: str) -> tuple[Column, Column]:
-        inside = F.coalesce(*[F.try_variant_get(node, f"$.{k}", "variant") for k in WRAPPER_KEYS])
-        return inside, F.try_variant_get(node, "$", "array<variant>")
-
-    nodes = payloads.select("snapshot_utc", F.try_parse_json("body").alias("node"))
-    for _ in range(max_depth):
-        inside, items = openable("node")
-        following = (
-            F.when(inside.isNotNull(), F.array(inside))
-            .when(items.isNotNull(), items)
-            .when(is_object(F.col("node")), F.array("node"))
-        )
-        nodes = nodes.select("snapshot_utc", F.explode(following).alias("node"))
-    inside, items = openable("node")
-    too_deep = F.raise_error(F.lit(f"payload nested deeper than {max_depth} levels"))
-    checked = F.when(inside.isNotNull() | items.isNotNull(), too_deep.cast("variant")).otherwise(F.col("node"))
-    return nodes.where(is_object(F.col("node"))).select("snapshot_utc", checked.alias("event"))
+    done, nodes = None, payloads.select("snapshot_utc", F.try_parse_json("body").alias("node"))
+    while True:
+        for _ in range(LEVELS_PER_ROUND):
+            inside, items = _inside("node")
+            following = (
+                F.when(inside.isNotNull(), F.array(inside))
+                .when(items.isNotNull(), items)
+                .when(is_object(F.col("node")), F.array("node"))
+            )
+            nodes = nodes.select("snapshot_utc", F.explode(following).alias("node"))
+        inside, items = _inside("node")
+        openable = inside.isNotNull() | items.isNotNull()
+        closed = nodes.where(~openable & is_object(F.col("node"))).select("snapshot_utc", F.col("node").alias("event"))
+        done = closed if done is None else done.unionByName(closed)
+        rest = nodes.where(openable)
+        if rest.isEmpty():
+            return done
+        # as text, which every storage level and format can hold
+        kept = cut_lineage(rest.select("snapshot_utc", F.to_json("node").alias("body")))
+        nodes = kept.select("snapshot_utc", F.try_parse_json("body").alias("node"))
+
+
+def _inside(node: str) -> tuple[Column, Column]:
+    """What a wrapper holds, and the items of a list; null where the node is neither."""
+    inside = F.coalesce(*[F.try_variant_get(node, f"$.{k}", "variant") for k in WRAPPER_KEYS])
+    return inside, F.try_variant_get(node, "$", "array<variant>")
 
 
 def resolve_coordinates(

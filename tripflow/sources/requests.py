@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripflow.functions.coerce import to_number
+from tripflow.functions.coerce import strip, to_number
 
 # Defaults and rejection texts.
 DEFAULT_ROUTER = "auto"
@@ -50,7 +50,7 @@ def _extracted(bodies: DataFrame) -> DataFrame:
 
 def _minutes(field: str) -> Column:
     """Whole minutes; null, zero and empty are 0; null when not a whole number."""
-    text, kind = F.trim(field), F.col(f"{field}_kind")
+    text, kind = strip(F.col(field)), F.col(f"{field}_kind")
     whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
     return (
         F.when(kind.isNull() | text.isNull() | (text == ""), 0)
@@ -94,7 +94,7 @@ def parse_requests(bodies: DataFrame) -> DataFrame:
     return fields.withColumn("minutes", leave_in).select(
         "trip_id",
         "request_ts",
-        F.trim(F.coalesce("roadway", F.lit("None"))).alias("roadway"),
+        strip(F.coalesce("roadway", F.lit("None"))).alias("roadway"),
         point("origin"),
         point("destination"),
         F.col("minutes").alias("leave_in_minutes"),
@@ -125,7 +125,7 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 
     return requests.withColumns(
         {
-            "roadway": F.trim("roadway"),
+            "roadway": strip(F.col("roadway")),
             "leave_in_minutes": F.coalesce(*minutes, F.lit(0)).cast("int"),
             "live": filled("live", True),
             "router": filled("router", DEFAULT_ROUTER),

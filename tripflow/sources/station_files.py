@@ -15,17 +15,20 @@ VOLUME_YEAR = re.compile(r"^AADT_\d{4}$")
 TRUCK_YEAR = re.compile(r"^TRUCK_\d{4}$")
 OLD_TRUCK_PREFIX = "TRUCKPCT_"
 TRUCK_PREFIX = "TRUCK_"
+HEADER_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 LATITUDE_NAMES = ["LAT", "LATITUDE"]
 LONGITUDE_NAMES = ["LON", "LONG", "LONGITUDE"]
 
 
 def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text; headers cleaned. Types are applied later, per column."""
-    return clean_headers(spark.read.option("header", True).csv(path))
+    return clean_headers(spark.read.option("header", True).option("escape", '"').csv(path))
 
 
 def clean_header(name: str) -> str:
-    return re.sub(r"[^A-Z0-9_]+", "", name.upper().strip().replace(" ", "_"))
+    """Capital letters, digits and underscores; blanks between other characters become underscores."""
+    joined = "_".join(name.strip().split(" "))
+    return "".join(c for c in joined.upper() if c in HEADER_CHARACTERS)
 
 
 def clean_headers(df: DataFrame) -> DataFrame:
@@ -37,9 +40,12 @@ def clean_headers(df: DataFrame) -> DataFrame:
 
 
 def rename_truck_columns(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed(
-        {c: c.replace(OLD_TRUCK_PREFIX, TRUCK_PREFIX) for c in df.columns if c.startswith(OLD_TRUCK_PREFIX)}
-    )
+    """The older table's truck columns under the prefix of the newer one."""
+    for column in df.columns:
+        year = column.removeprefix(OLD_TRUCK_PREFIX)
+        if year != column:
+            df = df.withColumnRenamed(column, TRUCK_PREFIX + year)
+    return df
 
 
 def number_column(df: DataFrame, name: str):
@@ -69,7 +75,7 @@ def coordinate_name(columns: list[str], names: list[str], prefer: str) -> str |
 def volume_years(columns: list[str]) -> list[int]:
     years = sorted(int(c[-4:]) for c in columns if VOLUME_YEAR.match(c))
     if not years:
-        raise ValueError("No AADT year columns found.")
+        raise ValueError("the table has no yearly volume column")
     return years
 
 

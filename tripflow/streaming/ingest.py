@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripflow.operators.live import heartbeat_rows
 from tripflow.schemas import ALERT_LOG, FORECAST_LOG, HEARTBEAT_LOG, INCIDENT_LOG, RUN_RECORD
-from tripflow.sources.logs import append_log
+from tripflow.sources.logs import append_log, stream_id
 from tripflow.sources.payloads import alert_rows, flatten_objects, forecast_rows, incident_rows
 
 LOG_SCHEMAS = {
@@ -55,7 +55,7 @@ def ingest_stream(runs: DataFrame, log_folder: str, checkpoint: str) -> Streamin
         batch.persist()
         try:
             for name, rows in log_rows(batch).items():
-                append_log(rows, f"{log_folder}/{name}", LOG_SCHEMAS[name], batch_id)
+                append_log(rows, f"{log_folder}/{name}", LOG_SCHEMAS[name], batch_id, stream_id(batch))
         finally:
             batch.unpersist()
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripflow.operators.nearest_station import StationIndex
 from tripflow.plans.trips import score_trips, trip_records
+from tripflow.sources.logs import replace_batch, stream_id
 
 
 def score_stream(
@@ -20,12 +21,13 @@ def score_stream(
     forecast_log: Callable[[], DataFrame] | None = None,
     incident_log: Callable[[], DataFrame] | None = None,
     region: str = "UTC",
+    routes: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Score all requests available now and append the result records.
 
-    The station index is built once. The logs are read anew for every batch, so
-    each batch sees the live state of its time. A repeated batch replaces its
-    own partition.
+    The station index is built once. Logs and routes are read anew for every
+    batch, so each batch sees the live state of its time. A repeated batch
+    replaces its own partition, and streams may share a result folder.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -34,16 +36,11 @@ def score_stream(
             stations,
             forecast_log() if forecast_log else None,
             incident_log() if incident_log else None,
+            routes() if routes else None,
             region=region,
         )
-        (
-            trip_records(trips)
-            .withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(results)
-        )
+        records = trip_records(trips).withColumns({"writer": F.lit(stream_id(batch)), "batch_id": F.lit(batch_id)})
+        replace_batch(records, results, ["writer", "batch_id"])
 
     return (
         requests.writeStream.foreachBatch(write_batch)
