@@ -16,17 +16,17 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Share of (positive, negative) pairs ranked right, ties counting half."""
+    """Share of (positive, negative) pairs ranked right, ties counting half; null with one class only."""
     ranked = running_totals(_score_counts(df, label, score), [], "score", ["neg"])
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
-    return ranked.agg((won / (F.sum("pos") * F.max("neg_total"))).alias("roc_auc"))
+    return ranked.agg(F.try_divide(won, F.sum("pos") * F.max("neg_total")).alias("roc_auc"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Precision and recall at every distinct score, from the highest down.
 
     ``precision_before`` and ``recall_before`` are the point before; ahead of
-    the first score that is recall 0, precision 1.
+    the first score that is recall 0, precision 1. Without positives recall is null.
     """
     counts = _score_counts(df, label, score).withColumn("rank", -F.col("score"))
     ranked = running_totals(counts, [], "rank", ["pos", "neg"])
@@ -35,9 +35,9 @@ def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     return ranked.select(
         "score",
         (tp / (tp + fp)).alias("precision"),
-        (tp / F.col("pos_total")).alias("recall"),
+        F.try_divide(tp, F.col("pos_total")).alias("recall"),
         F.when(before > 0, F.col("pos_before") / before).otherwise(1.0).alias("precision_before"),
-        (F.col("pos_before") / F.col("pos_total")).alias("recall_before"),
+        F.try_divide(F.col("pos_before"), F.col("pos_total")).alias("recall_before"),
     )
 
 

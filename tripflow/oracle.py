@@ -393,6 +393,26 @@ add(
     round(sum(coalesce(mean3, (SELECT median(mean3) FROM parted WHERE NOT is_test))), 4) AS mean_sum
     FROM parted GROUP BY 1, 2""",
 )
+add(
+    "onehot_features",
+    with_parts("parted")
+    + f""", filled AS (SELECT coalesce(fc, ({_mode.format(c='fc')})) AS fc, is_test FROM parted),
+    known AS (SELECT fc, row_number() OVER (ORDER BY fc) AS position FROM (SELECT DISTINCT fc FROM filled WHERE NOT is_test))
+    SELECT filled.fc AS FUNCTIONAL_CLASS, coalesce(position, 0) AS position, (SELECT count(*) FROM known) AS width, count(*) AS n
+    FROM filled LEFT JOIN known USING (fc) GROUP BY 1, 2""",
+)
+add(
+    "model_roundtrip",
+    with_parts("features")
+    + """SELECT sid AS STATION_ID, true AS in_range, true AS same_after_loading
+    FROM features WHERE lat IS NOT NULL AND lon IS NOT NULL""",
+)
+add(
+    "contract_record",
+    """SELECT 'LAT,LON,AADT_MEAN_3YR,AADT_STD_3YR,AADT_TREND_SLOPE,TRUCK_PCT_MEAN,TRUCK_PCT_LATEST,KFACTOR,DFACTOR'
+    AS numeric_features, 'FUNCTIONAL_CLASS,STATION_TYPE' AS categorical_features, 'HIGH_CONGESTION_PROXY' AS label,
+    '1 if AADT_2001 >= 75th percentile; else 0' AS label_definition, CAST(2001 AS BIGINT) AS latest_year""",
+)
 add(
     "roc_auc",
     with_parts("ranked")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripflow.operators.impute import fit_fill_values
-from tripflow.operators.metrics import pr_auc, roc_auc
+from tripflow.operators.metrics import classification_report, pr_auc, roc_auc
 from tripflow.operators.ranking import exact_quantiles
 from tripflow.operators.split import stratified_split
 from tripflow.operators.stations import feature_contract
@@ -69,8 +69,8 @@ def _fill_statement(values: dict) -> str:
     return f"SELECT *, {', '.join(columns)} FROM __THIS__"
 
 
-def fit_model(train: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
-    """Imputation, one-hot encoding and gradient-boosted trees as one savable pipeline.
+def feature_stages(train: DataFrame) -> list:
+    """Imputation, one-hot encoding and assembly into ``features``.
 
     A category unseen in training falls into the indexer's extra slot, which the
     encoder drops, so it becomes all zeros.
@@ -94,16 +94,16 @@ def fit_model(train: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Pipel
     ]
     if not categorical:
         stages = stages[:1]
-    stages += [
-        VectorAssembler(
-            inputCols=[f"{c}_FILLED" for c in numeric] + [f"{c}_VECTOR" for c in categorical],
-            outputCol="features",
-        ),
-        GBTClassifier(
-            labelCol=LABEL, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=LEARNING_RATE, seed=SEED
-        ),
-    ]
-    return Pipeline(stages=stages).fit(train)
+    inputs = [f"{c}_FILLED" for c in numeric] + [f"{c}_VECTOR" for c in categorical]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
+
+
+def fit_model(train: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
+    """Features and gradient-boosted trees as one savable pipeline."""
+    boosted = GBTClassifier(
+        labelCol=LABEL, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=LEARNING_RATE, seed=SEED
+    )
+    return Pipeline(stages=[*feature_stages(train), boosted]).fit(train)
 
 
 def with_probability(rows: DataFrame, model: PipelineModel) -> DataFrame:
@@ -130,14 +130,19 @@ def train(stations: DataFrame, trees: int = TREES, depth: int = DEPTH) -> tuple[
 
 
 def quality(scored: DataFrame) -> dict:
-    """ROC and PR area as plain numbers."""
-    return {
+    """ROC and PR area and the classification report, all as plain numbers."""
+    areas = {
         "ROC_AUC": roc_auc(scored, LABEL, "probability").first()["roc_auc"],
         "PR_AUC": pr_auc(scored, LABEL, "probability").first()["pr_auc"],
     }
+    # a row per class and three averages
+    report = classification_report(scored, LABEL, "probability").collect()
+    measures = ["precision", "recall", "f1", "support"]
+    return areas | {f"{r['row']} {m}": None if r[m] is None else float(r[m]) for r in report for m in measures}
 
 
 def contract_record(stations: DataFrame) -> dict:
+    """The model's input contract; its keys are fixed values."""
     latest = volume_years(stations.columns)[-1]
     return {
         "numeric_features": NUMERIC_FEATURES,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -239,6 +241,51 @@ def gbt_scores(spark, sf_dir):
     return training.score_stations(st.located(stations), loaded)
 
 
+@query
+def model_roundtrip(spark, sf_dir):
+    """Every located station: is its score a probability, and is it the same from the model that was saved and loaded."""
+    stations = station_table(spark, sf_dir)
+    model, scored = training.train(stations)
+    folder = new_folder(spark, "model")
+    training.save_artifacts(spark, folder, model, training.contract_record(stations), training.quality(scored))
+    loaded, _ = training.load_artifacts(spark, folder)
+    shaped = st.feature_contract(st.located(stations), keep=["STATION_ID"])
+    both = training.with_probability(shaped, model).withColumnRenamed("probability", "fitted")
+    both = training.with_probability(both, loaded)
+    return both.select(
+        "STATION_ID",
+        F.col("probability").between(0, 1).alias("in_range"),
+        (F.col("probability") == F.col("fitted")).alias("same_after_loading"),
+    )
+
+
+@query
+def contract_record(spark, sf_dir):
+    folder = new_folder(spark, "contract")
+    logs.write_record(spark, training.contract_record(station_table(spark, sf_dir)), folder)
+    return spark.read.json(folder).select(
+        F.array_join("numeric_features", ",").alias("numeric_features"),
+        F.array_join("categorical_features", ",").alias("categorical_features"),
+        "label",
+        "label_definition",
+        "latest_year",
+    )
+
+
+@query
+def onehot_features(spark, sf_dir):
+    """Where each filled functional class has its one in the encoded vector, and how long that is."""
+    table = training.training_table(station_table(spark, sf_dir))
+    train = table.where(~F.col("is_test")).drop("is_test")
+    encoded = Pipeline(stages=training.feature_stages(train)).fit(train).transform(table)
+    vector = vector_to_array("FUNCTIONAL_CLASS_VECTOR")
+    return encoded.groupBy(
+        F.col("FUNCTIONAL_CLASS_FILLED").alias("FUNCTIONAL_CLASS"),
+        F.array_position(vector, 1.0).cast("long").alias("position"),
+        F.size(vector).cast("long").alias("width"),
+    ).agg(F.count("*").alias("n"))
+
+
 # ---- trips ----------------------------------------------------------------
 
 

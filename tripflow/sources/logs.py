@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +106,8 @@ def write_results(results: DataFrame, path: str, fmt: str = "parquet", mode: str
 
 def write_record(spark: SparkSession, record: dict, path: str) -> None:
     """A one-row JSON table: the feature contract, the metrics."""
-    spark.createDataFrame([record]).coalesce(1).write.mode("overwrite").json(path)
+    line = spark.createDataFrame([(json.dumps(record),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_record(spark: SparkSession, path: str) -> dict:
