@@ -115,3 +115,9 @@ def test_polyline(spark):
 def test_geojson(spark):
     got = column(spark, [[(1.0, 2.0)], None], POINTS, lines.geojson_line)
     assert [r["coordinates"] for r in got] == [[[2.0, 1.0]], []]
+
+
+def test_times_out_of_range_are_null(spark):
+    raw = ["1900-01-01T00:00:00Z", "1600-01-01T00:00:00Z", "2262-04-12T00:00:00Z", "2262-04-11T00:00:00Z"]
+    got = column(spark, raw, "string", lambda v: coerce.iso_seconds(coerce.to_utc(v)))
+    assert [g is None for g in got] == [False, True, True, False]

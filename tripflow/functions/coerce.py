@@ -28,9 +28,18 @@ def to_number(text: Column) -> Column:
     return F.when(~trimmed.rlike(_JVM_ONLY_NUMBER) & ~F.isnan(number), number)
 
 
+# The times that 64 bits of nanoseconds can hold, in microseconds.
+FIRST_MICROS, LAST_MICROS = -9223372036854775, 9223372036854775
+
+
 def to_utc(text: Column) -> Column:
-    """ISO text, with or without an offset, to a timestamp (session zone UTC)."""
-    return F.try_to_timestamp(text.cast("string"))
+    """ISO text, with or without an offset, to a timestamp (session zone UTC).
+
+    Times before September 1677 or after April 2262 are null, so a calendar over
+    any log has a bounded number of days.
+    """
+    at = F.try_to_timestamp(text.cast("string"))
+    return F.when(F.unix_micros(at).between(FIRST_MICROS, LAST_MICROS), at)
 
 
 def iso_seconds(ts: Column) -> Column:
