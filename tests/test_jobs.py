@@ -11,6 +11,7 @@ from tripflow.operators.nearest_station import build_station_index
 from tripflow.operators.routes import normalise_routes
 from tripflow.plans import training, trips
 from tripflow.schemas import HEARTBEAT_LOG, INCIDENT_LOG, LABEL
+from tripflow.operators.routes import empty_routes
 from tripflow.sources.logs import read_log
 from tripflow.sources.requests import with_defaults
 from tripflow.streaming.ingest import ingest_stream, landed_runs
@@ -144,6 +145,25 @@ def test_stream_ingest_is_exactly_once(spark, tmp_path):
     ]
 
 
+def test_streams_share_results_and_take_routes(spark, index, tmp_path):
+    """Two streams number their batches from 0; both keep their rows, and routes reach the records."""
+    frame = spark.createDataFrame([request(i) for i in range(6)], REQUEST)
+    frame.write.parquet(str(tmp_path / "in"))
+    routes = spark.createDataFrame(
+        [(2, "ors", True, 7.5, 12.0, [(33.0, -84.0), (33.1, -84.1)], "abc", None)], empty_routes(spark).schema
+    )
+    for name in ("a", "b"):
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        score_stream(
+            with_defaults(stream), index, str(tmp_path / "out"), str(tmp_path / name), routes=lambda: routes
+        ).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 12 and got.select("writer").distinct().count() == 2
+    batch = trips.trip_records(trips.score_trips(with_defaults(frame), index, None, None, routes))
+    columns = batch.columns
+    assert sorted(map(str, got.select(*columns).distinct().collect())) == sorted(map(str, batch.collect()))
+
+
 def test_stream_scores_equal_batch_scores(spark, index, tmp_path):
     frame = spark.createDataFrame([request(i, hour=i % 24) for i in range(30)], REQUEST)
     for part in (0, 1):
