@@ -77,7 +77,7 @@ def test_a_step_is_a_probability():
     assert total == pytest.approx(math.exp(model.score([head])[0]), rel=1e-3)
 
 
-def test_matches_brute_force_and_beats_the_base(spark, monkeypatch):
+def test_matches_brute_force(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     train = [t for i, t in rows.items() if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -90,12 +90,24 @@ def test_matches_brute_force_and_beats_the_base(spark, monkeypatch):
         assert (got.n_tokens[i], got.n_known[i]) == (tokens, known)
         assert got.base_score[i] == pytest.approx(base, abs=1e-6)
     held = got[[zlib.crc32(str(i).encode()) % 7 == 2 for i in got.index]]
-    assert held.score.sum() > held.base_score.sum()
+    # with a thousand documents to learn from it is about as good as the base
+    assert held.score.sum() > 1.02 * held.base_score.sum()
     assert held.bits_per_byte.mean() < 2.3
     by_model = model_of(train).score([lm.symbols(lm.tokens(rows[i])) for i in held.index[:20]]) / math.log(10)
     assert held.score[:20].tolist() == pytest.approx(by_model.tolist(), rel=1e-4)
 
 
+def test_beats_the_base_on_held_out_documents():
+    import pandas as pd
+
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in docs.doc_id]
+    train, rest = docs.text[[not h for h in held]].tolist(), docs.text[held].tolist()[:300]
+    base = sum(b for _, _, b in base_scores(rest, train)[0])
+    score = model_of(train).score([lm.symbols(lm.tokens(t)) for t in rest]).sum() / math.log(10)
+    assert score > 0.98 * base
+
+
 def test_odd_rows(odd, none):
     got = lm.score_documents(odd, odd).collect()
     assert len(got) == len(ODD_ROWS) and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)

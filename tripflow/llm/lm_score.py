@@ -46,10 +46,10 @@ WINDOW, STEP, LANES = 4096, 64, 128
 CHUNK = 1 << 21
 #: first weights by context: where long contexts are unknown, one is known, both are
 FIRST_WEIGHTS = np.array(
-    [[0.9, 0.15, 0.15], [0.4, 0.5, 0.25], [0.4, 0.25, 0.5], [0.25, 0.5, 0.4]],
+    [[0.95, 0.2, 0.2], [0.55, 0.6, 0.3], [0.55, 0.3, 0.55], [0.4, 0.6, 0.45]],
     dtype=np.float32,
 )
-WEIGHT_RATE, TABLE_RATE = 0.003, 0.02
+WEIGHT_RATE, TABLE_RATE = 0.008, 0.05
 #: tables hold log odds in sixteenths
 SCALE = 16
 #: input splits that one task counts, where that leaves every core a task
