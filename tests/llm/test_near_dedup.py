@@ -130,6 +130,38 @@ def test_near_copies_meet_in_groups_of_any_size(spark, docs_like):
     assert kept == {0, *range(1000, 1100)}
 
 
+def test_copies_that_are_like_their_base_only(spark, docs_like):
+    rng = random.Random(2)
+    base = [f"word{i}" for i in range(1000)]
+    rows = [(1000, " ".join(base), "en", "src0")]
+    for i in range(1000):
+        text = base.copy()
+        for at in rng.sample(range(200), 19):
+            text[5 * at + 2] = f"edit{i}at{at}"
+        rows.append((i, " ".join(text), "en", "src0"))
+    shingles = [nd.shingles(nd.word_hashes(r[1])) for r in rows[:40]]
+    assert all(nd.similar(shingles[0], s) for s in shingles) and not any(nd.similar(*p) for p in combinations(shingles[1:], 2))
+    table = nd.numbered(docs_like(rows), ["doc_id"], text=nd.F.col("text"))
+    found = table.join(nd.classes(table), "row_id").select("doc.doc_id", "n_links", "class_row").toPandas()
+    assert found.class_row.nunique() == 1
+    links = found.set_index("doc_id").n_links
+    assert links[1000] == 1000 and (links.drop(1000) == 1).all()
+
+
+def test_two_unlike_leaders_do_not_hide_their_members_links(spark):
+    # rows 0 to 9 share one bucket and each is like the next one only
+    shared = spark.createDataFrame([(7, i, 4, True) for i in range(10)], "bucket long, row_id long, leader long, band boolean")
+    compared = nd.with_leaders(shared)
+
+    def verify(pairs):
+        return pairs.where("b = a + 1").localCheckpoint()
+
+    links = verify(compared)
+    for found in nd.settle(shared, nd.components(links), compared, verify):
+        links = links.union(found)
+    assert {r["root"] for r in nd.components(links).collect()} == {0} and links.count() == 9
+
+
 def test_pairs_grow_with_members(spark):
     keys = [7] * nd.BANDS
     rows = spark.range(500).selectExpr("id as row_id", "cast(cast(id as string) as binary) as words_key").crossJoin(

@@ -10,14 +10,17 @@ decides.
 Texts with equal words are put together first and only one of each goes on. In a
 bucket of a band every member is compared with one leader, and again within the
 smaller bucket that it shares with the next band; leaders differ from band to
-band. The pairs grow with the members, not with their square, however large a
-group of copies is.
+band. What that leaves is settled exactly: two members of a bucket that links do
+not join yet are compared, too, first with the members that meet most others, so
+that the pairs of a group of copies grow with its members. Only members that are
+unlike each other have to be compared pair by pair.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: labelled shingles in a sketch, sketches in a band, bands
 PICKS, ROWS, BANDS = 2, 2, 16
+#: open pairs for each row of a bucket that are compared at once, without another leader; rows of a bucket paired by one task
+FEW_PAIRS, PAIRED = 8, 256
 #: hashes held at once while a long text is sketched
 CHUNK = 1 << 20
 
@@ -199,28 +204,97 @@ def verified(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([similar(shingles(word_hashes(a)), shingles(word_hashes(b))) for a, b in zip(left, right)], dtype=bool)
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, row ids to compare, from (row_id, words_key, bands).
+def shared_buckets(bands: DataFrame) -> DataFrame:
+    """(bucket, row_id, leader, band) for the members of each bucket of two or more, from (row_id, words_key, bands).
 
-    In each bucket all are paired with the leader, whose words have the smallest
-    hash under a seed of the bucket's own. Leaders are found by a partial
-    aggregate and joined back, so a bucket of any size is spread.
+    The leader's words have the smallest hash under a seed of the bucket's own;
+    ``band`` tells a band's bucket from the smaller ones within it. Leaders are
+    found by a partial aggregate and joined back, so a bucket of any size is spread.
     """
     own = F.col("bands")
     pairs_of_bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(own[i], own[(i + 1) % BANDS]))
     buckets = bands.where(own.isNotNull()).select(
-        "row_id", "words_key", F.explode(F.array_union(own, pairs_of_bands)).alias("bucket")
+        "row_id", "words_key", F.posexplode(F.array_union(own, pairs_of_bands)).alias("at", "bucket")
     )
     order = F.struct(F.xxhash64("words_key", "bucket").alias("h"), F.col("row_id").alias("leader"))
     leaders = buckets.groupBy("bucket").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.join(leaders, "bucket").select("row_id", F.col("first.leader").alias("leader"))
-    return (
-        pairs.where("row_id != leader")
-        .select(F.least("row_id", "leader").alias("a"), F.greatest("row_id", "leader").alias("b"))
-        .distinct()
+    return buckets.join(leaders, "bucket").select(
+        "bucket", "row_id", F.col("first.leader").alias("leader"), (F.col("at") < BANDS).alias("band")
     )
 
 
+def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def with_leaders(shared: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: in each bucket all with the leader."""
+    return _ordered(shared.where("row_id != leader"), "row_id", "leader")
+
+
+def candidates(bands: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, row ids to compare first, from (row_id, words_key, bands)."""
+    return with_leaders(shared_buckets(bands))
+
+
+def _open(left: DataFrame) -> DataFrame:
+    """Rows (bucket, row_id, root, n) of buckets whose n members are not of one root."""
+    sides = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    return left.join(sides.where("low < high").select("bucket", "n"), "bucket")
+
+
+def _all_pairs(left: DataFrame) -> DataFrame:
+    """Distinct (a, b) of members of one bucket and different roots; a large bucket is spread over many tasks."""
+    parts = F.ceil(F.col("n") / PAIRED).cast("int")
+    one = left.select("bucket", F.pmod(F.xxhash64("row_id"), parts).cast("int").alias("part"), F.col("row_id").alias("x"), F.col("root").alias("rx"))
+    other = left.select(
+        "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("row_id").alias("y"), F.col("root").alias("ry")
+    )
+    return _ordered(one.join(other, ["bucket", "part"]).where("x < y and rx != ry"), "x", "y")
+
+
+def settle(shared: DataFrame, roots: DataFrame, compared: DataFrame, verify) -> list[DataFrame]:
+    """Links (a, b) by which any two like members of a bucket have one root.
+
+    ``compared`` are the pairs of ``with_leaders``, ``roots`` the components of
+    their links, ``verify`` keeps the links among pairs. A leader has met its
+    whole bucket and leaves it; the others stay, linked or not, for one that is
+    like the leader may be like one that is not. Next the member that meets most
+    others in its buckets leads, while that joins classes and many pairs are
+    open; then all open pairs are compared. Pairs with one root need no comparison.
+    """
+    left = shared.where("band and row_id != leader").select("bucket", "row_id")
+    left = left.join(roots.toDF("row_id", "root"), "row_id", "left")
+    left = left.select("bucket", "row_id", F.coalesce("root", "row_id").alias("root"))
+    found, joined = [], True
+    while True:
+        left = stored(_open(left), "open")
+        rows, pairs = left.agg(F.count("*"), F.sum((F.col("n") - 1) / 2)).first()
+        if not rows:
+            return found
+        last = pairs <= FEW_PAIRS * rows or not joined
+        if last:
+            pairs = _all_pairs(left)
+        else:
+            met = left.groupBy("row_id").agg(F.sum("n").alias("met"))
+            order = F.struct("met", F.xxhash64("row_id").alias("h"), "row_id", "root")
+            firsts = left.join(met, "row_id").groupBy("bucket").agg(F.max(order).alias("first"))
+            led = left.join(firsts.select("bucket", F.col("first.row_id").alias("leader"), F.col("first.root").alias("over")), "bucket")
+            led = stored(led, "led")
+            pairs = _ordered(led.where("root != over"), "row_id", "leader")
+        pairs = stored(pairs.join(compared, ["a", "b"], "left_anti"), "more_pairs")
+        links = verify(pairs)
+        found.append(links)
+        if last:
+            return found
+        compared = compared.union(pairs)
+        root_of = left.select("row_id", "root").distinct()
+        ends = links.join(root_of.toDF("a", "root_a"), "a").join(root_of.toDF("b", "root_b"), "b")
+        merged = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()).toDF("root", "lower")
+        joined = not merged.isEmpty()
+        left = led.where("row_id != leader").join(merged, "root", "left").select("bucket", "row_id", F.coalesce("lower", "root").alias("root"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for links (a, b): the smallest node that each node is joined to by links.
 
@@ -263,21 +337,32 @@ def classes(table: DataFrame) -> DataFrame:
     """(row_id, n_links, class_row) for rows (row_id, text) of a stored table.
 
     ``class_row`` is the smallest row of the group, ``n_links`` the verified
-    links of the row's words to other words.
+    links of the row's words to other words; words that other links join already
+    are not compared, so those of a large group are not all counted.
     """
     sketched = stored(
         table.select("row_id", "text").mapInArrow(_sketch, "row_id long, words_key binary, bands array<long>"), "sketches"
     )
     heads = sketched.groupBy("words_key").agg(F.min(F.struct("row_id", "bands")).alias("head"))
     heads = stored(heads.select("words_key", "head.*"), "heads")
-    pairs = stored(candidates(heads), "pairs")
+    shared = stored(shared_buckets(heads), "buckets")
+    pairs = stored(with_leaders(shared), "pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
     texts = stored(table.select("row_id", "text").join(members.hint("shuffle_hash"), "row_id", "left_semi"), "members")
     a = texts.select(F.col("row_id").alias("a"), F.col("text").alias("left"))
     b = texts.select(F.col("row_id").alias("b"), F.col("text").alias("right"))
-    links = stored(pairs.join(a, "a").join(b, "b").where(verified("left", "right")).select("a", "b"), "links")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.join(a, "a").join(b, "b").where(verified("left", "right")).select("a", "b"), "links")
+
+    links = verify(pairs)
+    roots = components(links)
+    more = settle(shared, roots, pairs, verify)
+    if any(not m.isEmpty() for m in more):
+        links = reduce(DataFrame.union, more, links)
+        roots = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n_links"))
-    roots = components(links).toDF("head", "class_row")
+    roots = roots.toDF("head", "class_row")
     told = heads.select("words_key", F.col("row_id").alias("head")).join(ends, "head", "left").join(roots, "head", "left")
     return sketched.select("row_id", "words_key").join(told, "words_key").select(
         "row_id",
