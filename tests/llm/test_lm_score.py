@@ -108,6 +108,16 @@ def test_beats_the_base_on_held_out_documents():
     assert score > 0.98 * base
 
 
+def test_beats_the_base_from_a_thousand_documents():
+    import pandas as pd
+
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in docs.doc_id]
+    train, rest = docs.text[[not h for h in held]].tolist(), docs.text[held].tolist()
+    base = sum(b for _, _, b in base_scores(rest, train)[0])
+    assert model_of(train).score([lm.symbols(lm.tokens(t)) for t in rest]).sum() / math.log(10) > base
+
+
 def test_odd_rows(odd, none):
     got = lm.score_documents(odd, odd).collect()
     assert len(got) == len(ODD_ROWS) and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
