@@ -47,6 +47,19 @@ def test_repetitive_texts_have_bounded_signatures(text):
     assert len(fp.fingerprint(text)) < 2500
 
 
+def test_texts_of_one_repeated_line_are_like_their_edits():
+    rng = random.Random(4)
+    other = " ".join(f"word{rng.randrange(10**5)}" for _ in range(120_000))
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    lines = ["na ", "x", *("".join(rng.choice(letters) for _ in range(n)) for n in (41, 41, 41, 57, 57, 57, 120))]
+    for line in lines:
+        text = line * (20_000 if len(line) > 2 else 90_000)
+        near = likeness(fp.fingerprint(text[:600_000]), fp.fingerprint(fp.edited(text[:600_000], other)))
+        # of the signatures' characters those of the repeated two thirds are shared
+        assert near > 0.2
+        assert likeness(fp.fingerprint(text[:600_000]), fp.fingerprint(other[:600_000])) < near
+
+
 def test_signatures_use_whole_texts():
     text = "abc def ghi " * 2000
     assert fp.fingerprint(text + "x") != fp.fingerprint(text + "y")

@@ -4,7 +4,9 @@ A rolling hash over the last few bytes says where a chunk ends, so an edit moves
 only the ends near it. Each chunk gives one character of a signature. The mean
 chunk length follows the text's length in powers of two, and a second signature
 is made at twice that length, so texts of somewhat different lengths can still be
-compared, by edit distance, at a length they share.
+compared, by edit distance, at a length they share. Where repetition gives no ends,
+chunks end at a fixed length after the last one, so texts that repeat one line are
+compared at such a length, too.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from tripflow.llm.near_dedup import _POWERS
 
 #: characters of signatures
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-", dtype=np.uint8)
-#: fewer chunks than this halve the chunk length, so often at most
-FEW, HALVINGS = 32, 3
+#: fewer chunks than this halve the chunk length; a chunk is at most so many times the mean length
+FEW, LONGEST = 32, 4
 _ROLL = 0x2C1B3C6D
 
 
@@ -50,7 +52,11 @@ def _rolling(data: np.ndarray) -> np.ndarray:
 
 
 def _ends(rolled: np.ndarray, bits: int) -> np.ndarray:
-    """Where chunks of mean length 2**bits end. Ends crowded by repetition are thinned to a quarter of that apart."""
+    """Where chunks of mean length 2**bits end.
+
+    Ends crowded by repetition are thinned to a quarter of that apart, and
+    stretches without ends are cut at ``LONGEST`` times that.
+    """
     n = len(rolled)
     if bits:
         ends = np.flatnonzero(rolled >> np.uint32(32 - bits) == (1 << bits) - 1) + 1
@@ -62,7 +68,14 @@ def _ends(rolled: np.ndarray, bits: int) -> np.ndarray:
             kept.append(int(ends[at]))
             at = int(np.searchsorted(ends, ends[at] + (1 << bits) // 4))
         ends = np.array(kept)
-    return ends if len(ends) and ends[-1] == n else np.append(ends, n)
+    ends = ends if len(ends) and ends[-1] == n else np.append(ends, n)
+    longest = LONGEST << bits
+    starts = np.concatenate([[0], ends[:-1]])
+    cuts = (ends - starts - 1) // longest
+    if cuts.any():
+        nth = np.arange(1, cuts.sum() + 1) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        ends = np.sort(np.concatenate([ends, np.repeat(starts, cuts) + nth * longest]))
+    return ends
 
 
 def _signature(sums: np.ndarray, down: np.ndarray, ends: np.ndarray) -> str:
@@ -81,9 +94,7 @@ def fingerprint(text: str) -> str:
     bits = max(0, n.bit_length() - 7)
     rolled = _rolling(data)
     ends = _ends(rolled, bits)
-    for _ in range(HALVINGS):
-        if len(ends) >= FEW or not bits:
-            break
+    while len(ends) < FEW and bits:
         bits -= 1
         ends = _ends(rolled, bits)
     up, down = _POWERS.of(n)
