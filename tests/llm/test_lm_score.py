@@ -118,6 +118,12 @@ def test_beats_the_base_from_a_thousand_documents():
     assert model_of(train).score([lm.symbols(lm.tokens(t)) for t in rest]).sum() / math.log(10) > base
 
 
+def test_long_words_are_joined_not_sent(spark):
+    rows = [(b"x" * 200_000, 9), (b"y" * 65, 9), (b"z" * 64, 8), (b"a", 7), (b"b", 1), (lm.END, 20)]
+    top = lm.most_frequent(spark.createDataFrame(rows, "word binary, c long"), 2).collect()
+    assert [bytes(r["word"]) for r in top] == [b"z" * 64, b"a"]
+
+
 def test_odd_rows(odd, none):
     got = lm.score_documents(odd, odd).collect()
     assert len(got) == len(ODD_ROWS) and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)

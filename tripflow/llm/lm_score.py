@@ -54,8 +54,8 @@ WEIGHT_RATE, TABLE_RATE = 0.008, 0.05
 SCALE = 16
 #: input splits that one task counts, where that leaves every core a task
 SPLITS_PER_TASK = 4
-#: words whose counts every task knows; the rest is joined
-FREQUENT = 1 << 18
+#: words whose counts every task knows, each of so many bytes at most; the rest is joined
+FREQUENT, FREQUENT_BYTES = 1 << 18, 64
 
 _SYMBOL = np.full(256, ESCAPE, dtype=np.uint8)
 _SYMBOL[np.frombuffer(COMMON, dtype=np.uint8)] = np.arange(len(COMMON))
@@ -360,13 +360,19 @@ def _loaded(model, frequent) -> tuple[Model, dict[bytes, float]]:
     return _CACHE[key]
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The (word, c) that every task knows: the ``most`` most frequent words that are not long."""
+    short = (F.col("word") != F.lit(END)) & (F.octet_length("word") <= FREQUENT_BYTES)
+    return counts.where(short).orderBy(F.desc("c"), "word").limit(most)
+
+
 def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int = FREQUENT) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) per row of ``docs``.
 
     Learns from the texts of all rows of ``learn_from``. Tokens are the words and
     one end. ``base_score`` is the add-one unigram score, exact for every word:
-    the ``frequent_words`` most frequent are known to every task, tokens that are
-    not among them are joined with the counts. Null and empty texts are an end
+    the ``frequent_words`` most frequent that are not long are known to every task,
+    tokens that are not among them are joined with the counts. Null and empty texts are an end
     only; repeated rows are scored one by one and count each in learning. Without
     rows to learn from all counts are 0 and the tables say nothing. The tables
     have a fixed size, whatever the corpus.
@@ -390,7 +396,7 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int
     whole = halves.groupBy("block").applyInPandas(_wholly, "block int, packed binary").toArrow()
     blocks = dict(zip(whole["block"].to_pylist(), whole["packed"].to_pylist()))
     digest = zlib.crc32(b"".join(blocks[k] for k in sorted(blocks)))
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(frequent_words).toArrow()
+    top = most_frequent(counts, frequent_words).toArrow()
     model = spark.sparkContext.broadcast({"digest": (digest, v, total), "blocks": blocks})
     # the words in one string, as none holds white space
     frequent = spark.sparkContext.broadcast(
