@@ -90,8 +90,9 @@ def walk(anchors: dict[str, np.ndarray], block: dict[str, np.ndarray], k: int, s
         w, c = np.nonzero(fits)
         if len(w):
             found.append((live[w], at[c], s[w, c]))
-            pool = np.concatenate([best[live], np.where(fits, s, -BEYOND)], axis=1)
-            best[live] = np.sort(np.partition(pool, -k, axis=1)[:, -k:], axis=1)
+            hit = np.unique(w)
+            pool = np.concatenate([best[live[hit]], np.where(fits[hit], s[hit], -BEYOND)], axis=1)
+            best[live[hit]] = np.sort(np.partition(pool, -k, axis=1)[:, -k:], axis=1)
     if not found:
         return (np.zeros(0, np.int64),) * 3
     w, c, s = (np.concatenate(f) for f in zip(*found))

@@ -98,12 +98,13 @@ def paired(queries: DataFrame, blocks: DataFrame, bytes_of_blocks: int) -> DataF
     """Each block of queries beside each block of rows, whose columns get the prefix ``x_``.
 
     Blocks are dealt over tiles and the queries are sent to every tile, so each
-    shuffled row is a bounded block and tiles are alike in size.
+    shuffled row is a bounded block and tiles are alike in size. The number of
+    partitions is given, for it follows the work of the pairs, not their bytes.
     """
     tiles = max(TILES, math.ceil(bytes_of_blocks / TILE_BYTES))
     right = blocks.select(F.pmod(F.xxhash64("cell", "part"), F.lit(tiles)).cast("int").alias("tile"), *[F.col(c).alias(f"x_{c}") for c in blocks.columns])
     left = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
-    return left.join(right, "tile")
+    return left.repartition(tiles, "tile").join(right.repartition(tiles, "tile"), "tile")
 
 
 def unpacked(value: pa.Scalar, dtype: type, length: int | None = None) -> np.ndarray:
