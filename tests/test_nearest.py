@@ -49,30 +49,72 @@ def clustered(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 30, 0])
-def test_knn_equals_brute_force(spark, broadcast_bytes):
+@pytest.mark.parametrize("tree_bytes", [1 << 20, 20_000, 100])
+def test_knn_equals_brute_force(spark, tree_bytes):
     stations = clustered(1, 400)
     rnd = random.Random(2)
     points = [(i, 33 + rnd.random() * 2, -85 + rnd.random() * 2) for i in range(150)]
     points += [(200 + i, 33.7 + rnd.random() * 2e-2, -84.4 + rnd.random() * 2e-2) for i in range(100)]
     points += [(400, 33.75, -84.25), (401, 10.0, 10.0), (402, None, -84.0)]
-    index, got = lookup(spark, points, stations, k=5, max_miles=12.0, list_target=16, broadcast_bytes=broadcast_bytes)
+    index, got = lookup(spark, points, stations, k=5, max_miles=12.0, tree_bytes=tree_bytes)
     want = brute_force(points[:-1], stations, 5, 12.0)
     assert got.pop(402) == []
     assert got == want
-    assert index.cells.agg(F.max("level")).first()[0] >= 2  # dense spots were split
     assert got[401] == []
-    assert index.broadcast_cells == (broadcast_bytes > 0)
-
-
-def test_lists_inside_a_dense_spot_are_short(spark):
-    rows = [(i, 33.7 + (i % 20) * 1e-3, -84.4 + (i // 20) * 1e-3, 0.5) for i in range(400)]
-    index, got = lookup(spark, [(1, 33.7095, -84.3905)], rows, k=3, max_miles=25.0, list_target=32)
-    points = spark.createDataFrame([(33.7095, -84.3905)], "lat double, lon double")
-    cells = index.cells.select("level", "near", F.pow(F.lit(4), "level").alias("n"), "cx", "cy").crossJoin(points)
-    inside = cells.where((F.floor((F.col("lon") + 180) * 2 * F.col("n")) == F.col("cx")) & (F.floor((F.col("lat") + 90) * 2 * F.col("n")) == F.col("cy")))
-    assert [len(r["near"]) <= 32 for r in inside.select("near").collect()] == [True]
-    assert len(got[1]) == 3
+    assert (index.subtrees is None) == (tree_bytes == 1 << 20)
+
+
+def entries(value):
+    """Numbers of entries of each list in a nested tree."""
+    yield len(value)
+    for e in value:
+        if isinstance(e["content"], list):
+            yield from entries(e["content"])
+
+
+@pytest.mark.parametrize("n", [500, 5000])
+def test_lists_stay_short_however_tight_the_group(spark, n):
+    rnd = random.Random(n)
+    rows = [(i, 33.7 + rnd.random() * 1e-3, -84.4 + rnd.random() * 1e-3, 0.5) for i in range(n)]
+    points = [(0, 33.7005, -84.3995), (1, 33.6, -84.3), (2, 33.9, -84.4), (3, 33.7, -84.0)]
+    index, got = lookup(spark, points, rows, k=10)
+    assert got == brute_force(points, rows, 10, 25.0)
+    assert max(entries(index.tree.first()["top"])) <= 8
+    # what a far point measures, level by level, is a strip of the group and not all of it
+    frame = spark.createDataFrame(points, "i long, lat double, lon double")
+    opened = frame.withColumns({"_phi": F.radians("lat"), "_theta": F.radians("lon"), "_cos": F.cos(F.radians("lat")), "_e": index.tree.scalar()})
+    for _ in range(index.levels):
+        opened = ns._descended(opened, 1, 10, 25.0)
+        assert opened.agg(F.max(F.size("_e"))).first()[0] <= max(300, n // 8)
+
+
+def test_index_is_stored_and_read_again(spark, tmp_path):
+    rows = clustered(7, 300)
+    points = spark.createDataFrame([(i, 33 + i / 40, -85 + i / 50) for i in range(80)], "i long, lat double, lon double")
+    frame = spark.createDataFrame(rows, "station_id long, lat double, lon double, probability double")
+    for tree_bytes in (1 << 20, 5000):
+        index = ns.build_station_index(frame, ["probability"], k=4, tree_bytes=tree_bytes)
+        ns.save_station_index(index, str(tmp_path / str(tree_bytes)))
+        again = ns.load_station_index(spark, str(tmp_path / str(tree_bytes)))
+        one, two = (ns.nearest_stations(points, x, F.col("lat"), F.col("lon")).orderBy("i").collect() for x in (index, again))
+        assert one == two and again.k == 4
+
+
+def test_groups_cover_their_stations(spark):
+    rows = clustered(3, 700) + [(1000, 89.99, 12.0, 0.1), (1001, -89.99, 12.0, 0.1), (1002, 10.0, 179.99, 0.1), (1003, 10.0, -179.99, 0.1)]
+    frame = spark.createDataFrame(rows, "station_id long, lat double, lon double, probability double")
+    index = ns.build_station_index(frame, ["probability"], k=1000)
+
+    def check(group):
+        if not isinstance(group["content"], list):
+            return [group["content"]]
+        held = [s for e in group["content"] for s in check(e)]
+        assert len(held) == group["n"]
+        for s in held:
+            assert miles(math.degrees(group["phi"]), math.degrees(group["theta"]), s["lat"], s["lon"]) <= group["radius"] + 1e-6
+        return held
+
+    assert sorted(s["station_id"] for g in index.tree.first()["top"] for s in check(g)) == sorted(r[0] for r in rows)
 
 
 def test_knn_over_poles_and_date_line(spark):

@@ -1,89 +1,66 @@
 """k nearest stations per point within a radius, without pairing points and stations.
 
-The stations are turned once into an index: map cells, each with the short list
-of stations that can be among the k nearest of any point in the cell. A point
-then looks up its one cell and ranks that list in place; the big table of
-points is never exploded over stations, grouped or sorted.
-
-For a cell with centre c and circumradius r, let d_k be the distance from c to
-its k-th nearest station. By the triangle inequality every point of the cell has
-k stations within d_k + r, so only stations within d_k + 2r of c can matter, and
-none further than max_miles + r. Cells whose list is still long are split, so
-lists shrink towards k however dense or clustered the stations are. Lists are
-never truncated; the result is exact.
+The stations become a tree once: neighbours on a space-filling curve are packed
+into groups of eight, groups into groups, up to a few at the top. A group knows
+its centre, its radius, how many stations it holds, and its children. A point
+opens groups from the top: a group at distance d with radius r has all its
+stations between d - r and d + r, so with the counts the groups tell within
+which distance k stations lie, and what is further away stays closed. Nothing is
+cut short, so the result is exact. How tight the stations stand or from how far
+they are seen does not matter: a point opens some groups of a level, not a list.
+
+The tree is one nested value and points search it in place; they are never
+exploded over stations, grouped or sorted. A tree above a measured size is cut:
+the upper part is searched in place and names the subtrees that a point still
+needs, which are joined to it.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
-from functools import reduce
-from math import degrees, pi, sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripflow.functions.geo import EARTH_RADIUS_MILES, haversine_miles
+from tripflow.functions.geo import EARTH_RADIUS_MILES
 from tripflow.session import cut_lineage
+from tripflow.sources.logs import read_record, write_record
 
 # Neighbours per trip, their reach, the softening of the weight.
 NEIGHBOURS = 10
 MAX_MILES = 25.0
 WEIGHT_SOFTENING = 1e-3
 
-BASE_DEGREES = 0.5  # at most 720 x 360 base cells, which bounds the level table
-SPLIT = 4  # a split cell becomes 4 x 4 cells
-MAX_LEVEL = 9  # 0.5 degrees / 4**9 is about eight inches
+FAN_BITS = 3  # a group holds up to eight
+CURVE_BITS = 24  # cells of the curve are about five feet wide
 SLACK_MILES = 1e-6
-# With evenly spread stations a list longer than three times k ends within five radii.
-NEARBY_RADII = 5.0
 # Distances closer than this count as equal and are ordered by station id, so
 # that rounding noise in trigonometric functions cannot decide a rank.
 TIE_SCALE = 1e8
 
-CELL = ["cx", "cy"]
-
 
 @dataclass(frozen=True)
 class StationIndex:
-    cells: DataFrame  # level, cx, cy, near: array of struct(phi, theta, cos, station)
-    levels: DataFrame  # bx, by, levels: which levels have cells inside a base cell
-    broadcast_cells: bool
+    tree: DataFrame  # one row, top: the uppermost groups
+    levels: int  # how often groups of ``tree`` are opened until stations, or ids of subtrees, are reached
+    subtrees: DataFrame | None  # id, top: the groups below the cut
+    sub_levels: int
     k: int
     max_miles: float
 
 
-def _grid(degrees_from_edge: Column, level: Column | int) -> Column:
-    """Cell number along one axis. Cell sizes are powers of two: exact arithmetic."""
-    per_degree = F.lit(1.0 / BASE_DEGREES) * F.pow(F.lit(float(SPLIT)), F.lit(level) if isinstance(level, int) else level)
-    return F.floor(degrees_from_edge * per_degree)
-
-
-def _east(lon: Column) -> Column:
-    return F.pmod(lon + 180.0, F.lit(360.0))
-
-
-def _north(lat: Column) -> Column:
-    return lat + 90.0
+def _interleaved(x: Column, y: Column) -> Column:
+    """The bits of two whole numbers in turn: position on the curve."""
 
+    def spread(v: Column) -> Column:
+        v = v.bitwiseAND(F.lit((1 << CURVE_BITS) - 1))
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
 
-def _cell_degrees(level: int) -> float:
-    return BASE_DEGREES / SPLIT**level
-
-
-def _circumradius(level: int) -> float:
-    """Upper bound of the distance from a cell's centre to any of its points."""
-    return EARTH_RADIUS_MILES * _cell_degrees(level) * pi / 180 / sqrt(2)
-
-
-def _distance_to_centre(level: int) -> Column:
-    size = _cell_degrees(level)
-    return haversine_miles(
-        (F.col("cy") + 0.5) * size - 90.0,
-        (F.col("cx") + 0.5) * size - 180.0,
-        F.col("station.lat"),
-        F.col("station.lon"),
-    )
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
 
 
 def _one_position_at_most(stations: DataFrame, k: int) -> DataFrame:
@@ -92,53 +69,52 @@ def _one_position_at_most(stations: DataFrame, k: int) -> DataFrame:
     return stations.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).drop("rank")
 
 
-def _base_pairs(stations: DataFrame, max_miles: float) -> DataFrame:
-    """Each station with the base cells that may hold a point within its reach."""
-    reach = degrees(max_miles / EARTH_RADIUS_MILES) + 1e-9
-    lat, x, y = F.col("station.lat"), _east(F.col("station.lon")), _north(F.col("station.lat"))
-    # widest longitude span of the circle; all of it when the circle holds a pole
-    span = F.degrees(F.asin(F.sin(F.radians(F.lit(reach))) / F.cos(F.radians(lat)))) + 1e-9
-    span = F.when(F.abs(lat) + reach < 90.0, span).otherwise(180.0)
-    around = int(360 / BASE_DEGREES)
-    columns = F.when(
-        span < 180.0 - BASE_DEGREES,
-        F.transform(F.sequence(_grid(x - span, 0), _grid(x + span, 0)), lambda c: F.pmod(c, F.lit(around))),
-    ).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(around - 1).cast("long")))
-    rows = F.sequence(_grid(y - reach, 0), _grid(y + reach, 0))
-    return stations.select("station", F.explode(columns).alias("cx"), rows.alias("rows")).select(
-        "station", "cx", F.explode("rows").alias("cy")
-    )
+def _miles(phi: Column, theta: Column, cos: Column, to) -> Column:
+    """Great-circle miles between a place in radians and a struct (phi, theta, cos)."""
+    half_lat, half_lon = F.sin((to["phi"] - phi) * 0.5), F.sin((to["theta"] - theta) * 0.5)
+    chord = F.pow(half_lat, 2) + cos * to["cos"] * F.pow(half_lon, 2)
+    return F.asin(F.sqrt(F.least(F.lit(1.0), chord))) * (2 * EARTH_RADIUS_MILES)
 
 
-def _prune(pairs: DataFrame, level: int, k: int, max_miles: float) -> DataFrame:
-    """Keep the stations that can rank among the k nearest somewhere in the cell."""
-    radius = _circumradius(level)
-    measured = pairs.withColumn("d", _distance_to_centre(level)).where(
-        F.col("d") <= max_miles + radius + SLACK_MILES
-    )
-    by_distance = W.partitionBy(*CELL).orderBy("d")
-    bound = (
-        measured.select(*CELL, "d")
-        .withColumn("rank", F.row_number().over(by_distance))
-        .where(F.col("rank") <= k)
-        .groupBy(*CELL)
-        .agg(F.when(F.count("*") == k, F.max("d")).alias("kth"))
-    )
-    return (
-        measured.join(bound, CELL)
-        .where(F.col("kth").isNull() | (F.col("d") <= F.col("kth") + 2 * radius + SLACK_MILES))
-        .select(*CELL, "station", (F.col("d") <= NEARBY_RADII * radius).alias("nearby"))
-    )
+def _placed(stations: DataFrame, fields: list[str], k: int) -> DataFrame:
+    """(code, phi, theta, cos, radius, n, content): stations numbered along the curve."""
+    rows = stations.dropna(subset=["lat", "lon"]).select(F.struct(*fields).alias("station"))
+    lat, lon = F.col("station.lat"), F.col("station.lon")
+    cells = float(1 << CURVE_BITS)
+    x, y = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * cells), F.floor(F.least((lat + 90.0) / 180.0 * cells, F.lit(cells - 1)))
+    spot = _one_position_at_most(rows, k).withColumn("z", _interleaved(x, y))
+    ordered = spot.repartitionByRange("z", "station").sortWithinPartitions("z", "station")
+    # the number of the partition above, the place in it below: the order along the curve
+    return cut_lineage(
+        ordered.select(
+            F.monotonically_increasing_id().alias("at"), F.radians(lat).alias("phi"), F.radians(lon).alias("theta"),
+            F.cos(F.radians(lat)).alias("cos"), F.lit(0.0).alias("radius"), F.lit(1).cast("long").alias("n"), F.col("station").alias("content"),
+        )
+    )
+
 
+def _grouped(level: DataFrame) -> DataFrame:
+    """The groups of up to eight neighbours each, with centre, radius and count."""
+    members = F.sort_array(F.collect_list(F.struct("code", "phi", "theta", "cos", "radius", "n", "content")))
+    packed = level.groupBy(F.shiftright("code", FAN_BITS).alias("code")).agg(members.alias("m"))
 
-def _split(pairs: DataFrame) -> DataFrame:
-    steps = F.sequence(F.lit(0).cast("long"), F.lit(SPLIT - 1).cast("long"))
-    return (
-        pairs.withColumn("dx", F.explode(steps))
-        .withColumn("dy", F.explode(steps))
-        .withColumns({"cx": F.col("cx") * SPLIT + F.col("dx"), "cy": F.col("cy") * SPLIT + F.col("dy")})
-        .drop("dx", "dy")
+    def total(value) -> Column:
+        return F.aggregate(F.transform("m", value), F.lit(0.0), lambda s, x: s + x)
+
+    # the mean of the directions, found in space: right at the poles and the date line
+    packed = packed.withColumns(
+        {
+            "x": total(lambda e: e["cos"] * F.cos(e["theta"])),
+            "y": total(lambda e: e["cos"] * F.sin(e["theta"])),
+            "z": total(lambda e: F.sin(e["phi"])),
+        }
     )
+    packed = packed.withColumns({"phi": F.atan2("z", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))), "theta": F.atan2("y", "x")})
+    packed = packed.withColumn("cos", F.cos("phi"))
+    reach = F.array_max(F.transform("m", lambda e: _miles(F.col("phi"), F.col("theta"), F.col("cos"), e) + e["radius"]))
+    count = F.aggregate("m", F.lit(0).cast("long"), lambda s, e: s + e["n"])
+    content = F.transform("m", lambda e: F.struct(*[e[c].alias(c) for c in ("phi", "theta", "cos", "radius", "n", "content")]))
+    return packed.select("code", "phi", "theta", "cos", (reach + SLACK_MILES).alias("radius"), count.alias("n"), content.alias("content"))
 
 
 def build_station_index(
@@ -146,96 +122,121 @@ def build_station_index(
     payload: list[str],
     k: int = NEIGHBOURS,
     max_miles: float = MAX_MILES,
-    list_target: int = 32,
-    broadcast_bytes: int = 64 << 20,
+    tree_bytes: int = 1 << 20,
 ) -> StationIndex:
     """Index over ``station_id``, ``lat``, ``lon`` and the ``payload`` columns.
 
-    Costs a few jobs over the stations only. The cell table is broadcast to the
-    points later only when its measured size is below ``broadcast_bytes``.
+    One sort of the stations and one small aggregation a level. ``tree_bytes``
+    bounds what every task is handed; above it the tree is cut so that the upper
+    part fits. A subtree is a row of 8 to the power of its levels stations at most.
     """
-    fields = ["station_id", "lat", "lon", *payload]
-    rows = stations.dropna(subset=["lat", "lon"]).select(F.struct(*fields).alias("station"))
-    pairs = cut_lineage(_prune(_base_pairs(_one_position_at_most(rows, k), max_miles), 0, k, max_miles))
-    cells = pairs.select(*CELL).distinct()
-    entry = F.struct(
-        F.radians("station.lat").alias("phi"),
-        F.radians("station.lon").alias("theta"),
-        F.cos(F.radians("station.lat")).alias("cos"),
-        "station",
-    )
-    level, finished = 0, []
-    while True:
-        # Splitting shortens a list only where stations are dense around the cell itself.
-        # A far, tight group stays one bundle however small the cell, so it does not count.
-        sizes = pairs.groupBy(*CELL).agg(F.count_if("nearby").alias("nearby"))
-        long = sizes.where(F.col("nearby") > list_target).select(*CELL)
-        last = level == MAX_LEVEL or long.isEmpty()
-        done = pairs if last else pairs.join(long, CELL, "left_anti")
-        lists = done.groupBy(*CELL).agg(F.collect_list(entry).alias("near"))
-        done_cells = cells if last else cells.join(long, CELL, "left_anti")
-        # cells without any station in reach stay, with an empty list: the cells tile the map
-        finished.append(
-            done_cells.join(lists, CELL, "left").select(
-                F.lit(level).alias("level"),
-                *CELL,
-                F.coalesce("near", F.array().cast(lists.schema["near"].dataType)).alias("near"),
-            )
-        )
-        if last:
-            break
-        level += 1
-        cells = _split(long)
-        pairs = cut_lineage(_prune(_split(pairs.join(long, CELL).drop("nearby")), level, k, max_miles))
-    index = cut_lineage(reduce(DataFrame.unionByName, finished))
-    to_base = F.pow(F.lit(SPLIT), F.col("level"))
-    levels = index.groupBy(
-        F.floor(F.col("cx") / to_base).alias("bx"), F.floor(F.col("cy") / to_base).alias("by")
-    ).agg(F.collect_set("level").alias("levels"))
-    size = index.agg(F.count("*").alias("cells"), F.sum(F.size("near")).alias("entries")).first()
-    bytes_estimate = size["cells"] * 64 + (size["entries"] or 0) * (72 + 16 * len(payload))
-    return StationIndex(index, cut_lineage(levels), bytes_estimate <= broadcast_bytes, k, max_miles)
-
-
-def _neighbours(index: StationIndex) -> Column:
-    """The point's list ranked. Angles and cosines are computed ahead, once per point and station."""
-
-    def distance(s: Column) -> Column:
-        half_lat = F.sin((s["phi"] - F.col("_phi")) * 0.5)
-        half_lon = F.sin((s["theta"] - F.col("_theta")) * 0.5)
-        chord = F.pow(half_lat, 2) + F.col("_cos") * s["cos"] * F.pow(half_lon, 2)
-        return F.asin(F.sqrt(F.least(F.lit(1.0), chord))) * (2 * EARTH_RADIUS_MILES)
-
-    measured = F.transform(
-        "_near", lambda s: F.struct(distance(s).alias("dist_miles"), s["station"].alias("station"))
+    level = _placed(stations, ["station_id", "lat", "lon", *payload], k)
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    n, parts, most = level.agg(F.count("*"), F.max(part), F.max(place)).first()
+    bits = FAN_BITS * math.ceil((most or 0).bit_length() / FAN_BITS)
+    level = level.withColumn("code", F.shiftleft(part, bits).bitwiseOR(place)).drop("at")
+    # each level takes its bits off the numbers; the last ones that are left number the uppermost groups
+    depth = max(1, math.ceil((bits + (parts or 0).bit_length()) / FAN_BITS)) - 1
+    size = n * (100 + 16 * len(payload))
+    subtrees, below = None, 0
+    if size > tree_bytes and depth:
+        while below == 0 or (below < depth and size >> FAN_BITS * below > tree_bytes):
+            level, below = _grouped(level), below + 1
+        level = cut_lineage(level)
+        subtrees = cut_lineage(level.select(F.col("code").alias("id"), F.col("content").alias("top")))
+        level = level.withColumn("content", F.col("code"))
+    for _ in range(depth - below):
+        level = _grouped(level)
+    entry = F.struct("phi", "theta", "cos", "radius", "n", "content")
+    tree = cut_lineage(level.agg(F.collect_list(entry).alias("top")))
+    return StationIndex(tree, depth - below, subtrees, max(0, below - 1), k, max_miles)
+
+
+def save_station_index(index: StationIndex, path: str) -> None:
+    """The index as tables below ``path``, to be used by later jobs."""
+    spark = index.tree.sparkSession
+    index.tree.write.mode("overwrite").parquet(f"{path}/tree")
+    if index.subtrees is not None:
+        index.subtrees.write.mode("overwrite").parquet(f"{path}/subtrees")
+    record = {f: getattr(index, f) for f in ("levels", "sub_levels", "k", "max_miles")} | {"cut": index.subtrees is not None}
+    write_record(spark, record, f"{path}/record")
+
+
+def load_station_index(spark: SparkSession, path: str) -> StationIndex:
+    record = read_record(spark, f"{path}/record")
+    subtrees = spark.read.parquet(f"{path}/subtrees") if record.pop("cut") else None
+    return StationIndex(tree=spark.read.parquet(f"{path}/tree"), subtrees=subtrees, **record)
+
+
+def _measured(points: DataFrame) -> DataFrame:
+    """Adds ``_d``, the distances of the entries ``_e``."""
+    angles = [F.col(c) for c in ("_phi", "_theta", "_cos")]
+    return points.withColumn("_d", F.transform("_e", lambda e: _miles(*angles, e)))
+
+
+def _kept(points: DataFrame, k: int, max_miles: float) -> DataFrame:
+    """``_e`` without the entries that cannot hold one of the k nearest.
+
+    In the order of their furthest point, the entry that makes k stations full
+    bounds the distance of the k-th.
+    """
+    ends = F.transform("_e", lambda e, i: F.struct((F.col("_d")[i] + e["radius"]).alias("end"), e["n"].alias("n")))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("end"))
+    filled = F.aggregate(
+        F.sort_array(ends), none, lambda s, e: F.when(s["n"] >= k, s).otherwise(F.struct((s["n"] + e["n"]).alias("n"), e["end"].alias("end")))
     )
-    near = F.filter(measured, lambda s: s["dist_miles"] <= index.max_miles)
-    ranked = F.transform(
-        near, lambda s: F.struct(F.rint(s["dist_miles"] * TIE_SCALE).alias("tie"), s["station"], s["dist_miles"])
+    bounded = _measured(points).withColumn("_full", filled)
+    bound = F.least(F.when(F.col("_full.n") >= k, F.col("_full.end")).otherwise(F.lit(max_miles)), F.lit(max_miles))
+    bounded = bounded.withColumn("_bound", bound + SLACK_MILES)
+    return bounded.withColumn("_e", F.filter("_e", lambda e, i: F.col("_d")[i] - e["radius"] <= F.col("_bound")))
+
+
+def _descended(points: DataFrame, levels: int, k: int, max_miles: float) -> DataFrame:
+    """``_e`` opened ``levels`` times."""
+    for _ in range(levels):
+        points = _kept(points, k, max_miles).withColumn("_e", F.flatten(F.col("_e.content")))
+    return points
+
+
+def _ranked(points: DataFrame, index: StationIndex) -> DataFrame:
+    """Adds ``neighbours``: the stations ``_e`` within reach by distance, then id, up to k.
+
+    One row generated per point keeps later filters on ``neighbours`` from being
+    pushed into the search, which would repeat it level by level.
+    """
+    near = F.transform(
+        "_e", lambda e, i: F.struct(F.rint(F.col("_d")[i] * TIE_SCALE).alias("tie"), e["content"].alias("station"), F.col("_d")[i].alias("dist_miles"))
     )
-    return F.slice(F.sort_array(ranked), 1, index.k)
+    within = F.filter(near, lambda s: s["dist_miles"] <= index.max_miles)
+    first = F.slice(F.sort_array(within), 1, index.k)
+    return _measured(points).select("*", F.inline(F.array(F.struct(first.alias("neighbours")))))
 
 
 def nearest_stations(points: DataFrame, index: StationIndex, lat: Column, lon: Column) -> DataFrame:
     """``points`` plus ``neighbours``: up to k structs, nearest first; empty or null if none."""
-    cells = index.cells.withColumnsRenamed({"level": "_level", "cx": "_cx", "cy": "_cy", "near": "_near"})
-    levels = index.levels.withColumnsRenamed({"bx": "_bx", "by": "_by", "levels": "_levels"})
-    if index.broadcast_cells:
-        cells = F.broadcast(cells)
-    placed = (
-        points.withColumns({"_x": _east(lon), "_y": _north(lat)})
-        .withColumns({"_bx": _grid(F.col("_x"), 0), "_by": _grid(F.col("_y"), 0)})
-        # one row per base cell of the globe at most: bounded, hence broadcast
-        .join(F.broadcast(levels), ["_bx", "_by"], "left")
-        .withColumn("_level", F.explode_outer("_levels"))
-        .withColumns({"_cx": _grid(F.col("_x"), F.col("_level")), "_cy": _grid(F.col("_y"), F.col("_level"))})
-    )
-    # of the levels in use around a point, exactly one has a cell holding it
-    found = placed.join(cells, ["_level", "_cx", "_cy"], "left").where(
-        F.col("_near").isNotNull() | F.col("_level").isNull()
-    )
-    angles = {"_phi": F.radians(lat), "_theta": F.radians(lon), "_cos": F.cos(F.radians(lat))}
-    return found.withColumns(angles).select(*points.columns, _neighbours(index).alias("neighbours"))
+    if index.subtrees is not None:
+        return _nearest_in_subtrees(points, index, lat, lon)
+    placed = points.withColumns({"_phi": F.radians(lat), "_theta": F.radians(lon), "_cos": F.cos(F.radians(lat))})
+    placed = placed.withColumn("_e", index.tree.scalar())
+    found = _ranked(_descended(placed, index.levels, index.k, index.max_miles), index)
+    return found.select(*points.columns, "neighbours")
+
+
+def _nearest_in_subtrees(points: DataFrame, index: StationIndex, lat: Column, lon: Column) -> DataFrame:
+    """The same where the tree is cut: points meet the few subtrees that they need, and their finds are merged.
+
+    The points are written once with a number each, so that no task that runs
+    again deals other numbers.
+    """
+    own = cut_lineage(points.select(F.monotonically_increasing_id().alias("_row"), F.struct(*points.columns).alias("_point"), lat.alias("_lat"), lon.alias("_lon")))
+    lat, lon = F.col("_lat"), F.col("_lon")
+    placed = own.withColumns({"_phi": F.radians(lat), "_theta": F.radians(lon), "_cos": F.cos(F.radians(lat))})
+    upper = _descended(placed.withColumn("_e", index.tree.scalar()), index.levels, index.k, index.max_miles)
+    wanted = _kept(upper, index.k, index.max_miles).select("_row", "_point", "_phi", "_theta", "_cos", F.explode_outer("_e.content").alias("id"))
+    met = wanted.join(index.subtrees.withColumnRenamed("top", "_e"), "id", "left")
+    found = _ranked(_descended(met, index.sub_levels, index.k, index.max_miles), index)
+    merged = found.groupBy("_row").agg(F.first("_point").alias("_point"), F.flatten(F.collect_list("neighbours")).alias("n"))
+    return merged.select("_point.*", F.slice(F.sort_array("n"), 1, index.k).alias("neighbours"))
 
 
 def neighbour_weight(distance: Column) -> Column:

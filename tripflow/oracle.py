@@ -477,6 +477,21 @@ add(
     with_parts("pairs")
     + "SELECT trip_id, least(10, count(*) FILTER (WHERE dist <= 2)) AS stations FROM pairs GROUP BY trip_id",
 )
+add(
+    "knn_tight_group",
+    with_parts("places", "stations")
+    + f"""SELECT trip_id, station_id, round(dist, 6) AS dist_miles,
+    row_number() OVER (PARTITION BY trip_id ORDER BY round_even(dist * 1e8, 0), station_id) AS rank
+    FROM (SELECT trip_id, station_id, {miles('mlat', 'mlon', '(33.5e0 + (station_id * 37 % 300) / 300000e0)', '(-83.5e0 + (station_id * 91 % 300) / 300000e0)')} AS dist
+        FROM places, stations)
+    WHERE dist <= 60 QUALIFY rank <= 10""",
+)
+add(
+    "knn_stored_index",
+    with_parts("places", "near")
+    + """SELECT trip_id, coalesce(string_agg(CAST(station_id AS VARCHAR), ',' ORDER BY rank), '') AS stations
+    FROM places LEFT JOIN near USING (trip_id) GROUP BY trip_id""",
+)
 add("idw_probability", with_parts("base") + "SELECT trip_id, round(p_base, 6) AS p_base FROM base")
 add(
     "rush_hour_bump",

@@ -18,8 +18,10 @@ from tripflow.operators.joins import null_safe_join
 from tripflow.operators.nearest_station import (
     StationIndex,
     build_station_index,
+    load_station_index,
     nearest_stations,
     neighbour_rows,
+    save_station_index,
 )
 from tripflow.plans import training, trips
 from tripflow.schemas import CATEGORICAL_FEATURES, HEARTBEAT_LOG, INCIDENT_LOG, LABEL, NUMERIC_FEATURES
@@ -356,6 +358,23 @@ def knn_close(spark, sf_dir):
     return found.select("trip_id", F.coalesce(F.size("neighbours"), F.lit(0)).cast("long").alias("stations"))
 
 
+@query
+def knn_tight_group(spark, sf_dir):
+    """All stations within some hundred feet, which most trips see from afar."""
+    index = build_station_index(fx.tight_stations(spark, sf_dir), ["probability"], max_miles=60.0)
+    found = nearest_stations(fx.requests(spark, sf_dir), index, *trips.trip_midpoint())
+    return neighbour_rows(found, ["trip_id"]).select("trip_id", F.col("rank").cast("long").alias("rank"), "station_id", *_rounded("dist_miles"))
+
+
+@query
+def knn_stored_index(spark, sf_dir):
+    """A tree that is cut into subtrees, written, read again, and searched."""
+    path = new_folder(spark, "stations")
+    save_station_index(build_station_index(fx.stations(spark, sf_dir), ["probability"], tree_bytes=2000), path)
+    found = nearest_stations(fx.requests(spark, sf_dir), load_station_index(spark, path), *trips.trip_midpoint())
+    return found.select("trip_id", F.concat_ws(",", F.transform("neighbours", lambda n: n["station"]["station_id"].cast("string"))).alias("stations"))
+
+
 @query
 def idw_probability(spark, sf_dir):
     scored = trips.base_probability(fx.requests(spark, sf_dir), station_index(spark, sf_dir))
