@@ -148,35 +148,46 @@ def test_copies_that_are_like_their_base_only(spark, docs_like):
     assert links[1000] == 1000 and (links.drop(1000) == 1).all()
 
 
-def test_two_unlike_leaders_do_not_hide_their_members_links(spark):
-    # rows 0 to 9 share one bucket and each is like the next one only
-    shared = spark.createDataFrame([(7, i, 4, True) for i in range(10)], "bucket long, row_id long, leader long, band boolean")
-    compared = nd.with_leaders(shared)
+def test_links_within_a_small_bucket_are_all_found(spark):
+    # rows 0 to 7 share one bucket and each is like the next one only
+    shared = spark.createDataFrame([(7, 7, i, 8, 8) for i in range(8)], "bucket long, finer long, row_id long, n long, met long")
+    links = nd.first_pairs(shared).where("b = a + 1")
+    assert links.count() == 7 and {r["root"] for r in nd.components(links).collect()} == {0}
 
-    def verify(pairs):
-        return pairs.where("b = a + 1").localCheckpoint()
 
-    links = verify(compared)
-    for found in nd.settle(shared, nd.components(links), compared, verify):
-        links = links.union(found)
-    assert {r["root"] for r in nd.components(links).collect()} == {0} and links.count() == 9
+@pytest.mark.parametrize("n", [200, 400])
+def test_pairs_grow_with_members(spark, docs_like, n):
+    rng = random.Random(4)
+    base = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        text = base.copy()
+        for at in rng.sample(range(300), 12):
+            text[at] = f"own{i}at{at}"
+        rows.append((i, " ".join(text), "en", "src0"))
+    bands = [(i, [int(k) for k in nd.band_keys(nd.word_hashes(t))]) for i, t, _, _ in rows]
+    shared = nd.stored(nd.shared_buckets(spark.createDataFrame(bands, "row_id long, bands array<long>")), "shared")
+    none = spark.createDataFrame([], "node long, root long")
+    # as if no pair were a link
+    pairs = nd.first_pairs(shared).count() + nd.further_pairs(shared, none).count()
+    assert pairs <= 16 * n * (nd.SMALL // 2 + 2 * nd.LEADERS) and pairs < n * 80
 
 
-def test_pairs_grow_with_members(spark):
-    keys = [7] * nd.BANDS
-    rows = spark.range(500).selectExpr("id as row_id", "cast(cast(id as string) as binary) as words_key").crossJoin(
-        spark.createDataFrame([(keys,)], "bands array<long>")
-    )
-    # all buckets are one: each row with its leader, in a bucket and in the smaller one
-    assert nd.candidates(rows).count() <= 2 * 500
+def test_recall_of_similar_pairs(spark, small):
+    docs = [(i, t) for i, t in zip(small["documents"].doc_id, small["documents"].text)]
+    shingles = {i: nd.shingles(nd.word_hashes(t)) for i, t in docs}
+    got = nd.op10_near_dedup(spark, SF).toPandas().set_index("doc_id").class_id
+    pairs = [(a, b) for a, _ in docs if a % 20 == 0 for b, _ in docs if a != b and len(shingles[a]) and nd.similar(shingles[a], shingles[b])]
+    assert pairs and all(got[a] == got[b] for a, b in pairs)
 
 
-def test_odd_rows(odd, none):
+def test_odd_rows(odd, none, docs_like):
     kept = nd.deduplicate(odd)
     assert kept.columns == odd.columns
     texts = Counter(r["text"] for r in kept.collect())
-    # texts without words are one group, repeated rows another
-    assert sum(n for t, n in texts.items() if not len(nd.word_hashes(t))) == 1
-    assert texts["same words here in this line again and again and so on"] == 1
-    assert len(texts) == len({t for _, t, _, _ in ODD_ROWS if len(nd.word_hashes(t))}) + 1
+    # texts without words are told apart by their characters, null is empty; repeated rows are one group
+    assert len(texts) == len({t or "" for _, t, _, _ in ODD_ROWS}) and set(texts.values()) == {1}
+    assert {t for t in texts if not len(nd.word_hashes(t))} in ({"", " \t\n ", "!!! $$$ ### %%% &&& !!!"}, {None, " \t\n ", "!!! $$$ ### %%% &&& !!!"})
+    symbols = [(i, t, "en", "s") for i, t in enumerate(["+ - * /", "....", "!!! ???", "....", " ....", None, ""])]
+    assert {r["doc_id"] for r in nd.deduplicate(docs_like(symbols)).collect()} == {0, 1, 2, 4, 5}
     assert nd.deduplicate(none).count() == 0

@@ -7,25 +7,27 @@ high edit similarity share sketches often. Two sketches make a band. Documents
 that share a band are candidates, and a banded alignment of their shingles
 decides.
 
-Texts with equal words are put together first and only one of each goes on. In a
-bucket of a band every member is compared with one leader, and again within the
-smaller bucket that it shares with the next band; leaders differ from band to
-band. What that leaves is settled exactly: two members of a bucket that links do
-not join yet are compared, too, first with the members that meet most others, so
-that the pairs of a group of copies grow with its members. Only members that are
-unlike each other have to be compared pair by pair.
+Texts with equal words are put together first and only one of each goes on.
+Members of a small bucket are compared with each other. In a larger one all are
+compared with its leader, the member that shares most places with others: in a
+group of edited copies that is the least edited, which most of them are like.
+Where a bucket is not of one class then, its members are compared with further
+leaders, and once more in finer buckets, which the bands that follow cut out of
+it. A document is compared with a bounded number of others for each band, so
+pairs grow with documents however alike they are; what is compared in vain costs
+no more in a crowd.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -36,8 +38,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: labelled shingles in a sketch, sketches in a band, bands
 PICKS, ROWS, BANDS = 2, 2, 16
-#: open pairs for each row of a bucket that are compared at once, without another leader; rows of a bucket paired by one task
-FEW_PAIRS, PAIRED = 8, 256
+#: members of a bucket that are compared with each other; leaders of a larger one
+SMALL, LEADERS = 8, 4
 #: hashes held at once while a long text is sketched
 CHUNK = 1 << 20
 
@@ -186,12 +188,17 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, words_key, bands) per row (row_id, text): a digest of the words, and band keys, null without words."""
+    """(row_id, words_key, bands) per row (row_id, text): a digest of the words, and band keys.
+
+    A text without words has no bands and the digest of its characters; a null text is an empty one.
+    """
     for batch in batches:
         digests, keys = [], []
         for text in batch.column("text").to_pylist():
-            digests.append(hashlib.blake2b(b" ".join(words(text)), digest_size=16).digest())
             hashes = word_hashes(text)
+            # a word has no blank at its end, so no text without words meets one with words
+            told = b" ".join(words(text)) if len(hashes) else (text or "").encode("utf-8", "replace") + b" "
+            digests.append(hashlib.blake2b(told, digest_size=16).digest())
             keys.append(band_keys(hashes) if len(hashes) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("row_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -204,95 +211,64 @@ def verified(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([similar(shingles(word_hashes(a)), shingles(word_hashes(b))) for a, b in zip(left, right)], dtype=bool)
 
 
+def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """(bucket, row_id, leader, band) for the members of each bucket of two or more, from (row_id, words_key, bands).
+    """(bucket, finer, row_id, n, met) for the n members of each bucket of two or more, from (row_id, bands).
 
-    The leader's words have the smallest hash under a seed of the bucket's own;
-    ``band`` tells a band's bucket from the smaller ones within it. Leaders are
-    found by a partial aggregate and joined back, so a bucket of any size is spread.
+    ``finer`` tells the members apart that differ in one of the next two bands;
+    ``met`` is how many places a row shares with others, over all its buckets.
     """
     own = F.col("bands")
-    pairs_of_bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(own[i], own[(i + 1) % BANDS]))
-    buckets = bands.where(own.isNotNull()).select(
-        "row_id", "words_key", F.posexplode(F.array_union(own, pairs_of_bands)).alias("at", "bucket")
-    )
-    order = F.struct(F.xxhash64("words_key", "bucket").alias("h"), F.col("row_id").alias("leader"))
-    leaders = buckets.groupBy("bucket").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return buckets.join(leaders, "bucket").select(
-        "bucket", "row_id", F.col("first.leader").alias("leader"), (F.col("at") < BANDS).alias("band")
-    )
+    key = F.transform(own, lambda x, i: F.struct(x.alias("bucket"), F.xxhash64(x, own[(i + 1) % BANDS], own[(i + 2) % BANDS]).alias("finer")))
+    buckets = bands.where(own.isNotNull()).select("row_id", F.inline(key))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rows = stored(buckets.join(sizes, "bucket"), "members_of_buckets")
+    met = rows.groupBy("row_id").agg(F.sum("n").alias("met"))
+    return rows.join(met, "row_id").select("bucket", "finer", "row_id", "n", "met")
 
 
-def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
-    return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
-
+def _each_other(rows: DataFrame, key: str) -> DataFrame:
+    """(x, y) of all members of each small bucket, from (key, row_id)."""
+    return rows.select(key, F.col("row_id").alias("x")).join(rows.select(key, F.col("row_id").alias("y")), key).where("x < y").select("x", "y")
 
-def with_leaders(shared: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: in each bucket all with the leader."""
-    return _ordered(shared.where("row_id != leader"), "row_id", "leader")
 
+def _leaders(rows: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """(key, leader): the members of the places ``first`` to ``last`` by what they meet; found before rows are shuffled."""
+    order = W.partitionBy(key).orderBy(F.col("met").desc(), F.xxhash64("row_id"), "row_id")
+    ranked = rows.select(key, "row_id", F.row_number().over(order).alias("place")).where(F.col("place") <= last)
+    return ranked.where(F.col("place") >= first).select(key, F.col("row_id").alias("leader"))
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, row ids to compare first, from (row_id, words_key, bands)."""
-    return with_leaders(shared_buckets(bands))
 
+def first_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: the members of small buckets, and those of larger ones with their leader."""
+    small, large = shared.where(F.col("n") <= SMALL), shared.where(F.col("n") > SMALL)
+    led = large.select("bucket", "row_id").join(_leaders(large, "bucket", 1, 1), "bucket").where("row_id != leader")
+    return _ordered(_each_other(small, "bucket").union(led.select("row_id", "leader")), "x", "y")
 
-def _open(left: DataFrame) -> DataFrame:
-    """Rows (bucket, row_id, root, n) of buckets whose n members are not of one root."""
-    sides = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    return left.join(sides.where("low < high").select("bucket", "n"), "bucket")
 
+def further_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct (a, b) of different roots in larger buckets: with further leaders, and within finer buckets.
 
-def _all_pairs(left: DataFrame) -> DataFrame:
-    """Distinct (a, b) of members of one bucket and different roots; a large bucket is spread over many tasks."""
-    parts = F.ceil(F.col("n") / PAIRED).cast("int")
-    one = left.select("bucket", F.pmod(F.xxhash64("row_id"), parts).cast("int").alias("part"), F.col("row_id").alias("x"), F.col("root").alias("rx"))
-    other = left.select(
-        "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("row_id").alias("y"), F.col("root").alias("ry")
-    )
-    return _ordered(one.join(other, ["bucket", "part"]).where("x < y and rx != ry"), "x", "y")
-
+    ``roots`` are (node, root) of the links among ``first_pairs``.
+    """
+    large = shared.where(F.col("n") > SMALL).join(roots.toDF("row_id", "root"), "row_id", "left")
+    large = large.withColumn("root", F.coalesce("root", "row_id"))
+    several = large.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    left = stored(large.join(several.select("bucket"), "bucket"), "open")
+    root_of = left.select(F.col("row_id").alias("leader"), F.col("root").alias("over")).distinct()
 
-def settle(shared: DataFrame, roots: DataFrame, compared: DataFrame, verify) -> list[DataFrame]:
-    """Links (a, b) by which any two like members of a bucket have one root.
+    def led(rows: DataFrame, key: str, first: int, last: int) -> DataFrame:
+        leaders = _leaders(rows, key, first, last).join(root_of, "leader")
+        return rows.select(key, "row_id", "root").join(leaders, key).where("root != over").select(F.col("row_id").alias("x"), F.col("leader").alias("y"))
 
-    ``compared`` are the pairs of ``with_leaders``, ``roots`` the components of
-    their links, ``verify`` keeps the links among pairs. A leader has met its
-    whole bucket and leaves it; the others stay, linked or not, for one that is
-    like the leader may be like one that is not. Next the member that meets most
-    others in its buckets leads, while that joins classes and many pairs are
-    open; then all open pairs are compared. Pairs with one root need no comparison.
-    """
-    left = shared.where("band and row_id != leader").select("bucket", "row_id")
-    left = left.join(roots.toDF("row_id", "root"), "row_id", "left")
-    left = left.select("bucket", "row_id", F.coalesce("root", "row_id").alias("root"))
-    found, joined = [], True
-    while True:
-        left = stored(_open(left), "open")
-        rows, pairs = left.agg(F.count("*"), F.sum((F.col("n") - 1) / 2)).first()
-        if not rows:
-            return found
-        last = pairs <= FEW_PAIRS * rows or not joined
-        if last:
-            pairs = _all_pairs(left)
-        else:
-            met = left.groupBy("row_id").agg(F.sum("n").alias("met"))
-            order = F.struct("met", F.xxhash64("row_id").alias("h"), "row_id", "root")
-            firsts = left.join(met, "row_id").groupBy("bucket").agg(F.max(order).alias("first"))
-            led = left.join(firsts.select("bucket", F.col("first.row_id").alias("leader"), F.col("first.root").alias("over")), "bucket")
-            led = stored(led, "led")
-            pairs = _ordered(led.where("root != over"), "row_id", "leader")
-        pairs = stored(pairs.join(compared, ["a", "b"], "left_anti"), "more_pairs")
-        links = verify(pairs)
-        found.append(links)
-        if last:
-            return found
-        compared = compared.union(pairs)
-        root_of = left.select("row_id", "root").distinct()
-        ends = links.join(root_of.toDF("a", "root_a"), "a").join(root_of.toDF("b", "root_b"), "b")
-        merged = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()).toDF("root", "lower")
-        joined = not merged.isEmpty()
-        left = led.where("row_id != leader").join(merged, "root", "left").select("bucket", "row_id", F.coalesce("lower", "root").alias("root"))
+    finer = left.groupBy("finer").agg(F.count("*").alias("of_finer"), F.min("root").alias("low"), F.max("root").alias("high"))
+    cut = left.join(finer.where("low < high").select("finer", "of_finer"), "finer")
+    small = _each_other(cut.where(F.col("of_finer") <= SMALL), "finer")
+    pairs = led(left, "bucket", 2, LEADERS).union(small).union(led(cut.where(F.col("of_finer") > SMALL), "finer", 1, LEADERS))
+    return _ordered(pairs, "x", "y")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,9 +312,9 @@ def components(links: DataFrame) -> DataFrame:
 def classes(table: DataFrame) -> DataFrame:
     """(row_id, n_links, class_row) for rows (row_id, text) of a stored table.
 
-    ``class_row`` is the smallest row of the group, ``n_links`` the verified
-    links of the row's words to other words; words that other links join already
-    are not compared, so those of a large group are not all counted.
+    ``class_row`` is the smallest row of the group, ``n_links`` the links that
+    were found between the row's words and other words. Not all members of a
+    crowded bucket are compared, so in a large group there can be more.
     """
     sketched = stored(
         table.select("row_id", "text").mapInArrow(_sketch, "row_id long, words_key binary, bands array<long>"), "sketches"
@@ -346,8 +322,7 @@ def classes(table: DataFrame) -> DataFrame:
     heads = sketched.groupBy("words_key").agg(F.min(F.struct("row_id", "bands")).alias("head"))
     heads = stored(heads.select("words_key", "head.*"), "heads")
     shared = stored(shared_buckets(heads), "buckets")
-    pairs = stored(with_leaders(shared), "pairs")
-    members = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
+    members = shared.select("row_id").distinct()
     texts = stored(table.select("row_id", "text").join(members.hint("shuffle_hash"), "row_id", "left_semi"), "members")
     a = texts.select(F.col("row_id").alias("a"), F.col("text").alias("left"))
     b = texts.select(F.col("row_id").alias("b"), F.col("text").alias("right"))
@@ -355,12 +330,12 @@ def classes(table: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         return stored(pairs.join(a, "a").join(b, "b").where(verified("left", "right")).select("a", "b"), "links")
 
+    pairs = stored(first_pairs(shared), "pairs")
     links = verify(pairs)
     roots = components(links)
-    more = settle(shared, roots, pairs, verify)
-    if any(not m.isEmpty() for m in more):
-        links = reduce(DataFrame.union, more, links)
-        roots = components(links)
+    more = verify(further_pairs(shared, roots).join(pairs, ["a", "b"], "left_anti"))
+    links = links.union(more)
+    roots = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n_links"))
     roots = roots.toDF("head", "class_row")
     told = heads.select("words_key", F.col("row_id").alias("head")).join(ends, "head", "left").join(roots, "head", "left")
@@ -387,10 +362,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; columns unchanged.
 
     Groups are joined by links: texts with equal words, or with an aligned
-    5-word-shingle similarity of 0.8 or more. Texts without words, null ones
-    too, are one group. Rows with equal texts are one group however they differ
-    elsewhere; of rows with the same id, or none, one stays. An empty table
-    stays empty.
+    5-word-shingle similarity of 0.8 or more. Texts without words are grouped by
+    their characters, null as empty; others by their words alone. Rows with equal
+    texts are one group however they differ elsewhere; of rows with the same id,
+    or none, one stays. A text of any length is sketched whole; a task holds some
+    40 bytes for each of its characters meanwhile. Other columns are kept as they
+    are, whatever their names. An empty table stays empty.
     """
     table = _table(docs, [c for c in docs.columns if c != "text"])
     kept = _first_of_class(table, stored(classes(table), "classes")).select("row_id")
