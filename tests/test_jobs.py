@@ -12,8 +12,10 @@ from tripflow.operators.routes import normalise_routes
 from tripflow.plans import training, trips
 from tripflow.schemas import HEARTBEAT_LOG, INCIDENT_LOG, LABEL
 from tripflow.operators.routes import empty_routes
+from tripflow.sources import commits
 from tripflow.sources.logs import read_log
 from tripflow.sources.requests import with_defaults
+from tripflow.streaming import door
 from tripflow.streaming.ingest import ingest_stream, landed_runs
 from tripflow.streaming.score import score_stream
 
@@ -175,3 +177,45 @@ def test_stream_scores_equal_batch_scores(spark, index, tmp_path):
     pick = ["trip_id", "eta.minutes", "speed.effective_speed_mph"]
     got = spark.read.parquet(str(tmp_path / "out")).select(*pick)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*pick).collect()))
+
+
+def test_request_door_replays_without_doubles_or_losses(spark, index, tmp_path, monkeypatch):
+    good = {"roadway": "I-75", "origin": {"lat": 33.0, "lon": -84.0}, "destination": {"lat": 34.0, "lon": -85.0}, "live": False}
+    far = good | {"origin": {"lat": 60.0, "lon": -84.0}, "destination": {"lat": 61.0, "lon": -84.0}}
+    landing, root = tmp_path / "landing", str(tmp_path / "tables")
+    landing.mkdir()
+
+    def land(name, *rows):
+        lines = [json.dumps({"trip_id": i, "request_ts": "2024-01-01T12:00:00Z", "body": b if isinstance(b, str) else json.dumps(b)}) for i, b in rows]
+        (landing / name).write_text("\n".join(lines))
+
+    def serve():
+        door.serve_requests(door.landed_bodies(spark, str(landing)), index, root, str(tmp_path / "mark"), model="m1").awaitTermination()
+
+    def told():
+        tables = (door.results(spark, root), door.unscored(spark, root), door.rejects(spark, root))
+        return [sorted(r["trip_id"] for r in t.collect()) for t in tables]
+
+    land("a.json", (1, good), (2, far), (3, "{broken"), (4, {"roadway": "x"}))
+    serve()
+    assert told() == [[1], [2], [3, 4]]
+    # the second table's write fails: nothing of the batch is seen, though trips are written
+    land("b.json", (5, good), (6, far), (7, "no"))
+    write, calls = commits.write_leaves, []
+
+    def failing(rows, folder, table, *rest):
+        calls.append(table)
+        if table == door.REJECTS:
+            raise OSError("disk full")
+        return write(rows, folder, table, *rest)
+
+    monkeypatch.setattr(commits, "write_leaves", failing)
+    with pytest.raises(Exception, match="disk full"):
+        serve()
+    assert calls == [door.TRIPS, door.REJECTS] and told() == [[1], [2], [3, 4]]
+    monkeypatch.setattr(commits, "write_leaves", write)
+    serve()
+    serve()
+    assert told() == [[1, 5], [2, 6], [3, 4, 7]]
+    row = door.results(spark, root).where("trip_id = 5").first()
+    assert row["model"] == "m1" and row["inputs"]["roadway"] == "I-75" and row["notes"] == []

@@ -1,10 +1,11 @@
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tripflow.schemas import INCIDENT_LOG
-from tripflow.sources import logs, payloads, requests, station_files
+from tripflow.sources import commits, logs, payloads, requests, station_files
 
 
 def bodies(spark, *docs):
@@ -119,24 +120,87 @@ def test_batches_replace_themselves(spark, tmp_path):
 
 
 def test_writers_keep_to_their_own_rows(spark, tmp_path):
-    path, kept = str(tmp_path / "log"), str(tmp_path / "kept")
+    path = str(tmp_path / "logs" / "incidents")
     rows = bodies(spark, "x").select("snapshot_utc", F.lit("1").alias("id"))
-    for writer in ("a", "b", "a"):
+    for writer in ("a", "b/c=d", "a"):
         logs.append_log(rows, path, INCIDENT_LOG, 0, writer)
     logs.append_log(rows, path, INCIDENT_LOG)
     assert logs.read_log(spark, path, INCIDENT_LOG).count() == 3
-    # a pruned log has the same layout, so streams go on with it
-    logs.prune_log(spark, path, kept, INCIDENT_LOG, "2024-01-02 00:00:00", days=3000)
-    logs.append_log(rows, kept, INCIDENT_LOG, 0, "a")
-    assert logs.read_log(spark, kept, INCIDENT_LOG).count() == 4
+    # retention leaves rows with their writers, so a batch that is run again replaces its own
+    logs.prune_log(spark, path, INCIDENT_LOG, "2024-01-02 00:00:00", days=3000)
+    logs.append_log(rows, path, INCIDENT_LOG, 0, "b/c=d")
+    assert logs.read_log(spark, path, INCIDENT_LOG).count() == 3
+
+
+def incident_times(spark, *times):
+    return spark.createDataFrame([(t, str(i)) for i, t in enumerate(times)], "snapshot_utc timestamp, id string")
+
+
+def test_retention_writes_the_cutoff_day_only(spark, tmp_path):
+    path = str(tmp_path / "logs" / "incidents")
+    day = [dt.datetime(2024, 1, d, h) for d in (1, 2, 3) for h in (6, 18)]
+    for batch in (0, 1):
+        logs.append_log(incident_times(spark, *day, None), path, INCIDENT_LOG, batch, "s")
+    before = {x.path: x for x in commits.live_leaves(spark, str(tmp_path / "logs"))[1]}
+    logs.prune_log(spark, path, INCIDENT_LOG, "2024-01-12 12:00:00", days=10)
+    after = {x.path: x for x in commits.live_leaves(spark, str(tmp_path / "logs"))[1]}
+    assert sorted(r["id"] for r in logs.read_log(spark, path, INCIDENT_LOG).collect()) == ["3", "3", "4", "4", "5", "5"]
+    # the third day's folders are the same ones; the second day's belong to the same batches
+    assert {p for p, x in before.items() if x.key == "2024-01-03"} == {p for p, x in after.items() if x.key == "2024-01-03"}
+    assert sorted((x.key, x.batch) for x in after.values()) == [("2024-01-02", "0"), ("2024-01-02", "1"), ("2024-01-03", "0"), ("2024-01-03", "1")]
+    logs.append_log(incident_times(spark, *day), path, INCIDENT_LOG, 1, "s")
+    assert logs.read_log(spark, path, INCIDENT_LOG).count() == 3 + 6
+    since = logs.read_log(spark, path, INCIDENT_LOG, F.lit("2024-01-03").cast("timestamp"))
+    assert since.count() == 4
+
+
+def test_changes_that_meet_are_all_kept(spark, tmp_path):
+    root = str(tmp_path / "logs")
+    path = f"{root}/incidents"
+    day = [dt.datetime(2024, 1, d, 18) for d in (1, 2, 3)]
+    for batch in (0, 1):
+        logs.append_log(incident_times(spark, *day), path, INCIDENT_LOG, batch, "s")
+
+    def meanwhile():
+        logs.append_log(incident_times(spark, *day), path, INCIDENT_LOG, 0, "s")
+        logs.append_log(incident_times(spark, *day), path, INCIDENT_LOG, 7, "s")
+
+    logs.prune_log(spark, path, INCIDENT_LOG, "2024-01-12 12:00:00", days=10, before_commit=meanwhile)
+    live = commits.live_leaves(spark, root)[1]
+    # batch 1 was cut; batch 0 was replaced and batch 7 added while it was read, they go next time
+    assert sorted((x.batch, x.key[-1]) for x in live) == [("0", "1"), ("0", "2"), ("0", "3"), ("1", "2"), ("1", "3"), ("7", "1"), ("7", "2"), ("7", "3")]
+    assert logs.read_log(spark, path, INCIDENT_LOG).count() == 8
+    tried = []
+
+    def change(leaves):
+        if not tried:
+            commits.commit(spark, root, lambda x: x[1:])
+        tried.append(len(leaves))
+        return leaves[1:]
+
+    commits.commit(spark, root, change)
+    assert tried == [8, 7] and len(commits.live_leaves(spark, root)[1]) == 6
+
+
+def test_tables_of_a_batch_appear_together(spark, tmp_path):
+    root = str(tmp_path / "root")
+    one, two = incident_times(spark, dt.datetime(2024, 1, 1)), spark.range(3)
+    commits.write_batch(root, {"one": (one, []), "two": (two, [])}, "w", 0)
+    broken = spark.range(1).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        commits.write_batch(root, {"one": (one.union(one), []), "two": (broken, [])}, "w", 1)
+    assert commits.read_table(spark, root, "one", "id string").count() == 1
+    commits.write_batch(root, {"one": (one.union(one), []), "two": (two, [])}, "w", 1)
+    assert commits.read_table(spark, root, "one", "id string").count() == 3 and commits.read_table(spark, root, "two", "id long").count() == 6
 
 
 def test_pruning_skips_old_days(spark, tmp_path):
-    path = str(tmp_path / "log")
-    logs.append_log(bodies(spark, "x").select("snapshot_utc", F.lit("1").alias("id")), path, INCIDENT_LOG)
-    read = logs.read_log(spark, path, INCIDENT_LOG, F.lit("2023-01-01").cast("timestamp"))
-    plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: []" not in plan and "snapshot_date" in plan.split("PartitionFilters")[1]
+    path = str(tmp_path / "logs" / "incidents")
+    logs.append_log(incident_times(spark, dt.datetime(2022, 1, 1), dt.datetime(2023, 1, 1), dt.datetime(2023, 1, 2)), path, INCIDENT_LOG)
+    read = logs.read_log(spark, path, INCIDENT_LOG, F.lit("2023-01-01 12:00:00").cast("timestamp"))
+    assert len(read.inputFiles()) == 2 and not any("2022-01-01" in f for f in read.inputFiles())
+    assert sorted(r["id"] for r in read.collect()) == ["1", "2"]
+
 
 
 @pytest.mark.parametrize("around", ["\t", "\n", "\u00a0 ", " \u3000"])

@@ -130,6 +130,24 @@ def as_requests(orders: DataFrame) -> DataFrame:
     )
 
 
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as raw bodies; some are broken, incomplete, or use other names and kinds of values."""
+    key = F.col("trip_id")
+    good = F.to_json(F.struct("roadway", "origin", "destination", F.col("leave_in_minutes").alias("leave_in"), "live"))
+    body = (
+        F.when(key % 11 == 0, "{broken")
+        .when(key % 13 == 0, '{"roadway": "I-75", "origin": {"lat": 33}}')
+        .when(key % 17 == 0, '{"roadway": "I-75", "origin": {"lat": "x", "lon": 1}, "destination": {"lat": 1, "lon": 2}}')
+        .when(
+            key % 19 == 0,
+            '{"roadway": " US-1 ", "origin": {"lat": "33.5", "lon": -84}, "destination": {"lat": 34, "lon": -84.5},'
+            ' "leave_in_minutes": null, "leave_in": 9, "live": 0, "router": "ors"}',
+        )
+        .otherwise(good)
+    )
+    return requests(spark, sf_dir).select("trip_id", "request_ts", body.alias("body"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_events(spread(table(spark, sf_dir, "events")))
 

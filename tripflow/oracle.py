@@ -707,6 +707,30 @@ add(
     with_parts("incidents")
     + "SELECT CAST(event_id AS VARCHAR) AS id FROM incidents WHERE ts >= TIMESTAMP '2024-01-21'",
 )
+_accepted = f"""SELECT trip_id, request_ts, CASE kind WHEN 4 THEN 'US-1' ELSE road END AS road,
+    CASE kind WHEN 4 THEN 45e0 ELSE freeflow END AS freeflow, CASE kind WHEN 4 THEN 1.2e0 ELSE path_factor END AS path_factor,
+    CASE kind WHEN 4 THEN 33.5e0 ELSE olat END AS olat, CASE kind WHEN 4 THEN -84e0 ELSE olon END AS olon,
+    CASE kind WHEN 4 THEN 34e0 ELSE dlat END AS dlat, CASE kind WHEN 4 THEN -84.5e0 ELSE dlon END AS dlon,
+    CASE kind WHEN 4 THEN 0 ELSE leave_in END AS leave_in, kind <> 4 AND live AS live,
+    CASE kind WHEN 4 THEN 'ors' ELSE 'auto' END AS router, true AS encoded_wanted
+    FROM (SELECT *, CASE WHEN trip_id % 11 = 0 THEN 1 WHEN trip_id % 13 = 0 OR trip_id % 17 = 0 THEN 2
+        WHEN trip_id % 19 = 0 THEN 4 ELSE 5 END AS kind FROM ({VIEWS['trips'][1]})) WHERE kind >= 4"""
+add(
+    "request_job",
+    _scored.replace(VIEWS["trips"][1], _accepted).replace(VIEWS["stations"][1], f"SELECT * FROM ({VIEWS['stations'][1]}) WHERE lat >= 33.5")
+    + """SELECT trip_id, CASE WHEN p_final IS NULL THEN 'unscored' ELSE 'result' END AS outcome, CAST(NULL AS VARCHAR) AS reason,
+    CASE WHEN ok THEN provider ELSE 'fallback' END AS provider, round(p_final, 4) AS probability,
+    CAST(format('{:.1f}', route_miles / mph * 60) AS DOUBLE) AS minutes, CAST(leave_in AS INTEGER) AS leave_in_minutes FROM eta
+    UNION ALL SELECT o_orderkey, 'reject', CASE WHEN o_orderkey % 11 = 0 THEN 'Invalid or missing JSON body'
+        ELSE 'Payload must include roadway, origin{lat,lon}, destination{lat,lon}' END, NULL, NULL, NULL, NULL
+    FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0""",
+)
+add(
+    "retention_during_ingest",
+    with_parts("incidents")
+    + """SELECT CAST(event_id AS VARCHAR) AS id FROM incidents
+    WHERE event_id % 3 <> 1 OR ts >= TIMESTAMP '2024-01-21 12:00:00'""",
+)
 add(
     "stream_trip_scores",
     _scored

@@ -119,12 +119,21 @@ def score_trips(
     )
 
 
-def trip_records(trips: DataFrame) -> DataFrame:
-    """The nested result record, rounded for output."""
+def trip_records(
+    trips: DataFrame, model: str | None = None, horizon_minutes: int | None = None, notes: list[str] | None = None
+) -> DataFrame:
+    """The nested result record, rounded for output, with the request as it was understood.
+
+    ``model``, ``horizon_minutes`` and ``notes`` are the job's own and repeated in every record.
+    """
     ends = F.array(F.col("origin"), F.col("destination"))
     line = F.transform(ends, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    noted = F.array(*[F.lit(n) for n in notes or []]).cast("array<string>")
     return trips.select(
         "trip_id",
+        F.lit(model).cast("string").alias("model"),
+        F.lit(horizon_minutes).cast("int").alias("horizon_minutes"),
+        F.struct("roadway", "origin", "destination", "leave_in_minutes").alias("inputs"),
         F.struct(
             round_half_even(F.col("eta_minutes"), 1).alias("minutes"),
             round_half_even(F.col("eta_hours"), 3).alias("hours"),
@@ -142,6 +151,7 @@ def trip_records(trips: DataFrame) -> DataFrame:
         ).alias("speed"),
         route_payload(line, F.col("estimate_miles")).alias("route"),
         F.col("live"),
+        noted.alias("notes"),
     )
 
 

@@ -27,6 +27,7 @@ from tripflow.plans import training, trips
 from tripflow.schemas import CATEGORICAL_FEATURES, HEARTBEAT_LOG, INCIDENT_LOG, LABEL, NUMERIC_FEATURES
 from tripflow.session import new_folder
 from tripflow.sources import logs, payloads, requests, station_files
+from tripflow.streaming import door
 from tripflow.streaming.ingest import ingest_stream, log_rows
 from tripflow.streaming.score import score_stream
 
@@ -293,21 +294,7 @@ def onehot_features(spark, sf_dir):
 
 @query
 def request_validate(spark, sf_dir):
-    typed = fx.requests(spark, sf_dir)
-    key = F.col("trip_id")
-    good = F.to_json(F.struct("roadway", "origin", "destination", F.col("leave_in_minutes").alias("leave_in"), "live"))
-    body = (
-        F.when(key % 11 == 0, "{broken")
-        .when(key % 13 == 0, '{"roadway": "I-75", "origin": {"lat": 33}}')
-        .when(key % 17 == 0, '{"roadway": "I-75", "origin": {"lat": "x", "lon": 1}, "destination": {"lat": 1, "lon": 2}}')
-        .when(
-            key % 19 == 0,
-            '{"roadway": " US-1 ", "origin": {"lat": "33.5", "lon": -84}, "destination": {"lat": 34, "lon": -84.5},'
-            ' "leave_in_minutes": null, "leave_in": 9, "live": 0, "router": "ors"}',
-        )
-        .otherwise(good)
-    )
-    accepted, rejected = requests.split_requests(typed.select("trip_id", "request_ts", body.alias("body")))
+    accepted, rejected = requests.split_requests(fx.request_bodies(spark, sf_dir))
     return logs.union_logs(accepted, rejected).select(
         "trip_id",
         "roadway",
@@ -630,7 +617,7 @@ def log_union(spark, sf_dir):
 @query
 def log_append_scan(spark, sf_dir):
     """Two appends to a log, the second with other columns, then a scan of it."""
-    path = new_folder(spark, "log")
+    path = f"{new_folder(spark, 'logs')}/incidents"
     logs.append_log(fx.incident_log(spark, sf_dir), path, INCIDENT_LOG)
     moved = fx.incident_log(spark, sf_dir).select("snapshot_utc", F.col("id").alias("headline"))
     logs.append_log(moved, path, INCIDENT_LOG)
@@ -641,10 +628,10 @@ def log_append_scan(spark, sf_dir):
 
 @query
 def retention(spark, sf_dir):
-    path, kept = new_folder(spark, "log"), new_folder(spark, "pruned")
+    path = f"{new_folder(spark, 'logs')}/incidents"
     logs.append_log(fx.incident_log(spark, sf_dir), path, INCIDENT_LOG)
-    logs.prune_log(spark, path, kept, INCIDENT_LOG, "2024-01-31 00:00:00", days=10)
-    return logs.read_log(spark, kept, INCIDENT_LOG).select("id")
+    logs.prune_log(spark, path, INCIDENT_LOG, "2024-01-31 00:00:00", days=10)
+    return logs.read_log(spark, path, INCIDENT_LOG).select("id")
 
 
 # ---- streams --------------------------------------------------------------
@@ -684,12 +671,28 @@ def log_two_streams(spark, sf_dir):
 
 @query
 def retention_then_ingest(spark, sf_dir):
-    """A stream goes on with a log that retention has rewritten."""
-    kept = new_folder(spark, "pruned")
-    landed = f"{_ingest(spark, sf_dir)}/incidents"
-    logs.prune_log(spark, landed, f"{kept}/incidents", INCIDENT_LOG, "2024-01-31 00:00:00", days=10)
-    ingest_stream(fx.run_records(_event_stream(spark, sf_dir)), kept, f"{kept}/checkpoint").awaitTermination()
-    return _incident_view(spark, kept)
+    """A second stream goes on with a log that retention has cut."""
+    folder = _ingest(spark, sf_dir)
+    logs.prune_log(spark, f"{folder}/incidents", INCIDENT_LOG, "2024-01-31 00:00:00", days=10)
+    ingest_stream(fx.run_records(_event_stream(spark, sf_dir)), folder, f"{folder}/another").awaitTermination()
+    return _incident_view(spark, folder)
+
+
+@query
+def retention_during_ingest(spark, sf_dir):
+    """While retention cuts a log, a stream's first batch is run again and another is added; retention commits last."""
+    path = f"{new_folder(spark, 'logs')}/incidents"
+    rows = fx.incident_log(spark, sf_dir)
+    parts = [rows.where(F.col("id").cast("long") % 3 == i) for i in range(3)]
+    for batch in (0, 1):
+        logs.append_log(parts[batch], path, INCIDENT_LOG, batch, "stream")
+
+    def meanwhile() -> None:
+        for batch in (0, 2):
+            logs.append_log(parts[batch], path, INCIDENT_LOG, batch, "stream")
+
+    logs.prune_log(spark, path, INCIDENT_LOG, "2024-01-31 12:00:00", days=10, before_commit=meanwhile)
+    return logs.read_log(spark, path, INCIDENT_LOG).select("id")
 
 
 @query
@@ -697,6 +700,36 @@ def stream_heartbeat(spark, sf_dir):
     return _heartbeat_view(logs.read_log(spark, f"{_ingest(spark, sf_dir)}/heartbeats", HEARTBEAT_LOG))
 
 
+@query
+def request_job(spark, sf_dir):
+    """Landed bodies to results, rejects and unscored trips; stations in the north only, so some trips see none."""
+    folder = new_folder(spark, "door")
+    fx.request_bodies(spark, sf_dir).write.json(f"{folder}/landed")
+    stations = build_station_index(fx.stations(spark, sf_dir).where("lat >= 33.5"), ["probability"])
+    answered = routes.normalise_routes(fx.route_responses(spark, sf_dir))
+    door.serve_requests(
+        door.landed_bodies(spark, f"{folder}/landed"),
+        stations,
+        f"{folder}/tables",
+        f"{folder}/checkpoint",
+        lambda: fx.forecast_log(spark, sf_dir),
+        lambda: fx.incident_log(spark, sf_dir),
+        lambda: answered,
+        region="America/New_York",
+    ).awaitTermination()
+
+    def told(rows: DataFrame, outcome: str) -> DataFrame:
+        return rows.select(
+            "trip_id", F.lit(outcome).alias("outcome"), F.lit(None).cast("string").alias("reason"), F.col("route.provider").alias("provider"),
+            F.col("speed.probability_after_all_adjustments").alias("probability"), F.col("eta.minutes").alias("minutes"),
+            F.col("inputs.leave_in_minutes").alias("leave_in_minutes"),
+        )
+
+    refused = door.rejects(spark, f"{folder}/tables").select("trip_id", F.lit("reject").alias("outcome"), "reason")
+    answers = told(door.results(spark, f"{folder}/tables"), "result").union(told(door.unscored(spark, f"{folder}/tables"), "unscored"))
+    return answers.unionByName(refused, allowMissingColumns=True)
+
+
 @query
 def stream_trip_scores(spark, sf_dir):
     folder = new_folder(spark, "stream")

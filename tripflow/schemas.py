@@ -47,3 +47,20 @@ RUN_RECORD = (
 
 # One landed response per trip and routing provider.
 ROUTE_RESPONSE = "trip_id long, provider string, body string, error string"
+
+# A request as it lands, and what becomes of it.
+REQUEST_BODY = "trip_id long, request_ts timestamp, body string"
+REJECT_RECORD = "trip_id long, request_ts timestamp, reason string"
+_POINT = "struct<lat: double, lon: double>"
+TRIP_RECORD = (
+    "trip_id long, model string, horizon_minutes int, "
+    f"inputs struct<roadway: string, origin: {_POINT}, destination: {_POINT}, leave_in_minutes: int>, "
+    "eta struct<minutes: double, hours: double>, "
+    "distance struct<straight_line_miles: double, route_distance_miles_used: double, path_factor_if_no_router: double>, "
+    "speed struct<freeflow_mph: double, probability_after_all_adjustments: double, speed_multiplier: double, effective_speed_mph: double>, "
+    "route struct<provider: string, distance_miles: double, base_duration_minutes: double, "
+    "polyline: struct<format: string, encoded: string>, "
+    "geojson: struct<type: string, coordinates: array<array<double>>>, error: string>, "
+    "live struct<live_used: boolean, nws_bump: double, nws_desc: string, ga511_bump: double, ga511_events: long, "
+    "prob_before_live: double, prob_after_live: double>, notes array<string>"
+)

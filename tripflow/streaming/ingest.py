@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripflow.operators.live import heartbeat_rows
 from tripflow.schemas import ALERT_LOG, FORECAST_LOG, HEARTBEAT_LOG, INCIDENT_LOG, RUN_RECORD
-from tripflow.sources.logs import append_log, stream_id
+from tripflow.sources.logs import append_logs, stream_id
 from tripflow.sources.payloads import alert_rows, flatten_objects, forecast_rows, incident_rows
 
 LOG_SCHEMAS = {
@@ -47,15 +47,15 @@ def landed_runs(spark: SparkSession, path: str) -> DataFrame:
 def ingest_stream(runs: DataFrame, log_folder: str, checkpoint: str) -> StreamingQuery:
     """Start a run that takes everything landed so far and then stops.
 
-    Every log write of a batch replaces only that batch's own partitions, so a
-    batch repeated after a failure leaves no duplicates.
+    The logs of a batch appear together, in place of what an earlier try of the
+    batch wrote, so a batch repeated after a failure leaves no duplicates.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            for name, rows in log_rows(batch).items():
-                append_log(rows, f"{log_folder}/{name}", LOG_SCHEMAS[name], batch_id, stream_id(batch))
+            logs = {name: (rows, LOG_SCHEMAS[name]) for name, rows in log_rows(batch).items()}
+            append_logs(logs, log_folder, batch_id, stream_id(batch))
         finally:
             batch.unpersist()
 
