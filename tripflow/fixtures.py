@@ -80,6 +80,25 @@ def volumes_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spelled_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three station tables with keys and numbers spelled differently, and 1998 in both volume tables."""
+    key = F.col("s_suppkey")
+    text = key.cast("string")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey")
+    kind = F.when(key % 4 == 0, "NA").when(key % 4 == 1, "n/a").otherwise(F.concat(F.lit("FC"), (key % 4).cast("string")))
+    old = suppliers.where(key % 13 != 0).select(
+        F.concat(F.lit("00"), text).alias("Station ID"), kind.alias("Functional Class"), text.alias("AADT 1995"), text.alias("AADT 1998")
+    )
+    blank = F.when(key % 4 < 2, "").otherwise(kind)
+    new = suppliers.where(key % 19 != 0).select(
+        F.concat(F.lit("+"), text).alias("Station ID"), blank.alias("Functional Class"), text.alias("AADT 2001"), text.alias("AADT 1998")
+    )
+    attributes = suppliers.select(F.concat(text, F.lit(".0")).alias("Station ID"), F.lit(".1").alias("KFactor"), F.lit("0.5").alias("DFactor"), F.lit("T").alias("Station Type"))
+    again = suppliers.where(key % 2 == 0).select(text.alias("Station ID"), F.lit("0.10").alias("KFactor"), F.lit("5e-1").alias("DFactor"), F.lit("T").alias("Station Type"))
+    other = suppliers.where(key % 23 == 0).select(text.alias("Station ID"), F.lit("NaN").alias("KFactor"), F.lit("0.5").alias("DFactor"), F.lit("null").alias("Station Type"))
+    return old, new, attributes.union(again).union(other)
+
+
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes as text; every 23rd station has a second, different row."""
     key = F.col("s_suppkey")

@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripflow.operators.joins import null_safe_join
+from tripflow.operators.kinds import as_kind, column_kinds
 from tripflow.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from tripflow.session import cut_lineage
 from tripflow.sources.station_files import (
     LATITUDE_NAMES,
     LONGITUDE_NAMES,
     clean_headers,
     coordinate_name,
+    lost_years,
     number_column,
     rename_truck_columns,
     truck_years,
@@ -68,15 +71,26 @@ def row_slope(values: list[Column], years: list[Column], mean: Column, mean_year
 
 
 def attribute_rows(annual: DataFrame) -> DataFrame:
-    """Distinct attribute rows; a station may keep several."""
-    return annual.select(*ATTRIBUTE_COLUMNS).distinct()
+    """Distinct attribute rows; a station may keep several.
+
+    Values are compared as the kinds of their columns: ``.1`` and ``0.10`` are one.
+    """
+    rows = cut_lineage(annual.select(*ATTRIBUTE_COLUMNS))
+    kinds = column_kinds(rows, ATTRIBUTE_COLUMNS)
+    return rows.select(*[as_kind(c, kinds[c]).alias(c) for c in ATTRIBUTE_COLUMNS]).distinct()
 
 
 def merge_stations(old: DataFrame, new: DataFrame, annual: DataFrame) -> DataFrame:
-    """Both volume tables joined in full, then the attributes, fan-out kept."""
+    """Both volume tables joined in full, then the attributes, fan-out kept; keys are compared as what they hold."""
     old = rename_truck_columns(clean_headers(old))
-    volumes = null_safe_join(old, clean_headers(new), STATION_KEYS, "full")
-    return null_safe_join(volumes, attribute_rows(clean_headers(annual)), ["STATION_ID"], "left", ("_x", "_y"))
+    volumes = null_safe_join(old, clean_headers(new), STATION_KEYS, "full", typed=True)
+    attributes = attribute_rows(clean_headers(annual))
+    return null_safe_join(volumes, attributes, ["STATION_ID"], "left", ("_x", "_y"), typed=True)
+
+
+def merge_report(merged: DataFrame) -> dict:
+    """What a merge of volume tables kept and lost: its years, and those both tables had, which no feature uses."""
+    return {"years": volume_years(merged.columns), "lost_years": lost_years(merged.columns)}
 
 
 def typed_stations(merged: DataFrame, prefer: str = "serving") -> DataFrame:

@@ -309,6 +309,16 @@ add(
     CAST(a1998 AS VARCHAR) AS AADT_1998, CAST(a1999 AS VARCHAR) AS AADT_1999, CAST(a2001 AS VARCHAR) AS AADT_2001,
     CAST(lat AS VARCHAR) AS LATITUDE FROM merged""",
 )
+add(
+    "typed_keys",
+    """WITH old AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 4 > 1 THEN 'FC' || (s_suppkey % 4) END AS fc FROM supplier WHERE s_suppkey % 13 <> 0),
+    new AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 4 > 1 THEN 'FC' || (s_suppkey % 4) END AS fc FROM supplier WHERE s_suppkey % 19 <> 0),
+    attributes AS (SELECT s_suppkey AS s, '0.1' AS k, 'T' AS kind FROM supplier
+        UNION ALL SELECT s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 23 = 0)
+    SELECT format('{:.1f}', CAST(coalesce(old.s, new.s) AS DOUBLE)) AS STATION_ID, coalesce(old.fc, new.fc) AS FUNCTIONAL_CLASS,
+    CAST(old.s AS VARCHAR) AS AADT_1995, CAST(new.s AS VARCHAR) AS AADT_2001, k AS KFACTOR, kind AS STATION_TYPE, '1998' AS lost_years
+    FROM old FULL JOIN new ON old.s = new.s LEFT JOIN attributes a ON a.s = coalesce(old.s, new.s)""",
+)
 add(
     "attribute_distinct",
     with_parts("attributes")

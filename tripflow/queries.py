@@ -121,6 +121,17 @@ def station_full_join(spark, sf_dir):
     return joined.select(*st.STATION_KEYS, "AADT_1995", "AADT_1998", "AADT_1999", "AADT_2001", "LATITUDE")
 
 
+@query
+def typed_keys(spark, sf_dir):
+    """Keys that are written in several ways, words for missing values, and a year that both tables have."""
+    old, new, annual = fx.spelled_tables(spark, sf_dir)
+    merged = st.merge_stations(old, new, annual)
+    lost = ",".join(str(y) for y in st.merge_report(merged)["lost_years"])
+    return merged.select(
+        "STATION_ID", "FUNCTIONAL_CLASS", "AADT_1995", "AADT_2001", "KFACTOR", "STATION_TYPE", F.lit(lost).alias("lost_years")
+    )
+
+
 @query
 def attribute_distinct(spark, sf_dir):
     return st.attribute_rows(station_files.clean_headers(fx.annual(spark, sf_dir)))
