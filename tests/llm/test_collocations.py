@@ -100,9 +100,11 @@ def test_filter_has_no_false_negatives(spark):
     assert co._passes(inside, bitmap).all() and co._passes(outside, bitmap).mean() < 0.05
 
 
-def test_full_filter_changes_nothing(spark, docs_like, monkeypatch):
+@pytest.mark.parametrize("bits, crowded", [(64, 20_000), (1 << 20, 30), (64, 30)])
+def test_full_filters_and_parted_stripes_change_nothing(spark, docs_like, monkeypatch, bits, crowded):
     rows = texts(3, 80, 100)
-    monkeypatch.setattr(co, "MOST_BITS", 64)
+    monkeypatch.setattr(co, "MOST_BITS", bits)
+    monkeypatch.setattr(co, "CROWDED", crowded)
     got = found(co.collocations(docs_like([(i, t, lang, "src") for i, (lang, t) in enumerate(rows)])))
     assert got == brute(rows)
 

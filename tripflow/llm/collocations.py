@@ -33,8 +33,8 @@ from tripflow.llm.common import documents, mix64, stored
 FREQUENT, LONGEST, FIRST = 30, 4, 2000
 #: a phrase goes if a longer one has this many hundredths of its count
 SUBSUMED = 80
-#: parts of a stripe, by its next word; of the stripe of the empty prefix
-PARTS, VOCABULARY_PARTS = 16, 256
+#: a prefix of this count or more has its stripe in parts, by the next word; parts of it and of the empty prefix's
+CROWDED, PARTS, VOCABULARY_PARTS = 20_000, 64, 256
 #: bits of the filter for each phrase, at most altogether; probes
 BITS, MOST_BITS, PROBES = 12, 1 << 27, 4
 #: bytes of text that a task counts at once
@@ -89,8 +89,8 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def count(tokens: list[bytes], lang: str, m: int, bitmap: np.ndarray | None) -> pa.RecordBatch:
-    """Stripes (lang, prefix, part, next, counts) of prefixes of ``m`` words."""
+def count(tokens: list[bytes], lang: str, m: int, bitmap: np.ndarray | None, crowded: np.ndarray | None) -> pa.RecordBatch:
+    """Stripes (lang, prefix, part, next, counts) of prefixes of ``m`` words, those that ``crowded`` passes in parts."""
     coded = pa.array(tokens, pa.binary()).dictionary_encode()
     codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     hashes, v = _word_hashes(words), len(words)
@@ -121,7 +121,13 @@ def count(tokens: list[bytes], lang: str, m: int, bitmap: np.ndarray | None) ->
     first = np.empty(len(pairs), dtype=np.int64)
     first[nth[::-1]] = at[::-1]
     prefix, after = pairs // v, (pairs % v).astype(np.int64)
-    part = (mix64(hashes[after]) % np.uint64(PARTS if m else VOCABULARY_PARTS)).astype(np.int64)
+    parts = np.full(len(pairs), VOCABULARY_PARTS, dtype=np.uint64)
+    if m:
+        h = own[codes[first]]
+        for i in range(1, m):
+            h = _extended(h, hashes[codes[first + i]])
+        parts = np.where(_passes(h, crowded), np.uint64(PARTS), np.uint64(1))
+    part = (mix64(hashes[after]) % parts).astype(np.int64)
     order = np.lexsort((part, prefix))
     prefix, after, part, counts, first = (x[order] for x in (prefix, after, part, counts, first))
     starts = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])) if len(prefix) else np.zeros(0, int)
@@ -139,7 +145,7 @@ def count(tokens: list[bytes], lang: str, m: int, bitmap: np.ndarray | None) ->
     )
 
 
-def _counter(m: int, bitmap: np.ndarray | None) -> Callable:
+def _counter(m: int, bitmap: np.ndarray | None, crowded: np.ndarray | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         size = 0
@@ -152,20 +158,22 @@ def _counter(m: int, bitmap: np.ndarray | None) -> Callable:
                     own.append(END)
                 size += len(data)
                 if size >= CHUNK:
-                    yield from (count(t, k, m, bitmap) for k, t in held.items() if t)
+                    yield from (count(t, k, m, bitmap, crowded) for k, t in held.items() if t)
                     held, size = {}, 0
-        yield from (count(t, k, m, bitmap) for k, t in held.items() if t)
+        yield from (count(t, k, m, bitmap, crowded) for k, t in held.items() if t)
 
     return run
 
 
-def stripes(texts: DataFrame, m: int, bitmap: np.ndarray | None = None) -> DataFrame:
+def stripes(texts: DataFrame, m: int, known: DataFrame | None = None) -> DataFrame:
     """(lang, prefix, next, f): entries of the merged stripes of prefixes of ``m`` words, over rows (lang, text binary).
 
-    Stripes are dealt by prefix and part, so that a frequent prefix is not one
-    task's; merging them needs no further exchange.
+    ``known`` are the frequent phrases of ``m`` words. Stripes are dealt by
+    prefix and part, so that a crowded prefix is not one task's; merging them
+    needs no further exchange.
     """
-    made = texts.mapInArrow(_counter(m, bitmap), "lang string, prefix binary, part int, next array<binary>, counts array<long>")
+    filters = (None, None) if known is None else (membership(known), membership(known.where(F.col("f") >= CROWDED)))
+    made = texts.mapInArrow(_counter(m, *filters), "lang string, prefix binary, part int, next array<binary>, counts array<long>")
     dealt = made.repartition("lang", "prefix", "part")
     entries = dealt.select("lang", "prefix", "part", F.explode(F.arrays_zip("next", "counts")).alias("e"))
     merged = entries.groupBy("lang", "prefix", "part", F.col("e.next").alias("next")).agg(F.sum("e.counts").alias("f"))
@@ -199,7 +207,7 @@ def frequent_phrases(texts: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     words = stored(entries.groupBy("lang", word.alias("phrase")).agg(F.sum("f").alias("f")), "words")
     levels = [words.where("phrase is not null")]
     for m in range(1, LONGEST):
-        found = stripes(texts, m, membership(levels[-1])).where(F.col("f") >= FREQUENT)
+        found = stripes(texts, m, levels[-1]).where(F.col("f") >= FREQUENT)
         phrase = F.concat("prefix", F.lit(b" "), "next").alias("phrase")
         levels.append(stored(found.select("lang", phrase, "f"), f"phrases{m + 1}"))
     return levels, words.groupBy("lang").agg(F.sum("f").alias("n"))
