@@ -23,6 +23,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ CROWDED, PARTS, VOCABULARY_PARTS = 20_000, 64, 256
 #: bits of the filter for each phrase, at most altogether; probes
 BITS, MOST_BITS, PROBES = 12, 1 << 27, 4
 #: bytes of text that a task counts at once
-CHUNK = 6 << 20
+CHUNK = 10 << 20
 
 #: in place of what ends a piece; no byte of UTF-8
 END = b"\xff"
@@ -90,7 +91,10 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def count(tokens: list[bytes], lang: str, m: int, bitmap: np.ndarray | None, crowded: np.ndarray | None) -> pa.RecordBatch:
-    """Stripes (lang, prefix, part, next, counts) of prefixes of ``m`` words, those that ``crowded`` passes in parts."""
+    """Stripes (lang, prefix, part, entries) of prefixes of ``m`` words, those that ``crowded`` passes in parts.
+
+    ``entries`` has each next word and its count, all with a blank between.
+    """
     coded = pa.array(tokens, pa.binary()).dictionary_encode()
     codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     hashes, v = _word_hashes(words), len(words)
@@ -131,17 +135,19 @@ def count(tokens: list[bytes], lang: str, m: int, bitmap: np.ndarray | None, cro
     order = np.lexsort((part, prefix))
     prefix, after, part, counts, first = (x[order] for x in (prefix, after, part, counts, first))
     starts = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])) if len(prefix) else np.zeros(0, int)
-    offsets = pa.array([*starts, len(prefix)], pa.int32())
+    numbers, count_at = np.unique(counts, return_inverse=True)
+    told = pa.concat_arrays([coded.dictionary, pa.array([b"%d" % c for c in numbers.tolist()], pa.binary())])
+    entries = told.take(pa.array(np.column_stack([after, v + count_at]).ravel()))
+    entries = pa.ListArray.from_arrays(pa.array(2 * np.append(starts, len(prefix)), pa.int32()), entries)
     named = codes[first[starts][:, None] + np.arange(m)].tolist() if len(starts) else []
     return pa.RecordBatch.from_arrays(
         [
             pa.array([lang] * len(starts), pa.string()),
             pa.array([b" ".join([words[c] for c in p]) for p in named], pa.binary()),
             pa.array(part[starts], pa.int32()),
-            pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(after))),
-            pa.ListArray.from_arrays(offsets, pa.array(counts)),
+            pc.binary_join(entries, b" "),
         ],
-        ["lang", "prefix", "part", "next", "counts"],
+        ["lang", "prefix", "part", "entries"],
     )
 
 
@@ -173,10 +179,13 @@ def stripes(texts: DataFrame, m: int, known: DataFrame | None = None) -> DataFra
     needs no further exchange.
     """
     filters = (None, None) if known is None else (membership(known), membership(known.where(F.col("f") >= CROWDED)))
-    made = texts.mapInArrow(_counter(m, *filters), "lang string, prefix binary, part int, next array<binary>, counts array<long>")
+    made = texts.mapInArrow(_counter(m, *filters), "lang string, prefix binary, part int, entries binary")
     dealt = made.repartition("lang", "prefix", "part")
-    entries = dealt.select("lang", "prefix", "part", F.explode(F.arrays_zip("next", "counts")).alias("e"))
-    merged = entries.groupBy("lang", "prefix", "part", F.col("e.next").alias("next")).agg(F.sum("e.counts").alias("f"))
+    own = dealt.withColumn("own", F.split(F.col("entries").cast("string"), " "))
+    places = F.sequence(F.lit(0), F.size("own") - 2, F.lit(2))
+    entry = F.transform(places, lambda i: F.struct(F.col("own")[i].alias("next"), F.col("own")[i + 1].cast("long").alias("n")))
+    entries = own.select("lang", "prefix", "part", F.inline(entry))
+    merged = entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("f"))
     return merged.select("lang", "prefix", "next", "f")
 
 
@@ -203,12 +212,12 @@ def frequent_phrases(texts: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Stored rows (lang, phrase, f) of the phrases of 1 to 4 words with f >= 30, by length, and (lang, n) with all words."""
     entries = stripes(texts, 0)
     # words below the bound count under null, for the total only
-    word = F.when(F.col("f") >= FREQUENT, F.col("next"))
+    word = F.when(F.col("f") >= FREQUENT, F.col("next").cast("binary"))
     words = stored(entries.groupBy("lang", word.alias("phrase")).agg(F.sum("f").alias("f")), "words")
     levels = [words.where("phrase is not null")]
     for m in range(1, LONGEST):
         found = stripes(texts, m, levels[-1]).where(F.col("f") >= FREQUENT)
-        phrase = F.concat("prefix", F.lit(b" "), "next").alias("phrase")
+        phrase = F.concat("prefix", F.lit(b" "), F.col("next").cast("binary")).alias("phrase")
         levels.append(stored(found.select("lang", phrase, "f"), f"phrases{m + 1}"))
     return levels, words.groupBy("lang").agg(F.sum("f").alias("n"))
 
