@@ -18,8 +18,8 @@ def brute(docs, items, length):
     windows = []
     for item, text in items:
         w = WORD.findall(lower(text))
-        if item is not None and w:
-            windows += [(tuple(w[i : i + length]), str(item)) for i in range(max(1, len(w) - length + 1))]
+        if w:
+            windows += [(tuple(w[i : i + length]), item) for i in range(max(1, len(w) - length + 1))]
     out = []
     for text in docs:
         w = WORD.findall(lower(text))
@@ -28,7 +28,8 @@ def brute(docs, items, length):
             for i in range(len(w) - len(win) + 1):
                 if tuple(w[i : i + len(win)]) == win:
                     hit.update(range(i, i + len(win)))
-                    names.add(item)
+                    if item is not None:
+                        names.add(str(item))
         out.append((len(w), len(hit), sorted(names)))
     return out
 
@@ -80,6 +81,25 @@ def test_clean_documents_stay_as_they_are(spark, odd, none):
     assert dc.decontaminate(odd, items.limit(0)).count() == len(ODD_ROWS)
 
 
+def test_passes_write_no_texts(spark, docs_like, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 150)
+    written, store = [], dc.stored
+    monkeypatch.setattr(dc, "stored", lambda df, name: written.append((name, df.columns)) or store(df, name))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = docs_like([(i, t, None, None) for i, t in enumerate(TEXTS)])
+    assert dc.contamination(docs, items).count() == len(TEXTS)
+    assert [n for n, _ in written[1:]] == ["hits"] * len(written[1:]) and len(written) > 3
+    assert all(columns == ["row_id", "n_words", "spans", "items"] for _, columns in written[1:])
+
+
+def test_items_without_an_id_hit(spark, docs_like):
+    ten = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(None, ten)], "item_id long, text string")
+    docs = docs_like([(1, f"zero {ten} eleven", "en", "s"), (2, "clean", "en", "s")])
+    assert result(dc.contamination(docs, items)) == {f"zero {ten} eleven": (12, 10, []), "clean": (1, 0, [])}
+    assert [r["doc_id"] for r in dc.decontaminate(docs, items).collect()] == [2]
+
+
 def test_search_reports_every_occurrence():
     strings = [b" ab ", b" abc abc ", b" x y ", b" y x "]
     text = b" ab abc abc abc x y x ab "

@@ -11,14 +11,15 @@ strings, and a direct comparison confirms them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tripflow.llm.common import documents, stored, with_columns, words
-from tripflow.session import cut_lineage
+from tripflow.llm.common import documents, numbered, stored, with_columns, words
 
 #: entries of a leap table, a power of two; blocks that share an entry take the smaller leap
 TABLE = 1 << 18
@@ -71,11 +72,11 @@ class Searcher:
             classes.setdefault(len(s).bit_length(), []).append(s)
         self.classes = [LengthClass(strings) for _, strings in sorted(classes.items())]
 
-    def hits(self, text: list[bytes]) -> tuple[list[list[int]], set[str]]:
+    def hits(self, text: list[bytes]) -> tuple[list[list[int]], set[str | None]]:
         """Merged [first, end) word intervals inside occurrences, and the items that occur."""
         line = b" " + b" ".join(text) + b" "
         found: dict[int, int] = {}
-        items: set[str] = set()
+        items: set[str | None] = set()
         for kind in self.classes:
             for at, s in kind.search(line):
                 found[at] = max(found.get(at, 0), s.count(b" ") - 1)
@@ -100,7 +101,7 @@ def add_span(spans: list[list[int]], start: int, end: int) -> None:
 def windows(benchmark: DataFrame, length: int) -> DataFrame:
     """Distinct (window, item): runs of ``length`` words of each item; an item of fewer, but not none, is one.
 
-    Items without an id or without words have no windows.
+    Items without words have no windows; those of items without an id have a null item.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +113,7 @@ def windows(benchmark: DataFrame, length: int) -> DataFrame:
                 rows += [(b" " + b" ".join(w[i : i + length]) + b" ", item) for i in starts]
             yield pd.DataFrame(rows, columns=["window", "item"])
 
-    named = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    named = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     return named.mapInPandas(cut, "window binary, item string").distinct()
 
 
@@ -120,64 +121,80 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
     """(doc, n_words, spans, items): hit word intervals and item ids of each document.
 
     ``doc`` is the input row as a struct. The test strings are searched for in
-    blocks of about ``BLOCK_BYTES``, one pass over the documents each; a pass
-    adds to what the earlier ones found, so any number of strings is complete.
+    blocks of about ``BLOCK_BYTES``, one pass over the documents each, so any
+    number of strings is complete. With several passes the documents are written
+    once with a number each, and a pass writes numbers and spans of those it hits.
+    Items without an id hit words like others and add no name to ``items``.
     Null and empty texts have no words and no hits. Repeated rows are searched
     one by one. Without test strings nothing is hit.
     """
     tests = stored(windows(benchmark, length), "windows")
-    volume = tests.agg(F.sum(F.octet_length("window") + F.octet_length("item"))).first()[0] or 0
+    volume = tests.agg(F.sum(F.octet_length("window") + F.octet_length(F.coalesce("item", F.lit(""))))).first()[0] or 0
     passes = int(volume) // BLOCK_BYTES + 1
-    none = "array<struct<start:int,end:int>>"
-    found = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
-        F.lit(0).alias("n_words"),
-        F.lit(None).cast(none).alias("spans"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-    kept = found.schema
-    for number in range(passes):
+
+    def pairs(number: int):
         block = tests.where(F.pmod(F.xxhash64("window", "item"), F.lit(passes)) == number)
-        pairs = docs.sparkSession.sparkContext.broadcast([(bytes(r[0]), r[1]) for r in block.collect()])
-        found = found.mapInArrow(_search(pairs), kept)
-        if number + 1 < passes:
-            found = cut_lineage(found)
-    return found
+        return docs.sparkSession.sparkContext.broadcast([(bytes(r[0]), r[1]) for r in block.collect()])
+
+    if passes == 1:
+        whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+        schema = StructType([*whole.schema.fields, *StructType.fromDDL(_FOUND).fields])
+        return whole.mapInArrow(_search(pairs(0), "doc", False), schema)
+    table = numbered(docs, text=docs["text"])
+    texts = table.select("row_id", "text")
+    found = [
+        stored(texts.mapInArrow(_search(pairs(n), "row_id", n > 0), f"row_id long, {_FOUND}"), "hits") for n in range(passes)
+    ]
+    every = reduce(DataFrame.union, found).groupBy("row_id")
+    joined = every.agg(
+        F.max("n_words").alias("n_words"),
+        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return table.select("row_id", "doc").join(joined.mapInArrow(_merged, joined.schema), "row_id").drop("row_id")
+
 
+_FOUND = "n_words int, spans array<struct<start:int,end:int>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _search(pairs, key: str, hits_only: bool):
+    """For rows with ``key`` and a text, in it if it is a struct: number of words, spans and items; ``hits_only`` leaves the other rows out."""
 
-def _search(pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = _searcher(pairs)
         for batch in batches:
-            counts, spans, items = [], [], []
-            old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            text = batch.column("doc").field("text")
+            rows, counts, spans, items = [], [], [], []
+            text = batch.column("doc").field("text") if key == "doc" else batch.column("text")
             for row in range(batch.num_rows):
                 w = words(text[row].as_py())
-                new, names = searcher.hits(w)
-                if old_spans[row]:
-                    both = sorted(new + [[s["start"], s["end"]] for s in old_spans[row]])
-                    new = []
-                    for start, end in both:
-                        add_span(new, start, end)
-                    names = names.union(old_items[row])
-                counts.append(len(w))
-                spans.append([{"start": s, "end": e} for s, e in new])
-                items.append(sorted(names))
-            fields = batch.schema
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"),
-                    pa.array(counts, pa.int32()),
-                    pa.array(spans, fields.field("spans").type),
-                    pa.array(items, fields.field("items").type),
-                ],
-                schema=fields,
-            )
+                hit, names = searcher.hits(w)
+                if hit or not hits_only:
+                    rows.append(row)
+                    counts.append(len(w))
+                    spans.append([{"start": s, "end": e} for s, e in hit])
+                    items.append(sorted(n for n in names if n is not None))
+            own = batch.column(key)
+            own = own if len(rows) == len(own) else own.take(pa.array(rows, pa.int32()))
+            arrays = [own, pa.array(counts, pa.int32()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, [key, "n_words", "spans", "items"])
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with sorted ``spans``, those that touch or overlap put together."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            joined: list[list[int]] = []
+            for s in spans:
+                add_span(joined, s["start"], s["end"])
+            out.append([{"start": s, "end": e} for s, e in joined])
+        columns = dict(zip(batch.schema.names, batch.columns)) | {"spans": pa.array(out, _SPANS)}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 _CACHE: dict[int, Searcher] = {}
 
 
@@ -222,7 +239,7 @@ with doc_words as materialized (
   select item_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
-  from benchmark where item_id is not null
+  from benchmark
 ), item_windows as materialized (
   select distinct cast(item_id as varchar) as item, least(len(w), 10) as n,
     array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as win
@@ -238,7 +255,7 @@ with doc_words as materialized (
   select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id
 ), hit_items as (
   select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
-  from (select distinct doc_id, item from hits) group by doc_id
+  from (select distinct doc_id, item from hits where item is not null) group by doc_id
 )
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(t.n_items, 0) as n_items,
   sha256(coalesce(t.items, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
