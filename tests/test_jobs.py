@@ -10,13 +10,13 @@ from tripflow.operators import live
 from tripflow.operators.nearest_station import build_station_index
 from tripflow.operators.routes import normalise_routes
 from tripflow.plans import training, trips
-from tripflow.schemas import HEARTBEAT_LOG, INCIDENT_LOG, LABEL
+from tripflow.schemas import HEARTBEAT_LOG, INCIDENT_LOG, LABEL, RUN_RECORD
 from tripflow.operators.routes import empty_routes
 from tripflow.sources import commits
 from tripflow.sources.logs import read_log
 from tripflow.sources.requests import with_defaults
 from tripflow.streaming import door
-from tripflow.streaming.ingest import ingest_stream, landed_runs
+from tripflow.streaming.ingest import ingest_stream, landed_runs, log_rows
 from tripflow.streaming.score import score_stream
 
 
@@ -219,3 +219,15 @@ def test_request_door_replays_without_doubles_or_losses(spark, index, tmp_path,
     assert told() == [[1, 5], [2, 6], [3, 4, 7]]
     row = door.results(spark, root).where("trip_id = 5").first()
     assert row["model"] == "m1" and row["inputs"]["roadway"] == "I-75" and row["notes"] == []
+
+
+def test_heartbeats_are_made_in_place(spark):
+    doc = json.loads(run_record(0))
+    rows = [json.dumps(doc), json.dumps(doc | {"incidents": "[[[[[[[[[[{\"id\": 1}]]]]]]]]]]", "weather_error": "late"})]
+    records = spark.read.schema(RUN_RECORD).json(spark.sparkContext.parallelize(rows))
+    beats = log_rows(records)["heartbeats"]
+    # two collectors in one second keep their own counts, and nothing is joined or shuffled
+    assert sorted((r["ga511_events_count"], r["nws_periods_written"], r["errors"]) for r in beats.collect()) == [(1, 2, "late"), (2, 2, "")]
+    plan = beats._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert log_rows(records)["incidents"].count() == 3

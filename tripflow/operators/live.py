@@ -90,39 +90,45 @@ def live_adjustment(before: Column, use_live: Column, weather: Column, incidents
     )
 
 
-def heartbeat_rows(records: DataFrame, periods: DataFrame, alerts: DataFrame, incidents: DataFrame) -> DataFrame:
-    """One monitoring row per collector run, failed sources included.
+def heartbeat_rows(runs: DataFrame) -> DataFrame:
+    """One monitoring row per collector run, failed sources included, from its parsed lists in place.
 
-    ``periods``, ``alerts`` and ``incidents`` are the rows the same runs wrote.
+    Runs are never brought together, so two collectors in one second have a row each.
     """
+    now = F.col("snapshot_utc")
 
-    def counted(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("snapshot_utc").agg(F.count("*").alias(name))
+    def preferred(period: Column, position: Column) -> Column:
+        def text(field: str) -> Column:
+            return F.try_variant_get(period, f"$.{field}", "string")
+
+        start, end = to_utc(text("startTime")), to_utc(text("endTime"))
+        in_force = F.coalesce((start <= now) & (end > now), F.lit(False))
+        gap = F.abs(F.unix_micros(start) - F.unix_micros(now))
+        return F.struct(
+            F.when(in_force, 0).when(start.isNotNull(), 1).otherwise(2).alias("order"),
+            F.when(in_force, F.lit(0).cast("long")).otherwise(F.coalesce(gap, F.lit(0).cast("long"))).alias("gap"),
+            position.alias("position"),
+            text("shortForecast").alias("shortForecast"),
+            to_number(text("temperature")).alias("temperature"),
+            text("windSpeed").alias("windSpeed"),
+        )
 
-    runs = records.select("snapshot_utc", "weather_error", "incident_error")
-    current = current_period(periods, ["shortForecast", "temperature", "windSpeed"])
     short = strip(F.coalesce(F.col("period.shortForecast"), F.lit("")))
     errors = [F.when(F.col(c) != "", F.col(c)) for c in ("weather_error", "incident_error")]
 
-    def zero(name: str) -> Column:
-        return F.coalesce(name, F.lit(0)).cast("long").alias(name)
-
-    return (
-        runs.join(counted(periods, "nws_periods_written"), "snapshot_utc", "left")
-        .join(counted(alerts, "alerts_count"), "snapshot_utc", "left")
-        .join(counted(incidents, "ga511_events_count"), "snapshot_utc", "left")
-        .join(current, "snapshot_utc", "left")
-        .select(
-            "snapshot_utc",
-            F.col("weather_error").isNull().alias("nws_ok"),
-            F.when(F.col("period").isNotNull(), short).alias("wx_short"),
-            F.col("period.temperature").alias("wx_temp"),
-            F.col("period.windSpeed").alias("wx_wind"),
-            F.when(F.col("period").isNotNull(), precipitation_flag(short)).alias("wx_precip_flag"),
-            zero("nws_periods_written"),
-            zero("alerts_count"),
-            F.col("incident_error").isNull().alias("ga511_ok"),
-            zero("ga511_events_count"),
-            F.concat_ws("; ", *errors).alias("errors"),
-        )
+    def number(items: str) -> Column:
+        return F.coalesce(F.size(F.col(items)), F.lit(0)).cast("long")
+
+    return runs.withColumn("period", F.array_min(F.transform("periods", preferred))).select(
+        "snapshot_utc",
+        F.col("weather_error").isNull().alias("nws_ok"),
+        F.when(F.col("period").isNotNull(), short).alias("wx_short"),
+        F.col("period.temperature").alias("wx_temp"),
+        F.col("period.windSpeed").alias("wx_wind"),
+        F.when(F.col("period").isNotNull(), precipitation_flag(short)).alias("wx_precip_flag"),
+        F.greatest(number("periods"), F.lit(0)).alias("nws_periods_written"),
+        F.greatest(number("alerts"), F.lit(0)).alias("alerts_count"),
+        F.col("incident_error").isNull().alias("ga511_ok"),
+        F.greatest(number("objects"), F.lit(0)).alias("ga511_events_count"),
+        F.concat_ws("; ", *errors).alias("errors"),
     )

@@ -14,7 +14,7 @@ from tripflow.schemas import RUN_RECORD
 from tripflow.session import cut_lineage
 
 #: wrappers and lists opened between two looks at what is left
-LEVELS_PER_ROUND = 8
+LEVELS_PER_ROUND = 4
 
 # Wrapper keys in order, and the source keys of every incident field.
 WRAPPER_KEYS = ["events", "event", "data"]
@@ -78,70 +78,109 @@ def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def forecast_rows(payloads: DataFrame) -> DataFrame:
-    """(snapshot_utc, body) to one row per forecast period, with its place in the list."""
-    periods = payloads.select(
-        "snapshot_utc",
-        F.posexplode(
-            F.try_variant_get(F.try_parse_json("body"), "$.properties.periods", "array<variant>")
-        ).alias("position", "period"),
-    )
+def _periods(doc: str) -> Column:
+    return F.try_variant_get(doc, "$.properties.periods", "array<variant>")
+
+
+def _features(doc: str) -> Column:
+    """The alerts of a features wrapper or a bare list, objects only."""
+    listed = F.coalesce(F.try_variant_get(doc, "$.features", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>"))
+    return F.filter(listed, is_object)
+
+
+def parsed_runs(records: DataFrame) -> DataFrame:
+    """Collector runs with ``periods``, ``alerts`` and ``objects``, lists of variants, in place of their bodies.
+
+    Every body is parsed and opened once; logs and heartbeats read the lists. A
+    list is null where its source delivered nothing of the kind.
+    """
+    docs = records.withColumns({c: F.try_parse_json(c) for c in ("forecast", "alerts", "incidents")})
+    return _innermost(
+        docs.select(
+            "snapshot_utc", "weather_error", "incident_error", _periods("forecast").alias("periods"), _features("alerts").alias("alerts"),
+            F.when(F.col("incidents").isNotNull(), F.array("incidents")).alias("objects"),
+        )
+    )
+
+
+def period_rows(runs: DataFrame) -> DataFrame:
+    """(snapshot_utc, periods) to one row per forecast period, with its place in the list."""
+    periods = runs.select("snapshot_utc", F.posexplode("periods").alias("position", "period"))
     texts = [text_at("period", f).alias(f) for f in FORECAST_TEXT_FIELDS]
     temperature = to_number(text_at("period", "temperature")).alias("temperature")
     return periods.select("snapshot_utc", "position", *texts[:2], temperature, *texts[2:])
 
 
-def alert_rows(payloads: DataFrame) -> DataFrame:
-    """(snapshot_utc, body) to one row per alert; a features wrapper or a bare list."""
+def forecast_rows(payloads: DataFrame) -> DataFrame:
+    """(snapshot_utc, body) to one row per forecast period."""
     parsed = payloads.select("snapshot_utc", F.try_parse_json("body").alias("doc"))
-    features = F.coalesce(
-        F.try_variant_get("doc", "$.features", "array<variant>"),
-        F.try_variant_get("doc", "$", "array<variant>"),
-    )
-    alerts = parsed.select("snapshot_utc", F.explode(features).alias("alert")).where(is_object(F.col("alert")))
-    return alerts.select(
+    return period_rows(parsed.select("snapshot_utc", _periods("doc").alias("periods")))
+
+
+def feature_rows(runs: DataFrame) -> DataFrame:
+    """(snapshot_utc, alerts) to one row per alert."""
+    return runs.select("snapshot_utc", F.explode("alerts").alias("alert")).select(
         "snapshot_utc",
         text_at("alert", "id").alias("id"),
         *[text_at("alert", f"properties.{p}").alias(p) for p in ALERT_PROPERTIES],
     )
 
 
-def flatten_objects(payloads: DataFrame) -> DataFrame:
-    """(snapshot_utc, body) to one row per innermost object, however deep it lies.
+def alert_rows(payloads: DataFrame) -> DataFrame:
+    """(snapshot_utc, body) to one row per alert; a features wrapper or a bare list."""
+    parsed = payloads.select("snapshot_utc", F.try_parse_json("body").alias("doc"))
+    return feature_rows(parsed.select("snapshot_utc", _features("doc").alias("alerts")))
 
-    Each step opens one wrapper or one list; objects without a wrapper key stay
-    as they are and scalars vanish. Every step is narrow, so a payload never
-    leaves its task. Steps go on for as long as any node can be opened; only
-    those nodes are carried into the next round.
+
+def _innermost(runs: DataFrame) -> DataFrame:
+    """``runs`` with the nodes of ``objects`` opened: the innermost objects, however deep they lie.
+
+    Each step opens one wrapper or one list of every node in place; objects
+    without a wrapper key stay as they are and scalars vanish. A round's result
+    is written once, with whether a row has nodes left to open; only such rows go
+    into another round.
     """
-    done, nodes = None, payloads.select("snapshot_utc", F.try_parse_json("body").alias("node"))
+    done, rows = None, runs
     while True:
         for _ in range(LEVELS_PER_ROUND):
-            inside, items = _inside("node")
-            following = (
-                F.when(inside.isNotNull(), F.array(inside))
-                .when(items.isNotNull(), items)
-                .when(is_object(F.col("node")), F.array("node"))
-            )
-            nodes = nodes.select("snapshot_utc", F.explode(following).alias("node"))
-        inside, items = _inside("node")
-        openable = inside.isNotNull() | items.isNotNull()
-        closed = nodes.where(~openable & is_object(F.col("node"))).select("snapshot_utc", F.col("node").alias("event"))
+            rows = rows.withColumn("objects", F.flatten(F.transform("objects", _opened)))
+        rows = cut_lineage(rows.withColumn("_deep", F.coalesce(F.exists("objects", _openable), F.lit(False))))
+        closed = rows.where(~F.col("_deep")).drop("_deep")
         done = closed if done is None else done.unionByName(closed)
-        rest = nodes.where(openable)
-        if rest.isEmpty():
-            return done
-        # as text, which every storage level and format can hold
-        kept = cut_lineage(rest.select("snapshot_utc", F.to_json("node").alias("body")))
-        nodes = kept.select("snapshot_utc", F.try_parse_json("body").alias("node"))
+        rows = rows.where("_deep").drop("_deep")
+        if rows.isEmpty():
+            return done.withColumn("objects", F.filter("objects", is_object))
 
 
-def _inside(node: str) -> tuple[Column, Column]:
+def flatten_objects(payloads: DataFrame) -> DataFrame:
+    """(snapshot_utc, body) to one row per innermost object."""
+    doc = F.try_parse_json("body")
+    opened = _innermost(payloads.select("snapshot_utc", F.when(doc.isNotNull(), F.array(doc)).alias("objects")))
+    return object_rows(opened)
+
+
+def object_rows(runs: DataFrame) -> DataFrame:
+    """(snapshot_utc, objects) to one row per object."""
+    return runs.select("snapshot_utc", F.explode("objects").alias("event"))
+
+
+def _inside(node: Column) -> tuple[Column, Column]:
     """What a wrapper holds, and the items of a list; null where the node is neither."""
     inside = F.coalesce(*[F.try_variant_get(node, f"$.{k}", "variant") for k in WRAPPER_KEYS])
     return inside, F.try_variant_get(node, "$", "array<variant>")
 
 
+def _openable(node: Column) -> Column:
+    inside, items = _inside(node)
+    return inside.isNotNull() | items.isNotNull()
+
+
+def _opened(node: Column) -> Column:
+    """The nodes that take a node's place."""
+    inside, items = _inside(node)
+    return F.when(inside.isNotNull(), F.array(inside)).when(items.isNotNull(), items).otherwise(F.array(node))
+
+
 def resolve_coordinates(
     flat: tuple[Column, Column], nested: tuple[Column, Column], geojson: tuple[Column, Column]
 ) -> tuple[Column, Column]:

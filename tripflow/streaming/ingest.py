@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tripflow.operators.live import heartbeat_rows
 from tripflow.schemas import ALERT_LOG, FORECAST_LOG, HEARTBEAT_LOG, INCIDENT_LOG, RUN_RECORD
 from tripflow.sources.logs import append_logs, stream_id
-from tripflow.sources.payloads import alert_rows, flatten_objects, forecast_rows, incident_rows
+from tripflow.sources.payloads import feature_rows, incident_rows, object_rows, parsed_runs, period_rows
 
 LOG_SCHEMAS = {
     "forecasts": FORECAST_LOG,
@@ -23,20 +22,14 @@ def log_rows(records: DataFrame) -> dict[str, DataFrame]:
     """The rows a set of runs contributes to each log.
 
     A source that failed has an error text instead of a body: no rows, but
-    still a heartbeat.
+    still a heartbeat. Every body is parsed once, for all of them.
     """
-
-    def bodies(column: str) -> DataFrame:
-        return records.select("snapshot_utc", F.col(column).alias("body"))
-
-    periods = forecast_rows(bodies("forecast"))
-    alerts = alert_rows(bodies("alerts"))
-    incidents = incident_rows(flatten_objects(bodies("incidents")))
+    runs = parsed_runs(records)
     return {
-        "forecasts": periods,
-        "alerts": alerts,
-        "incidents": incidents,
-        "heartbeats": heartbeat_rows(records, periods, alerts, incidents),
+        "forecasts": period_rows(runs),
+        "alerts": feature_rows(runs),
+        "incidents": incident_rows(object_rows(runs)),
+        "heartbeats": heartbeat_rows(runs),
     }
 
 
@@ -52,12 +45,8 @@ def ingest_stream(runs: DataFrame, log_folder: str, checkpoint: str) -> Streamin
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            logs = {name: (rows, LOG_SCHEMAS[name]) for name, rows in log_rows(batch).items()}
-            append_logs(logs, log_folder, batch_id, stream_id(batch))
-        finally:
-            batch.unpersist()
+        logs = {name: (rows, LOG_SCHEMAS[name]) for name, rows in log_rows(batch).items()}
+        append_logs(logs, log_folder, batch_id, stream_id(batch))
 
     return (
         runs.writeStream.foreachBatch(write_batch)
