@@ -406,10 +406,13 @@ add(
 add(
     "onehot_features",
     with_parts("parted")
-    + f""", filled AS (SELECT coalesce(fc, ({_mode.format(c='fc')})) AS fc, is_test FROM parted),
-    known AS (SELECT fc, row_number() OVER (ORDER BY fc) AS position FROM (SELECT DISTINCT fc FROM filled WHERE NOT is_test))
-    SELECT filled.fc AS FUNCTIONAL_CLASS, coalesce(position, 0) AS position, (SELECT count(*) FROM known) AS width, count(*) AS n
-    FROM filled LEFT JOIN known USING (fc) GROUP BY 1, 2""",
+    + f""", filled AS (SELECT 'FUNCTIONAL_CLASS' AS feature, coalesce(fc, ({_mode.format(c='fc')})) AS category, is_test FROM parted
+        UNION ALL SELECT 'STATION_TYPE', coalesce(kind, ({_mode.format(c='kind')})), is_test FROM parted),
+    known AS (SELECT feature, category, row_number() OVER (PARTITION BY feature ORDER BY category) AS position,
+        count(*) OVER (PARTITION BY feature) AS width FROM (SELECT DISTINCT feature, category FROM filled WHERE NOT is_test)),
+    widths AS (SELECT DISTINCT feature, width FROM known)
+    SELECT feature, category, coalesce(position, 0) AS position, widths.width, count(*) AS n
+    FROM filled JOIN widths USING (feature) LEFT JOIN known USING (feature, category) GROUP BY ALL""",
 )
 add(
     "model_roundtrip",
@@ -438,6 +441,17 @@ add(
     with_parts("curve")
     + "SELECT round(sum((recall - recall_before) * (precision + precision_before) / 2), 9) AS pr_auc FROM curve",
 )
+add(
+    "metrics_record",
+    with_parts("ranked", "curve", "scores")
+    + """, c AS (SELECT count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn,
+        count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp, count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn,
+        count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp FROM scores)
+    SELECT (SELECT round(sum(pos * (n - fp + neg / 2e0)) / (max(p) * max(n)), 6) FROM ranked) AS roc_auc,
+    (SELECT round(sum((recall - recall_before) * (precision + precision_before) / 2), 6) FROM curve) AS pr_auc,
+    round(tn / (tn + fp), 6) AS recall_0, round(tp / (tp + fp), 6) AS precision_1,
+    round(2 * tp / (2 * tp + fp + fn), 6) AS f1_1, CAST(tp + fn AS DOUBLE) AS support_1 FROM c""",
+)
 add(
     "classification_report",
     with_parts("scores")
@@ -745,5 +759,6 @@ add(
     "stream_trip_scores",
     _scored
     + """SELECT trip_id, round(p_final, 4) AS probability, CASE WHEN live THEN round(p_time, 4) END AS before_live,
-    round(mph, 2) AS effective_mph FROM eta""",
+    round(mph, 2) AS effective_mph, CAST(format('{:.1f}', route_miles / mph * 60) AS DOUBLE) AS minutes,
+    CASE WHEN ok THEN provider ELSE 'fallback' END AS provider FROM eta""",
 )

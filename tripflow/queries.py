@@ -244,6 +244,16 @@ def classification_report(spark, sf_dir):
     return report.select("row", *_rounded("precision", "recall", "f1"), "support")
 
 
+@query
+def metrics_record(spark, sf_dir):
+    """The measures of a scored test set, written as the metrics record and read back."""
+    scored = _labelled_scores(spark, sf_dir).select(F.col("label").alias(LABEL), F.col("score").alias("probability"))
+    path = new_folder(spark, "metrics")
+    logs.write_record(spark, training.quality(scored), path)
+    names = {"ROC_AUC": "roc_auc", "PR_AUC": "pr_auc", "0 recall": "recall_0", "1 precision": "precision_1", "1 f1": "f1_1", "1 support": "support_1"}
+    return spark.read.json(path).select(*[F.round(F.col(f"`{k}`").cast("double"), 6).alias(v) for k, v in names.items()])
+
+
 @query
 def gbt_scores(spark, sf_dir):
     """Fit on the training part, save, load, score every located station."""
@@ -288,16 +298,21 @@ def contract_record(spark, sf_dir):
 
 @query
 def onehot_features(spark, sf_dir):
-    """Where each filled functional class has its one in the encoded vector, and how long that is."""
+    """Where each filled category has its one in the encoded vector, and how long that is, for both categorical columns."""
     table = training.training_table(station_table(spark, sf_dir))
     train = table.where(~F.col("is_test")).drop("is_test")
     encoded = Pipeline(stages=training.feature_stages(train)).fit(train).transform(table)
-    vector = vector_to_array("FUNCTIONAL_CLASS_VECTOR")
-    return encoded.groupBy(
-        F.col("FUNCTIONAL_CLASS_FILLED").alias("FUNCTIONAL_CLASS"),
-        F.array_position(vector, 1.0).cast("long").alias("position"),
-        F.size(vector).cast("long").alias("width"),
-    ).agg(F.count("*").alias("n"))
+
+    def placed(feature: str) -> DataFrame:
+        vector = vector_to_array(f"{feature}_VECTOR")
+        return encoded.groupBy(
+            F.lit(feature).alias("feature"),
+            F.col(f"{feature}_FILLED").alias("category"),
+            F.array_position(vector, 1.0).cast("long").alias("position"),
+            F.size(vector).cast("long").alias("width"),
+        ).agg(F.count("*").alias("n"))
+
+    return placed("FUNCTIONAL_CLASS").union(placed("STATION_TYPE"))
 
 
 # ---- trips ----------------------------------------------------------------
@@ -754,6 +769,7 @@ def stream_trip_scores(spark, sf_dir):
         lambda: fx.forecast_log(spark, sf_dir),
         lambda: fx.incident_log(spark, sf_dir),
         region="America/New_York",
+        routes=lambda: routes.normalise_routes(fx.route_responses(spark, sf_dir)),
     )
     stream.awaitTermination()
     return spark.read.parquet(f"{folder}/results").select(
@@ -761,4 +777,6 @@ def stream_trip_scores(spark, sf_dir):
         F.col("speed.probability_after_all_adjustments").alias("probability"),
         F.col("live.prob_before_live").alias("before_live"),
         F.col("speed.effective_speed_mph").alias("effective_mph"),
+        F.col("eta.minutes").alias("minutes"),
+        F.col("route.provider").alias("provider"),
     )
