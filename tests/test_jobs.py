@@ -10,13 +10,14 @@ from tripflow.operators import live
 from tripflow.operators.nearest_station import build_station_index
 from tripflow.operators.routes import normalise_routes
 from tripflow.plans import training, trips
-from tripflow.schemas import HEARTBEAT_LOG, INCIDENT_LOG, LABEL, RUN_RECORD
+from tripflow.schemas import FORECAST_LOG, HEARTBEAT_LOG, INCIDENT_LOG, LABEL, RUN_RECORD
 from tripflow.operators.routes import empty_routes
 from tripflow.sources import commits
-from tripflow.sources.logs import read_log
+from tripflow.sources.logs import append_logs, prune_log, read_log
 from tripflow.sources.requests import with_defaults
 from tripflow.streaming import door
 from tripflow.streaming.ingest import ingest_stream, landed_runs, log_rows
+from tripflow.streaming.live_state import refresh_live_state
 from tripflow.streaming.score import score_stream
 
 
@@ -73,7 +74,7 @@ def test_trips_without_logs(spark, index):
 
 
 def test_empty_incident_log_adds_nothing(spark):
-    empty = spark.createDataFrame([], "lanesBlocked string")
+    empty = live.incident_summary(spark.createDataFrame([], "lanesBlocked string"))
     assert spark.range(1).select(live.summary_bump(empty).alias("s")).first()["s"]["bump"] is None
 
 
@@ -231,3 +232,53 @@ def test_heartbeats_are_made_in_place(spark):
     plan = beats._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
     assert log_rows(records)["incidents"].count() == 3
+
+
+def test_live_state_reads_only_new_folders(spark, tmp_path):
+    folder, root = str(tmp_path / "logs"), str(tmp_path / "state")
+
+    def land(batch, day, lanes, short):
+        at = dt.datetime(2024, 1, day)
+        forecasts = spark.createDataFrame([(at, "2024-01-05T00:00:00Z", short), (at, f"2024-01-0{day}T06:00:00Z", "Sunny")], "snapshot_utc timestamp, startTime string, shortForecast string")
+        incidents = spark.createDataFrame([(at, x) for x in lanes], "snapshot_utc timestamp, lanesBlocked string")
+        append_logs({"forecasts": (forecasts, FORECAST_LOG), "incidents": (incidents, INCIDENT_LOG)}, folder, batch, "s")
+
+    def told(state):
+        moments = {r["at"]: (r["row"]["description"], r["row"]["bump"]) for r in state.moments.collect()}
+        return moments, tuple(state.summary.first())
+
+    def anew():
+        whole = refresh_live_state(spark, folder, str(tmp_path / f"whole{len(list(tmp_path.iterdir()))}"))
+        return told(whole)
+
+    assert told(refresh_live_state(spark, folder, root)) == ({}, (0, False, False))
+    land(0, 1, ["0", "1"], "Rain")
+    first = refresh_live_state(spark, folder, root)
+    assert told(first) == anew() and told(first)[1] == (2, True, False) and len(first.taken) == 2
+    land(1, 2, ["2"], "Snow")
+    second = refresh_live_state(spark, folder, root)
+    # only the second batch's folders were read, and the newer copy of a forecast won
+    assert len(second.taken) == 2 and all("batch_id=1" in p for p in second.taken) and told(second) == anew()
+    assert told(second)[1] == (3, True, True) and ("snow", 0.08) in told(second)[0].values()
+    assert refresh_live_state(spark, folder, root).taken == []
+    # a batch that ran again, and retention, take folders away: the state is made anew
+    land(1, 2, ["0"], "Fog")
+    third = refresh_live_state(spark, folder, root)
+    assert len(third.taken) == 4 and told(third) == anew() and told(third)[1] == (3, True, False)
+    prune_log(spark, f"{folder}/incidents", INCIDENT_LOG, "2024-01-02 12:00:00", days=1)
+    assert told(refresh_live_state(spark, folder, root)) == anew() and anew()[1] == (1, False, False)
+
+
+def test_stream_scores_from_the_live_state(spark, index, tmp_path):
+    frame = spark.createDataFrame([request(i, hour=i % 24) for i in range(10)], REQUEST)
+    frame.write.parquet(str(tmp_path / "in"))
+    forecasts, incidents = logs(spark)
+    stamped = incidents.withColumn("snapshot_utc", F.lit("2024-01-01").cast("timestamp"))
+    folder = str(tmp_path / "logs")
+    append_logs({"forecasts": (forecasts, FORECAST_LOG), "incidents": (stamped, INCIDENT_LOG)}, folder)
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    live_of = lambda: refresh_live_state(spark, folder, str(tmp_path / "state"))
+    score_stream(with_defaults(stream), index, str(tmp_path / "out"), str(tmp_path / "mark"), live=live_of).awaitTermination()
+    batch = trips.trip_records(trips.score_trips(with_defaults(frame), index, forecasts, incidents))
+    got = spark.read.parquet(str(tmp_path / "out")).select(*batch.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))

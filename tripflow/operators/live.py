@@ -56,9 +56,8 @@ def incident_summary(incident_log: DataFrame) -> DataFrame:
     )
 
 
-def summary_bump(incident_log: DataFrame) -> Column:
-    """The incident summary with its bump, as a scalar subquery usable on any table."""
-    summary = incident_summary(incident_log)
+def summary_bump(summary: DataFrame) -> Column:
+    """The one-row incident summary with its bump, as a scalar subquery usable on any table."""
     bump = incident_bump(F.col("events"), F.col("any_lane"), F.col("two_lanes"))
     return summary.select(F.struct("events", bump.alias("bump"))).scalar()
 

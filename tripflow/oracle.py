@@ -731,6 +731,7 @@ add(
     with_parts("incidents")
     + "SELECT CAST(event_id AS VARCHAR) AS id FROM incidents WHERE ts >= TIMESTAMP '2024-01-21'",
 )
+add("live_state_scores", _scored + "SELECT trip_id, round(p_final, 5) AS p_final, round(mph, 5) AS effective_mph FROM eta")
 _accepted = f"""SELECT trip_id, request_ts, CASE kind WHEN 4 THEN 'US-1' ELSE road END AS road,
     CASE kind WHEN 4 THEN 45e0 ELSE freeflow END AS freeflow, CASE kind WHEN 4 THEN 1.2e0 ELSE path_factor END AS path_factor,
     CASE kind WHEN 4 THEN 33.5e0 ELSE olat END AS olat, CASE kind WHEN 4 THEN -84e0 ELSE olon END AS olon,

@@ -21,7 +21,7 @@ from tripflow.functions.scoring import (
     rush_hour_bump,
     speed_multiplier,
 )
-from tripflow.operators.live import forecast_moments, live_adjustment, summary_bump
+from tripflow.operators.live import forecast_moments, incident_summary, live_adjustment, summary_bump
 from tripflow.operators.nearest_station import StationIndex, nearest_stations, weighted_mean
 from tripflow.operators.nearest_time import build_time_index, nearest_in_time
 from tripflow.operators.routes import route_for, route_payload, used_miles
@@ -47,17 +47,15 @@ def adjusted_for_departure(trips: DataFrame, region: str) -> DataFrame:
     return trips.withColumn("depart_utc", depart).withColumn("p_time", clamp01(F.col("p_base") + rush_hour_bump(local)))
 
 
-def adjusted_for_live(
-    trips: DataFrame, forecast_log: DataFrame | None, incident_log: DataFrame | None
-) -> DataFrame:
-    """Adds ``p_final`` and the ``live`` details."""
-    if forecast_log is not None:
-        index = build_time_index(forecast_moments(forecast_log))
+def adjusted_for_live(trips: DataFrame, moments: DataFrame | None, summary: DataFrame | None) -> DataFrame:
+    """Adds ``p_final`` and the ``live`` details, from forecast moments and the one-row incident summary."""
+    if moments is not None:
+        index = build_time_index(moments)
         trips = nearest_in_time(trips, index, F.col("depart_utc")).withColumn("weather", F.col("nearest.row")).drop("nearest")
     else:
         trips = trips.withColumn("weather", F.lit(None).cast("struct<description:string,bump:double>"))
-    if incident_log is not None:
-        trips = trips.withColumn("incidents", summary_bump(incident_log))
+    if summary is not None:
+        trips = trips.withColumn("incidents", summary_bump(summary))
     else:
         trips = trips.withColumn("incidents", F.lit(None).cast("struct<events:bigint,bump:double>"))
     return (
@@ -76,14 +74,22 @@ def score_trips(
     incident_log: DataFrame | None = None,
     routes: DataFrame | None = None,
     region: str = "UTC",
+    live: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Typed requests (see ``with_defaults``) to one wide row per trip.
 
+    ``live`` are forecast moments and incident summary that are kept already, in
+    place of the logs they are made from.
+
     Trips without a station in reach keep their row: probability, speed and ETA
     are null.
     """
     trips = adjusted_for_departure(base_probability(requests, stations), region)
-    trips = adjusted_for_live(trips, forecast_log, incident_log)
+    moments, summary = live or (
+        forecast_moments(forecast_log) if forecast_log is not None else None,
+        incident_summary(incident_log) if incident_log is not None else None,
+    )
+    trips = adjusted_for_live(trips, moments, summary)
     if routes is not None:
         trips = route_for(trips, routes)
     else:

@@ -24,10 +24,11 @@ from tripflow.operators.nearest_station import (
     save_station_index,
 )
 from tripflow.plans import training, trips
-from tripflow.schemas import CATEGORICAL_FEATURES, HEARTBEAT_LOG, INCIDENT_LOG, LABEL, NUMERIC_FEATURES
+from tripflow.schemas import CATEGORICAL_FEATURES, FORECAST_LOG, HEARTBEAT_LOG, INCIDENT_LOG, LABEL, NUMERIC_FEATURES
 from tripflow.session import new_folder
 from tripflow.sources import logs, payloads, requests, station_files
 from tripflow.streaming import door
+from tripflow.streaming.live_state import refresh_live_state
 from tripflow.streaming.ingest import ingest_stream, log_rows
 from tripflow.streaming.score import score_stream
 
@@ -446,7 +447,8 @@ def incident_summary(spark, sf_dir):
 def live_bump(spark, sf_dir):
     rows = fx.requests(spark, sf_dir).withColumn("p_time", F.col("trip_id") % 90 / 100.0)
     rows = rows.withColumn("depart_utc", F.col("request_ts"))
-    adjusted = trips.adjusted_for_live(rows, fx.forecast_log(spark, sf_dir), fx.incident_log(spark, sf_dir))
+    moments, summary = live.forecast_moments(fx.forecast_log(spark, sf_dir)), live.incident_summary(fx.incident_log(spark, sf_dir))
+    adjusted = trips.adjusted_for_live(rows, moments, summary)
     return adjusted.select("trip_id", "live.live_used", "live.nws_bump", "live.ga511_bump", "live.ga511_events", *_rounded("p_final"))
 
 
@@ -726,6 +728,25 @@ def stream_heartbeat(spark, sf_dir):
     return _heartbeat_view(logs.read_log(spark, f"{_ingest(spark, sf_dir)}/heartbeats", HEARTBEAT_LOG))
 
 
+@query
+def live_state_scores(spark, sf_dir):
+    """Trips against a live state that took the logs in as two batches."""
+    folder = new_folder(spark, "live")
+    middle = F.lit("2024-01-16").cast("timestamp")
+    for number, part in enumerate((F.col("snapshot_utc") < middle, F.col("snapshot_utc") >= middle)):
+        forecasts, incidents = fx.forecast_log(spark, sf_dir).where(part), fx.incident_log(spark, sf_dir).where(part)
+        logs.append_logs({"forecasts": (forecasts, FORECAST_LOG), "incidents": (incidents, INCIDENT_LOG)}, f"{folder}/logs", number)
+        state = refresh_live_state(spark, f"{folder}/logs", f"{folder}/state")
+    scored = trips.score_trips(
+        requests.with_defaults(fx.requests(spark, sf_dir)),
+        station_index(spark, sf_dir),
+        routes=routes.normalise_routes(fx.route_responses(spark, sf_dir)),
+        region="America/New_York",
+        live=(state.moments, state.summary),
+    )
+    return scored.select("trip_id", *_rounded("p_final", "effective_mph", digits=5))
+
+
 @query
 def request_job(spark, sf_dir):
     """Landed bodies to results, rejects and unscored trips; stations in the north only, so some trips see none."""
