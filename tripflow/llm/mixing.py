@@ -20,13 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import documents, mix64, numbered, stored, with_columns
+from tripflow.llm.common import documents, numbered, stored, with_columns
 
 #: probabilities this near to 0 or 1 are settled
 SETTLED = 1e-9
 #: open documents that share in one move
 WINDOW = 32
-STEEPEST = 0.25
 #: documents a group starts with, and groups merged at each further level
 GROUP_ROWS = 1 << 14
 FAN_IN = 1 << 10
@@ -66,44 +65,43 @@ def source_targets(sizes: DataFrame, repeats: int) -> DataFrame:
 def null_direction(head: float, others: np.ndarray) -> np.ndarray:
     """How ``others`` move per unit that the head moves, so that count and words stay.
 
-    The smallest such move. Where the others are too unlike the head for both,
-    one of them would have to move by more than ``STEEPEST``; then the words stay
-    and the count gives way.
+    The smallest such move; all of one size move alike.
     """
     n, mean = len(others), others.mean()
     spread = ((others - mean) ** 2).sum()
     if spread > 0:
-        both = -1 / n - (others - mean) * (head - mean) / spread
-        if np.abs(both).max() <= STEEPEST:
-            return both
-    elif head == mean:
-        return np.full(n, -1 / n)
-    squares = (others**2).sum()
-    return -head * others / squares if squares else np.full(n, -1 / n)
+        return -1 / n - (others - mean) * (head - mean) / spread
+    return np.full(n, -1 / n)
 
 
 def flight(size: np.ndarray, prob: np.ndarray, seed: int, land: bool) -> np.ndarray:
     """Settled probabilities, all but two at most; with ``land`` those too.
 
     Documents are settled from the largest to the smallest. The head moves along
-    the null-space of the constraints over itself and the next ``WINDOW`` open
-    documents until one of them reaches 0 or 1; which way is drawn so that every
+    the null-space of the constraints over itself, the next ``WINDOW`` open
+    documents and the smallest one until one of them reaches 0 or 1; which way is drawn so that every
     probability keeps its mean. The last open document is the smallest, so its
-    draw hardly changes a total.
+    draw hardly changes a total. A larger one after which all others are of one
+    size is drawn alone, or without ``land`` left open.
     """
     order = np.argsort(-size, kind="stable")
     sizes, out = size[order].astype(float), prob[order].astype(float)
     coins = np.random.default_rng(seed).random(2 * len(out) + 1).tolist()
     left = int(((out > 0) & (out < 1)).sum())
 
+    last = len(out) - 1
+
     def following(at: int) -> np.ndarray:
-        """The next open documents, from those that directly follow to any later one."""
+        """The next open documents, from those that directly follow to any later one, and the last."""
+        nonlocal last
+        while last > at and not 0 < out[last] < 1:
+            last -= 1
         reach = 2 * WINDOW
         while True:
-            near = np.arange(at + 1, min(at + 1 + reach, len(out)))
+            near = np.arange(at + 1, min(at + 1 + reach, last + 1))
             near = near[(out[near] > 0) & (out[near] < 1)][:WINDOW]
-            if len(near) or at + reach >= len(out):
-                return near
+            if len(near) or at + reach >= last:
+                return np.append(near, last) if len(near) and near[-1] != last else near
             reach *= 2
 
     for head in range(len(out)):
@@ -112,6 +110,8 @@ def flight(size: np.ndarray, prob: np.ndarray, seed: int, land: bool) -> np.ndar
         if not 0 < out[head] < 1:
             continue
         while 0 < out[head] < 1 and len(rest := following(head)):
+            if sizes[rest[0]] == sizes[rest[-1]] != sizes[head]:
+                break  # all others are of one size, so no move keeps both totals
             group = np.concatenate([[head], rest])
             direction = np.concatenate([[1.0], null_direction(sizes[head], sizes[rest])])
             speed = np.maximum(np.abs(direction), 1e-300)
@@ -124,7 +124,7 @@ def flight(size: np.ndarray, prob: np.ndarray, seed: int, land: bool) -> np.ndar
             done[np.argmin(np.minimum(moved, 1 - moved))] = True
             out[group] = np.where(done, np.round(moved), moved)
             left -= int(done.sum())
-        if 0 < out[head] < 1:
+        if 0 < out[head] < 1 and (land or not len(following(head))):
             out[head] = float(coins.pop() < out[head])
             left -= 1
     settled = np.empty(len(out))
@@ -133,25 +133,28 @@ def flight(size: np.ndarray, prob: np.ndarray, seed: int, land: bool) -> np.ndar
 
 
 def copies(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """(row_id, copies) for rows (row_id, source, size); ``targets`` from ``source_targets``."""
+    """(row_id, copies) for rows (row_id, key, source, size); ``targets`` from ``source_targets``.
+
+    Draws follow ``key``, so they do not depend on how rows are dealt over files
+    and tasks; rows of one key are interchangeable.
+    """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = targets.select(F.col("source").alias("name"), "place", ratio.alias("ratio"), "n_docs")
     units = sizes.join(goal, sizes["source"].eqNullSafe(goal["name"])).select(
         "row_id",
+        "key",
         "size",
         "place",
         F.floor("ratio").cast("int").alias("whole"),
         (F.col("ratio") - F.floor("ratio")).alias("prob"),
-        F.pmod(F.xxhash64("row_id", F.lit(seed)), F.ceil(F.col("n_docs") / GROUP_ROWS)).alias("grp"),
+        F.pmod(F.xxhash64("key", F.lit(seed)), F.ceil(F.col("n_docs") / GROUP_ROWS)).alias("grp"),
     )
-    schema = "row_id long, size long, place int, whole int, prob double, grp long"
+    schema = "row_id long, key long, size long, place int, whole int, prob double, grp long"
 
     def settle(land: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("row_id", kind="stable")
             key = zlib.crc32(f"{seed}/{pdf['place'].iat[0]}/{pdf['grp'].iat[0]}/{land}".encode())
-            # row ids are scattered so that equal sizes are not taken in table order
-            pdf = pdf.iloc[np.argsort(mix64(pdf["row_id"].to_numpy()), kind="stable")]
+            pdf = pdf.sort_values(["key", "row_id"], kind="stable")
             return pdf.assign(prob=flight(pdf["size"].to_numpy(), pdf["prob"].to_numpy(), key, land))
 
         return run
@@ -173,7 +176,10 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
 
 def _sized(docs: DataFrame, keep: list[str] | None) -> DataFrame:
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    return numbered(docs, keep, source=source, size=size_of(F.col("text")))
+    doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    # rows without an id are told apart by their place, lest one key holds many of them
+    key = F.xxhash64(doc_id, "text", F.when(doc_id.isNull(), F.monotonically_increasing_id()))
+    return numbered(docs, keep, source=source, key=key, size=size_of(F.col("text")))
 
 
 def mix(docs: DataFrame, repeats: int = 3, seed: int = 0) -> DataFrame:
@@ -181,11 +187,13 @@ def mix(docs: DataFrame, repeats: int = 3, seed: int = 0) -> DataFrame:
 
     A null source is a source of its own; a null or empty text has no words and
     is balanced by its count alone, in a source without words it is not taken.
-    Rows are units by position, so ties and repeated rows are drawn one by one.
+    Ties and repeated rows are drawn one by one. The draw follows the rows' ids
+    and texts, so it is the same however the table is dealt over tasks; only rows
+    without an id are drawn by position.
     An empty table stays empty.
     """
     table = _sized(docs, None)
-    narrow = table.select("row_id", "source", "size")
+    narrow = table.select("row_id", "key", "source", "size")
     targets = stored(source_targets(narrow, repeats), "targets")
     drawn = copies(narrow, targets, seed).where("copies > 0")
     rows = table.select("row_id", "doc").join(drawn.hint("shuffle_hash"), "row_id")
@@ -194,7 +202,7 @@ def mix(docs: DataFrame, repeats: int = 3, seed: int = 0) -> DataFrame:
 
 def op2_mixing(spark, sf_dir):
     table = _sized(documents(spark, sf_dir), ["doc_id"])
-    narrow = table.select("row_id", "source", "size")
+    narrow = table.select("row_id", "key", "source", "size")
     targets = stored(source_targets(narrow, 3), "targets")
     drawn = copies(narrow, targets, 0)
     goal = targets.select(F.col("source").alias("name"), "source_size", "target")
