@@ -49,6 +49,27 @@ def test_long_documents_are_encoded_in_part(counter):
     assert tree.encoded < 1000 < tree.pieces
 
 
+def test_leaves_split_and_merge(counter):
+    text = " ".join(f"word{i % 50}" for i in range(3000))
+    tree = TokenTree(text, counter)
+    leaves = len(tree.texts)
+    added = " " + " ".join(f"more{i % 70}" for i in range(100_000)) + " "
+    tree.edit(7000, 7000, added)
+    text = text[:7000] + added + text[7000:]
+    assert tree.text() == text and tree.total == len(counter.encode(text)) and len(tree.texts) > 1000
+    for at in (7000, 7000 + len(added) // 2, 7000 + len(added), 100):
+        before = tree.encoded
+        tree.edit(at, at + 1, "x")
+        text = text[:at] + "x" + text[at + 1 :]
+        assert tree.encoded - before < 1000
+    assert tree.text() == text and tree.total == len(counter.encode(text))
+    tree.edit(7000, 7000 + len(added), "")
+    text = text[:7000] + text[7000 + len(added) :]
+    assert tree.text() == text and tree.total == len(counter.encode(text)) and len(tree.texts) <= 2 * leaves
+    tree.edit(0, len(text), "")
+    assert tree.text() == "" and tree.total == 0 and len(tree.texts) <= 4
+
+
 def apply(text, edits):
     for start, stop, new in edits:
         start = max(0, min(start, len(text)))

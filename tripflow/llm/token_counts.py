@@ -63,13 +63,18 @@ class TokenTree:
         self.counter = counter
         pieces = counter.cut.findall(text)
         self.pieces, self.encoded = len(pieces), 0
+        self.texts: list[str] = []
+        self._place(0, 0, pieces, [])
+
+    def _place(self, first: int, end: int, pieces: list[str], tokens: list[int]) -> None:
+        """Puts leaves of ``pieces`` in place of the leaves ``first`` to ``end``; ``tokens`` are the leaves' counts so far."""
         runs = [pieces[i : i + LEAF_PIECES] for i in range(0, len(pieces), LEAF_PIECES)] or [[]]
-        self.texts = ["".join(run) for run in runs]
-        self.width = 1 << (len(runs) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, run in enumerate(runs):
-            self.chars[self.width + i] = len(self.texts[i])
-            self.tokens[self.width + i] = counter.tokens(run)
+        self.texts[first:end] = ["".join(run) for run in runs]
+        tokens[first:end] = [self.counter.tokens(run) for run in runs]
+        self.width = 1 << (len(tokens) - 1).bit_length()
+        rest = [0] * (self.width - len(tokens))
+        self.chars = [0] * self.width + [len(t) for t in self.texts] + rest
+        self.tokens = [0] * self.width + tokens + rest
         for node in range(self.width - 1, 0, -1):
             self._sum(node)
 
@@ -126,8 +131,12 @@ class TokenTree:
                 break
         end = meets[met]
         self.encoded += len(pieces)
+        slots, full = end - first, -(-len(pieces) // LEAF_PIECES)
+        if full > 2 * slots or slots > 4 * max(1, full):
+            # leaves that the edit has made long are split, many short ones are merged
+            self._place(first, end, pieces, self.tokens[self.width : self.width + len(self.texts)])
+            return
         # as many leaves as before share the new pieces
-        slots = end - first
         share = max(1, -(-len(pieces) // slots))
         for i in range(slots):
             run = pieces[i * share : (i + 1) * share]
