@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,41 @@ def test_nearest_time_newest_copy_wins_and_empty_log(spark):
     assert found.first()["nearest"]["row"]["text"] == "new"
     empty = nt.nearest_in_time(points, nt.build_time_index(moments.where("at < 0")), F.col("t"))
     assert empty.first()["nearest"] is None
+
+
+@pytest.mark.parametrize("wide", [2.0, 1e-3])
+def test_points_are_held_against_few_stations(wide):
+    """A block of points keeps the stations that may count for one of them, spread or in a tight group, and no others."""
+    rnd = np.random.default_rng(5)
+    stations = np.radians(np.stack([33 + wide * rnd.random(3000), -85 + wide * rnd.random(3000)], axis=1))
+    points = np.radians(np.stack([33 + 2 * rnd.random(2000), -85 + 2 * rnd.random(2000)], axis=1))
+    where, places = ns._in_space(*points.T), ns._in_space(*stations.T)
+    for radius, n in ((None, None), (np.zeros(3000), np.ones(3000))):
+        point, entry = ns._near_pairs(where, places, radius, n, 10, float(ns._chord(60.0)))
+        got = set(zip(point.tolist(), entry.tolist()))
+        d = ns._far(where[:, None, :], places[None, :, :])
+        want = np.argsort(d, axis=1)[:, :10]
+        for p, first in enumerate(want):
+            assert all((p, e) in got for e in first[d[p, first] <= ns._chord(60.0)].tolist())
+        assert len(got) == len(point) <= 12 * len(points)
+
+
+@pytest.mark.parametrize("tree_bytes", [1 << 20, 3000])
+def test_many_points_equal_brute_force(spark, tree_bytes):
+    rnd = random.Random(11)
+    rows = [(i, 33.5 + rnd.randrange(40) * 1e-5, -83.5 + rnd.randrange(40) * 1e-5, None if i % 5 == 0 else 0.5) for i in range(600)]
+    rows += [(1000 + i, 33 + rnd.random(), -84 + rnd.random(), 0.5) for i in range(200)]
+    points = [(i, 33 + rnd.random(), -84 + rnd.random()) for i in range(1500)] + [(2000, float("nan"), -84.0), (2001, 33.5, None)]
+    _, got = lookup(spark, points, rows, k=7, max_miles=40.0, tree_bytes=tree_bytes)
+    assert got.pop(2000) == got.pop(2001) == []
+    assert got == brute_force(points[:-2], rows, 7, 40.0)
+
+
+def test_no_stations_and_later_filters(spark):
+    points = [(1, 33.0, -84.0), (2, 34.0, -84.0)]
+    frame = spark.createDataFrame([], "station_id long, lat double, lon double, probability double")
+    index = ns.build_station_index(frame, ["probability"])
+    found = ns.nearest_stations(spark.createDataFrame(points, "i long, lat double, lon double"), index, F.col("lat"), F.col("lon"))
+    assert found.where(F.size("neighbours") == 0).count() == 2
+    # a filter on the result is not pushed into the search, which would then run twice
+    assert found.where(F.size("neighbours") > 0)._jdf.queryExecution().optimizedPlan().toString().count("search(") == 1

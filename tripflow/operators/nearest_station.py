@@ -9,20 +9,26 @@ which distance k stations lie, and what is further away stays closed. Nothing is
 cut short, so the result is exact. How tight the stations stand or from how far
 they are seen does not matter: a point opens some groups of a level, not a list.
 
-The tree is one nested value and points search it in place; they are never
-exploded over stations, grouped or sorted. A tree above a measured size is cut:
-the upper part is searched in place and names the subtrees that a point still
-needs, which are joined to it.
+Points are searched in Arrow batches: those that lie together close groups
+together, and are halved until the pairs of points and entries left are few.
+They are never exploded over stations, grouped or sorted. Up to a measured size
+the entries at the bottom of the tree are handed to every task. A tree above it
+is cut: its upper part names the subtrees that a point still needs, and chunks
+of points are joined with those.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripflow.functions.geo import EARTH_RADIUS_MILES
 from tripflow.session import cut_lineage
@@ -36,6 +42,10 @@ WEIGHT_SOFTENING = 1e-3
 FAN_BITS = 3  # a group holds up to eight
 CURVE_BITS = 24  # cells of the curve are about five feet wide
 SLACK_MILES = 1e-6
+SLACK_CHORD = SLACK_MILES / EARTH_RADIUS_MILES
+# Points are halved until they make no more pairs with entries than this, or are this few; never above the most.
+LEAF_PAIRS, LEAF_POINTS, MOST_PAIRS = 1 << 13, 4, 1 << 18
+CHUNK_BITS = 13  # points that meet a subtree together: up to 8,192
 # Distances closer than this count as equal and are ordered by station id, so
 # that rounding noise in trigonometric functions cannot decide a rank.
 TIE_SCALE = 1e8
@@ -192,51 +202,222 @@ def _kept(points: DataFrame, k: int, max_miles: float) -> DataFrame:
 
 
 def _descended(points: DataFrame, levels: int, k: int, max_miles: float) -> DataFrame:
-    """``_e`` opened ``levels`` times."""
+    """``_e`` opened ``levels`` times, as column expressions: what one point opens, level by level."""
     for _ in range(levels):
         points = _kept(points, k, max_miles).withColumn("_e", F.flatten(F.col("_e.content")))
     return points
 
 
-def _ranked(points: DataFrame, index: StationIndex) -> DataFrame:
-    """Adds ``neighbours``: the stations ``_e`` within reach by distance, then id, up to k.
+def nearest_stations(points: DataFrame, index: StationIndex, lat: Column, lon: Column) -> DataFrame:
+    """``points`` plus ``neighbours``: up to k structs, nearest first; empty if none.
 
     One row generated per point keeps later filters on ``neighbours`` from being
-    pushed into the search, which would repeat it level by level.
+    pushed into the search, which would repeat it.
     """
-    near = F.transform(
-        "_e", lambda e, i: F.struct(F.rint(F.col("_d")[i] * TIE_SCALE).alias("tie"), e["content"].alias("station"), F.col("_d")[i].alias("dist_miles"))
-    )
-    within = F.filter(near, lambda s: s["dist_miles"] <= index.max_miles)
-    first = F.slice(F.sort_array(within), 1, index.k)
-    return _measured(points).select("*", F.inline(F.array(F.struct(first.alias("neighbours")))))
-
-
-def nearest_stations(points: DataFrame, index: StationIndex, lat: Column, lon: Column) -> DataFrame:
-    """``points`` plus ``neighbours``: up to k structs, nearest first; empty or null if none."""
     if index.subtrees is not None:
         return _nearest_in_subtrees(points, index, lat, lon)
-    placed = points.withColumns({"_phi": F.radians(lat), "_theta": F.radians(lon), "_cos": F.cos(F.radians(lat))})
-    placed = placed.withColumn("_e", index.tree.scalar())
-    found = _ranked(_descended(placed, index.levels, index.k, index.max_miles), index)
-    return found.select(*points.columns, "neighbours")
+    bottom = _opened(index.tree, index.levels).select(F.inline("top")).orderBy("content").toArrow()
+    search = _neighbour_search(bottom, _neighbour_type(index.tree, index.levels), index)
+    found = points.withColumn("_found", search(lat.cast("double"), lon.cast("double")))
+    return found.select(*points.columns, F.inline(F.array(F.struct(F.col("_found").alias("neighbours")))))
 
 
 def _nearest_in_subtrees(points: DataFrame, index: StationIndex, lat: Column, lon: Column) -> DataFrame:
     """The same where the tree is cut: points meet the few subtrees that they need, and their finds are merged.
 
     The points are written once with a number each, so that no task that runs
-    again deals other numbers.
+    again deals other numbers. Those of some thousand numbers in a row that need
+    a subtree meet it together, so a subtree is handed on once for all of them
+    and one that many points need is dealt over many rows.
     """
-    own = cut_lineage(points.select(F.monotonically_increasing_id().alias("_row"), F.struct(*points.columns).alias("_point"), lat.alias("_lat"), lon.alias("_lon")))
-    lat, lon = F.col("_lat"), F.col("_lon")
-    placed = own.withColumns({"_phi": F.radians(lat), "_theta": F.radians(lon), "_cos": F.cos(F.radians(lat))})
-    upper = _descended(placed.withColumn("_e", index.tree.scalar()), index.levels, index.k, index.max_miles)
-    wanted = _kept(upper, index.k, index.max_miles).select("_row", "_point", "_phi", "_theta", "_cos", F.explode_outer("_e.content").alias("id"))
-    met = wanted.join(index.subtrees.withColumnRenamed("top", "_e"), "id", "left")
-    found = _ranked(_descended(met, index.sub_levels, index.k, index.max_miles), index)
-    merged = found.groupBy("_row").agg(F.first("_point").alias("_point"), F.flatten(F.collect_list("neighbours")).alias("n"))
-    return merged.select("_point.*", F.slice(F.sort_array("n"), 1, index.k).alias("neighbours"))
+    own = cut_lineage(points.select(F.monotonically_increasing_id().alias("_row"), F.struct(*points.columns).alias("_point"), lat.cast("double").alias("_lat"), lon.cast("double").alias("_lon")))
+    upper = _opened(index.tree, index.levels).select(F.inline("top")).toArrow()
+    wanted = own.select("_row", "_lat", "_lon", F.explode(_subtree_search(upper, index)("_lat", "_lon")).alias("id"))
+    chunks = wanted.groupBy("id", F.shiftright("_row", CHUNK_BITS).alias("_chunk")).agg(F.collect_list(F.struct("_row", "_lat", "_lon")).alias("_points"))
+    held = _opened(index.subtrees, index.sub_levels).select("id", F.array_sort("top", _by_content).alias("top"))
+    kind = _neighbour_type(index.subtrees, index.sub_levels)
+    rows = T.StructType([T.StructField("_row", T.LongType()), T.StructField("neighbours", kind)])
+    found = chunks.join(held, "id").select("_points", "top").mapInArrow(_chunk_search(index), rows)
+    finds = found.groupBy("_row").agg(F.flatten(F.collect_list("neighbours")).alias("n"))
+    merged = finds.select("_row", F.slice(F.sort_array("n"), 1, index.k).alias("n"))
+    none = F.array().cast(kind)
+    return own.join(merged, "_row", "left").select("_point.*", F.coalesce("n", none).alias("neighbours"))
+
+
+def _opened(tree: DataFrame, levels: int) -> DataFrame:
+    """``tree`` with ``top`` opened ``levels`` times: the entries at its bottom."""
+    for _ in range(levels):
+        tree = tree.withColumn("top", F.flatten("top.content"))
+    return tree
+
+
+def _by_content(a: Column, b: Column) -> Column:
+    return F.when(a["content"] < b["content"], -1).when(a["content"] > b["content"], 1).otherwise(0)
+
+
+def _neighbour_type(tree: DataFrame, levels: int) -> T.ArrayType:
+    station = _opened(tree, levels).schema["top"].dataType.elementType["content"].dataType
+    return T.ArrayType(T.StructType([T.StructField("tie", T.DoubleType()), T.StructField("station", station), T.StructField("dist_miles", T.DoubleType())]))
+
+
+def _numbers(column) -> np.ndarray:
+    """An Arrow column of numbers; NaN where it is null."""
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _in_space(phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Places on the unit sphere, where chords take the part of distances."""
+    cos = np.cos(phi)
+    return np.stack([cos * np.cos(theta), cos * np.sin(theta), np.sin(phi)], axis=1)
+
+
+def _chord(miles):
+    """The chord of great-circle miles."""
+    return 2 * np.sin(np.minimum(np.asarray(miles) / (2 * EARTH_RADIUS_MILES), math.pi / 2))
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the differences of the rows of ``a`` and ``b``."""
+    x, y, z = (a[..., i] - b[..., i] for i in range(3))
+    return np.sqrt(x * x + y * y + z * z)
+
+
+def _full_at(ends: np.ndarray, n: np.ndarray | None, k: int) -> np.ndarray:
+    """Within which of ``ends`` (last axis) k stations lie; infinite where there are fewer. Without ``n`` each end holds one."""
+    if n is None:
+        return np.partition(ends, k - 1, axis=-1)[..., k - 1] if ends.shape[-1] >= k else np.full(ends.shape[:-1], np.inf)
+    order = np.argsort(ends, axis=-1)
+    full = np.cumsum(n[order], axis=-1) >= k
+    first = np.argmax(full, axis=-1)[..., None]
+    bound = np.take_along_axis(np.take_along_axis(ends, order, axis=-1), first, axis=-1)
+    return np.where(full[..., -1], bound[..., 0], np.inf)
+
+
+def _near_pairs(points: np.ndarray, places: np.ndarray, radius: np.ndarray | None, n: np.ndarray | None, k: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(point, entry): for each point the entries that may hold one of its k nearest stations within ``reach``, a chord.
+
+    Points that lie together are held against the entries together: what is too
+    far for all of them goes, then they are halved, until the pairs left are few.
+    For stations seen from afar it counts how much their distances from two
+    points differ from each other, not from what they are at the centre: a
+    difference of distances changes by no more than the way times the angle at
+    which they are seen. ``radius`` and ``n`` are null for stations.
+    """
+    pairs = []
+    todo = [(np.arange(len(points)), np.arange(len(places)))] if len(points) and len(places) else []
+    while todo:
+        at, held = todo.pop()
+        low, high = points[at].min(axis=0), points[at].max(axis=0)
+        centre = (low + high) / 2
+        way = _far(points[at], centre).max()
+        d = _far(places[held], centre)
+        r = 0.0 if radius is None else radius[held]
+        bound = min(_full_at(d + r, None if n is None else n[held], k) + 2 * way, reach + way) + SLACK_CHORD
+        near = d - r <= bound
+        held, d = held[near], d[near]
+        if radius is None and len(held) > k:
+            inside = places[held]
+            middle = (inside.min(axis=0) + inside.max(axis=0)) / 2
+            wide = _far(inside, middle).max()
+            away = _far(centre, middle) - wide - way
+            if away > wide:
+                near = d <= _full_at(d, None, k) + 2 * wide * way / away + SLACK_CHORD
+                held = held[near]
+        if not len(held):
+            continue
+        if len(at) > LEAF_POINTS and len(at) * len(held) > LEAF_PAIRS or len(at) * len(held) > MOST_PAIRS and len(at) > 1:
+            axis = int(np.argmax(high - low))
+            order, half = np.argpartition(points[at, axis], len(at) // 2), len(at) // 2
+            todo += [(at[order[:half]], held), (at[order[half:]], held)]
+            continue
+        d = _far(points[at][:, None, :], places[held][None, :, :])
+        r = 0.0 if radius is None else radius[held][None, :]
+        bound = np.minimum(_full_at(d + r, None if n is None else n[held], k), reach) + SLACK_CHORD
+        point, entry = np.nonzero(d - r <= bound[:, None])
+        pairs.append((at[point], held[entry]))
+    if not pairs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*pairs))
+
+
+def _lists(owner: np.ndarray, values: pa.Array, size: int) -> pa.Array:
+    """``values``, which are in the order of their owners, as one list for each of ``size`` owners."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=size))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _nearest_of(lat: np.ndarray, lon: np.ndarray, entries: pa.StructArray, k: int, max_miles: float) -> pa.ListArray:
+    """The ``neighbours`` of each place among entries that are in the order of their stations."""
+    phi, theta = np.radians(lat), np.radians(lon)
+    to_phi, to_theta, to_cos = (_numbers(entries.field(c)) for c in ("phi", "theta", "cos"))
+    sound = np.flatnonzero(np.isfinite(phi) & np.isfinite(theta))
+    point, entry = _near_pairs(_in_space(phi[sound], theta[sound]), _in_space(to_phi, to_theta), None, None, k, float(_chord(max_miles)))
+    point = sound[point]
+    half_lat, half_lon = np.sin((to_phi[entry] - phi[point]) * 0.5), np.sin((to_theta[entry] - theta[point]) * 0.5)
+    chord = half_lat * half_lat + np.cos(phi[point]) * to_cos[entry] * (half_lon * half_lon)
+    miles = np.arcsin(np.sqrt(np.minimum(1.0, chord))) * (2 * EARTH_RADIUS_MILES)
+    tie = np.rint(miles * TIE_SCALE)
+    order = np.lexsort((entry, tie, point))
+    order = order[miles[order] <= max_miles]
+    owner = point[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    order = order[place < k]
+    found = pa.StructArray.from_arrays(
+        [pa.array(tie[order]), entries.field("content").take(pa.array(entry[order])), pa.array(miles[order])], ["tie", "station", "dist_miles"]
+    )
+    return _lists(point[order], found, len(lat))
+
+
+def _one_struct(table: pa.Table) -> pa.StructArray:
+    return pa.StructArray.from_arrays([table[c].combine_chunks() for c in table.column_names], table.column_names)
+
+
+def _neighbour_search(bottom: pa.Table, kind: T.ArrayType, index: StationIndex):
+    """(lat, lon) to ``neighbours`` among all stations."""
+    entries, k, max_miles = _one_struct(bottom), index.k, index.max_miles
+
+    @F.arrow_udf(kind)
+    def search(lat: pa.Array, lon: pa.Array) -> pa.Array:
+        return _nearest_of(_numbers(lat), _numbers(lon), entries, k, max_miles)
+
+    return search
+
+
+def _subtree_search(upper: pa.Table, index: StationIndex):
+    """(lat, lon) to the ids of the subtrees that may hold one of the k nearest stations."""
+    groups, k, max_miles = _one_struct(upper), index.k, index.max_miles
+
+    @F.arrow_udf("array<bigint>")
+    def search(lat: pa.Array, lon: pa.Array) -> pa.Array:
+        phi, theta = np.radians(_numbers(lat)), np.radians(_numbers(lon))
+        sound = np.flatnonzero(np.isfinite(phi) & np.isfinite(theta))
+        places = _in_space(_numbers(groups.field("phi")), _numbers(groups.field("theta")))
+        radius, n = _chord(_numbers(groups.field("radius"))), _numbers(groups.field("n"))
+        point, entry = _near_pairs(_in_space(phi[sound], theta[sound]), places, radius, n, k, float(_chord(max_miles)))
+        order = np.argsort(sound[point], kind="stable")
+        return _lists(sound[point][order], groups.field("content").take(pa.array(entry[order])), len(phi))
+
+    return search
+
+
+def _chunk_search(index: StationIndex):
+    """(points, entries of a subtree) to (row, neighbours) of each point; some chunks at a time are held as results."""
+    k, max_miles = index.k, index.max_miles
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, entries = batch.columns
+            parts, waiting = [], 0
+            for i in range(len(batch)):
+                own, held = (x.slice(i, 1).flatten() for x in (points, entries))
+                found = _nearest_of(_numbers(own.field("_lat")), _numbers(own.field("_lon")), held, k, max_miles)
+                parts.append(pa.RecordBatch.from_arrays([own.field("_row"), found], ["_row", "neighbours"]))
+                waiting += len(own)
+                if waiting >= 1 << CHUNK_BITS or i == len(batch) - 1:
+                    yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                    parts, waiting = [], 0
+
+    return search
 
 
 def neighbour_weight(distance: Column) -> Column:
