@@ -143,7 +143,8 @@ def _innermost(runs: DataFrame) -> DataFrame:
     done, rows = None, runs
     while True:
         for _ in range(LEVELS_PER_ROUND):
-            rows = rows.withColumn("objects", F.flatten(F.transform("objects", _opened)))
+            seen = F.transform("objects", lambda node: F.struct(node.alias("node"), *[x.alias(n) for n, x in zip(("inside", "items"), _inside(node))]))
+            rows = rows.withColumn("objects", F.flatten(F.transform(seen, _opened)))
         rows = cut_lineage(rows.withColumn("_deep", F.coalesce(F.exists("objects", _openable), F.lit(False))))
         closed = rows.where(~F.col("_deep")).drop("_deep")
         done = closed if done is None else done.unionByName(closed)
@@ -175,10 +176,10 @@ def _openable(node: Column) -> Column:
     return inside.isNotNull() | items.isNotNull()
 
 
-def _opened(node: Column) -> Column:
-    """The nodes that take a node's place."""
-    inside, items = _inside(node)
-    return F.when(inside.isNotNull(), F.array(inside)).when(items.isNotNull(), items).otherwise(F.array(node))
+def _opened(seen: Column) -> Column:
+    """The nodes that take a node's place, from the node and what was found in it, looked up once."""
+    inside, items = seen["inside"], seen["items"]
+    return F.when(inside.isNotNull(), F.array(inside)).when(items.isNotNull(), items).otherwise(F.array(seen["node"]))
 
 
 def resolve_coordinates(
