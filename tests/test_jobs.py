@@ -282,3 +282,17 @@ def test_stream_scores_from_the_live_state(spark, index, tmp_path):
     batch = trips.trip_records(trips.score_trips(with_defaults(frame), index, forecasts, incidents))
     got = spark.read.parquet(str(tmp_path / "out")).select(*batch.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_batch_of_one_file_is_dealt_over_tasks(spark, tmp_path):
+    from tripflow.schemas import HEARTBEAT_LOG
+    from tripflow.sources import logs
+    from tripflow.streaming.ingest import ingest_stream, landed_runs
+
+    line = '{"snapshot_utc": "2024-01-02T03:%02d:00Z", "forecast": null, "alerts": "[]", "incidents": "{\\"events\\": [{\\"id\\": 1}]}"}'
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "one.json").write_text("\n".join(line % i for i in range(40)))
+    ingest_stream(landed_runs(spark, str(tmp_path / "runs")), str(tmp_path / "logs"), str(tmp_path / "checkpoint")).awaitTermination()
+    beats = logs.read_log(spark, str(tmp_path / "logs" / "heartbeats"), HEARTBEAT_LOG)
+    assert beats.count() == 40 and beats.agg(F.sum("ga511_events_count")).first()[0] == 40
+    assert beats.select(F.input_file_name()).distinct().count() > 1

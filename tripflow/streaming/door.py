@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tripflow.operators.nearest_station import StationIndex
 from tripflow.plans.trips import score_trips, trip_records
 from tripflow.schemas import REJECT_RECORD, REQUEST_BODY, TRIP_RECORD
+from tripflow.session import spread
 from tripflow.sources.commits import read_table, write_batch
 from tripflow.sources.logs import stream_id
 from tripflow.sources.requests import parse_requests
@@ -46,7 +47,7 @@ def serve_requests(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_requests(batch).persist()
+        parsed = parse_requests(spread(batch)).persist()
         try:
             trips = score_trips(
                 parsed.where("reason is null").drop("reason"),

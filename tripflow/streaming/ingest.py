@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripflow.operators.live import heartbeat_rows
 from tripflow.schemas import ALERT_LOG, FORECAST_LOG, HEARTBEAT_LOG, INCIDENT_LOG, RUN_RECORD
+from tripflow.session import spread
 from tripflow.sources.logs import append_logs, stream_id
 from tripflow.sources.payloads import feature_rows, incident_rows, object_rows, parsed_runs, period_rows
 
@@ -41,11 +42,12 @@ def ingest_stream(runs: DataFrame, log_folder: str, checkpoint: str) -> Streamin
     """Start a run that takes everything landed so far and then stops.
 
     The logs of a batch appear together, in place of what an earlier try of the
-    batch wrote, so a batch repeated after a failure leaves no duplicates.
+    batch wrote, so a batch repeated after a failure leaves no duplicates. A
+    batch of few files is dealt over all cores.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        logs = {name: (rows, LOG_SCHEMAS[name]) for name, rows in log_rows(batch).items()}
+        logs = {name: (rows, LOG_SCHEMAS[name]) for name, rows in log_rows(spread(batch)).items()}
         append_logs(logs, log_folder, batch_id, stream_id(batch))
 
     return (

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripflow.operators.nearest_station import StationIndex
 from tripflow.plans.trips import score_trips, trip_records
+from tripflow.session import spread
 from tripflow.sources.logs import replace_batch, stream_id
 from tripflow.streaming.live_state import LiveState
 
@@ -30,13 +31,14 @@ def score_stream(
     The station index is built once. Logs and routes are read anew for every
     batch, so each batch sees the live state of its time; with ``live``, a
     refresh of the kept state, a batch reads only what the logs got since. A repeated batch
-    replaces its own partition, and streams may share a result folder.
+    replaces its own partition, and streams may share a result folder. A batch of
+    few files is dealt over all cores.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         state = live() if live else None
         trips = score_trips(
-            batch,
+            spread(batch),
             stations,
             forecast_log() if forecast_log else None,
             incident_log() if incident_log else None,
