@@ -109,6 +109,24 @@ def test_full_filters_and_parted_stripes_change_nothing(spark, docs_like, monkey
     assert got == brute(rows)
 
 
+def test_rows_that_are_shuffled_follow_texts_not_phrases(spark):
+    rng = random.Random(6)
+    tokens = [f"w{rng.randrange(3000)}".encode() for _ in range(60_000)]
+    full = co.np.full(16, -1, dtype=co.np.int64).view(co.np.uint64)
+    empty = co.np.zeros(16, dtype=co.np.uint64)
+    for m, crowded in ((1, empty), (2, empty), (1, full)):
+        made = co.count(tokens, "en", m, full, crowded)
+        assert len(made) <= co.BUNDLES
+        grams = Counter()
+        for stripes in made.column("stripes").to_pylist():
+            for line in stripes.split(b"\n"):
+                prefix, entries = line.split(b"\t")
+                entries = entries.split(b" ")
+                for word, n in zip(entries[::2], entries[1::2]):
+                    grams[(*prefix.split(b" "), word)] += int(n)
+        assert grams == Counter(tuple(tokens[i : i + m + 1]) for i in range(len(tokens) - m))
+
+
 def test_odd_rows(spark, odd, none, docs_like):
     assert found(co.collocations(odd)) == brute([(lang, t) for _, t, lang, _ in ODD_ROWS])
     assert co.collocations(none).count() == 0

@@ -1,8 +1,8 @@
 """Phrase collocations by stripes.
 
 A stripe belongs to a prefix of 0 to 3 words and counts the words that follow
-it. Each task makes stripes of the texts it reads; they are shuffled as such and
-merged elementwise. The entries of the merged stripes are the counts of all
+it. Each task makes stripes of the texts it reads; they are shuffled in bundles
+and merged elementwise. The entries of the merged stripes are the counts of all
 extensions, a prefix's total is its own entry in the stripe one word shorter, and
 the largest entry that extends a phrase by a word, before or after, decides
 whether it is subsumed. A longer phrase that subsumes a shorter one has a part
@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -36,6 +36,8 @@ FREQUENT, LONGEST, FIRST = 30, 4, 2000
 SUBSUMED = 80
 #: a prefix of this count or more has its stripe in parts, by the next word; parts of it and of the empty prefix's
 CROWDED, PARTS, VOCABULARY_PARTS = 20_000, 64, 256
+#: bundles in which the stripes of a language are shuffled
+BUNDLES = 256
 #: bits of the filter for each phrase, at most altogether; probes
 BITS, MOST_BITS, PROBES = 12, 1 << 27, 4
 #: bytes of text that a task counts at once
@@ -91,9 +93,11 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def count(tokens: list[bytes], lang: str, m: int, bitmap: np.ndarray | None, crowded: np.ndarray | None) -> pa.RecordBatch:
-    """Stripes (lang, prefix, part, entries) of prefixes of ``m`` words, those that ``crowded`` passes in parts.
+    """Bundles (lang, bundle, stripes) of stripes of prefixes of ``m`` words, those that ``crowded`` passes in parts.
 
-    ``entries`` has each next word and its count, all with a blank between.
+    A stripe is a line: the prefix, a tab, and each next word and its count, all
+    with a blank between. No word holds a tab or a line break. A bundle has the
+    stripes of many prefixes, so rows follow texts, not phrases.
     """
     coded = pa.array(tokens, pa.binary()).dictionary_encode()
     codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
@@ -125,29 +129,34 @@ def count(tokens: list[bytes], lang: str, m: int, bitmap: np.ndarray | None, cro
     first = np.empty(len(pairs), dtype=np.int64)
     first[nth[::-1]] = at[::-1]
     prefix, after = pairs // v, (pairs % v).astype(np.int64)
-    parts = np.full(len(pairs), VOCABULARY_PARTS, dtype=np.uint64)
     if m:
         h = own[codes[first]]
         for i in range(1, m):
             h = _extended(h, hashes[codes[first + i]])
         parts = np.where(_passes(h, crowded), np.uint64(PARTS), np.uint64(1))
-    part = (mix64(hashes[after]) % parts).astype(np.int64)
-    order = np.lexsort((part, prefix))
-    prefix, after, part, counts, first = (x[order] for x in (prefix, after, part, counts, first))
-    starts = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])) if len(prefix) else np.zeros(0, int)
+        bundle = _extended(h, mix64(hashes[after]) % parts) % np.uint64(BUNDLES)
+    else:
+        bundle = mix64(hashes[after]) % np.uint64(VOCABULARY_PARTS)
+    bundle = bundle.astype(np.int64)
+    order = np.lexsort((prefix, bundle))
+    prefix, after, bundle, counts, first = (x[order] for x in (prefix, after, bundle, counts, first))
+    starts = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (bundle[1:] != bundle[:-1])])) if len(prefix) else np.zeros(0, int)
     numbers, count_at = np.unique(counts, return_inverse=True)
     told = pa.concat_arrays([coded.dictionary, pa.array([b"%d" % c for c in numbers.tolist()], pa.binary())])
     entries = told.take(pa.array(np.column_stack([after, v + count_at]).ravel()))
     entries = pa.ListArray.from_arrays(pa.array(2 * np.append(starts, len(prefix)), pa.int32()), entries)
     named = codes[first[starts][:, None] + np.arange(m)].tolist() if len(starts) else []
+    prefixes = pa.array([b" ".join([words[c] for c in p]) for p in named], pa.binary())
+    lines = pc.binary_join_element_wise(prefixes, pc.binary_join(entries, b" "), b"\t")
+    held = bundle[starts]
+    heads = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, int)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([lang] * len(starts), pa.string()),
-            pa.array([b" ".join([words[c] for c in p]) for p in named], pa.binary()),
-            pa.array(part[starts], pa.int32()),
-            pc.binary_join(entries, b" "),
+            pa.array([lang] * len(heads), pa.string()),
+            pa.array(held[heads], pa.int32()),
+            pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(heads, len(held)), pa.int32()), lines), b"\n"),
         ],
-        ["lang", "prefix", "part", "entries"],
+        ["lang", "bundle", "stripes"],
     )
 
 
@@ -174,19 +183,25 @@ def _counter(m: int, bitmap: np.ndarray | None, crowded: np.ndarray | None) -> C
 def stripes(texts: DataFrame, m: int, known: DataFrame | None = None) -> DataFrame:
     """(lang, prefix, next, f): entries of the merged stripes of prefixes of ``m`` words, over rows (lang, text binary).
 
-    ``known`` are the frequent phrases of ``m`` words. Stripes are dealt by
-    prefix and part, so that a crowded prefix is not one task's; merging them
-    needs no further exchange.
+    ``known`` are the frequent phrases of ``m`` words. A prefix is of one bundle,
+    but for a crowded one, whose parts are dealt over bundles so that it is not
+    one task's; merging needs no further exchange.
     """
     filters = (None, None) if known is None else (membership(known), membership(known.where(F.col("f") >= CROWDED)))
-    made = texts.mapInArrow(_counter(m, *filters), "lang string, prefix binary, part int, entries binary")
-    dealt = made.repartition("lang", "prefix", "part")
-    own = dealt.withColumn("own", F.split(F.col("entries").cast("string"), " "))
-    places = F.sequence(F.lit(0), F.size("own") - 2, F.lit(2))
-    entry = F.transform(places, lambda i: F.struct(F.col("own")[i].alias("next"), F.col("own")[i + 1].cast("long").alias("n")))
-    entries = own.select("lang", "prefix", "part", F.inline(entry))
-    merged = entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("f"))
-    return merged.select("lang", "prefix", "next", "f")
+    made = texts.mapInArrow(_counter(m, *filters), "lang string, bundle int, stripes binary")
+    dealt = made.repartition("lang", "bundle")
+
+    def entries(stripe: Column) -> Column:
+        own = stripe["own"]
+        places = F.sequence(F.lit(0), F.size(own) - 2, F.lit(2))
+        return F.transform(places, lambda i: F.struct(stripe["prefix"].alias("prefix"), own[i].alias("next"), own[i + 1].cast("long").alias("n")))
+
+    # each line is split once, and so is what follows its tab
+    lines = F.transform(F.split(F.col("stripes").cast("string"), "\n"), lambda line: F.split(line, "\t"))
+    held = F.transform(lines, lambda line: F.struct(line[0].alias("prefix"), F.split(line[1], " ").alias("own")))
+    told = dealt.select("lang", "bundle", F.inline(F.flatten(F.transform(held, entries))))
+    merged = told.groupBy("lang", "bundle", "prefix", "next").agg(F.sum("n").alias("f"))
+    return merged.select("lang", F.col("prefix").cast("binary").alias("prefix"), "next", "f")
 
 
 def membership(phrases: DataFrame) -> np.ndarray:
