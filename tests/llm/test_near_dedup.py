@@ -155,6 +155,43 @@ def test_links_within_a_small_bucket_are_all_found(spark):
     assert links.count() == 7 and {r["root"] for r in nd.components(links).collect()} == {0}
 
 
+def in_one_bucket(spark, monkeypatch, docs_like, docs):
+    """The classes of texts that all share one bucket, which no finer bucket cuts."""
+
+    def one_bucket(heads):
+        n = heads.count()
+        return heads.select(nd.F.lit(7).cast("long").alias("bucket"), nd.F.lit(7).cast("long").alias("finer"), "row_id", nd.F.lit(n).cast("long").alias("n"), nd.F.lit(n).cast("long").alias("met"))
+
+    monkeypatch.setattr(nd, "shared_buckets", one_bucket)
+    table = nd.numbered(docs_like([(i, t, "en", "src0") for i, t in docs]), ["doc_id"], text=nd.F.col("text"))
+    found = table.join(nd.classes(table), "row_id").select("doc.doc_id", "class_row").toPandas().set_index("doc_id").class_row
+    first = {}
+    return {i: first.setdefault(found[i], i) for i in sorted(found.index)}
+
+
+def test_links_between_members_of_a_crowded_bucket_that_lead_nothing(spark, monkeypatch, docs_like):
+    rng = random.Random(5)
+    docs = []
+    for k in range(30):
+        text = [f"own{k}w{rng.randrange(200)}" for _ in range(100)]
+        docs += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text[:50], "edit", *text[51:]]))]
+    assert in_one_bucket(spark, monkeypatch, docs_like, docs) == {i: i - i % 2 for i, _ in docs}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_classes_of_a_crowded_bucket_are_exact(spark, monkeypatch, docs_like, seed):
+    rng = random.Random(seed)
+    docs, common = [], [f"common{i}" for i in range(30)]
+    for i in range(120):
+        if i % 6 == 0:
+            base = common + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(10, 120))]
+        text = [f"e{rng.randrange(9)}" if rng.random() < 0.02 else w for w in base[: len(base) - rng.randrange(8)]]
+        docs.append((i, " ".join(text)))
+    want, _ = brute_classes(docs)
+    assert 20 < len(set(want.values())) < 110
+    assert in_one_bucket(spark, monkeypatch, docs_like, docs) == want
+
+
 @pytest.mark.parametrize("n", [200, 400])
 def test_pairs_grow_with_members(spark, docs_like, n):
     rng = random.Random(4)

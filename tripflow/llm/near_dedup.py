@@ -13,9 +13,14 @@ compared with its leader, the member that shares most places with others: in a
 group of edited copies that is the least edited, which most of them are like.
 Where a bucket is not of one class then, its members are compared with further
 leaders, and once more in finer buckets, which the bands that follow cut out of
-it. A document is compared with a bounded number of others for each band, so
-pairs grow with documents however alike they are; what is compared in vain costs
-no more in a crowd.
+it. Up to here a document is compared with a bounded number of others for each
+band, so pairs grow with documents however alike they are.
+
+What is left are buckets that are still of several classes. Their members meet
+once more by shingles, exactly: two that are similar share most shingles of both,
+so they share one of the rarest few of each, and only shingles that occur in
+several classes can join two. Classes are therefore those of all similar texts
+that share a bucket, however crowded it is.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -271,6 +276,52 @@ def further_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return _ordered(pairs, "x", "y")
 
 
+def _needed(n: Column) -> Column:
+    """How many of ``n`` shingles a text has in common with any that is similar to it, at least."""
+    return F.ceil(n * SIMILARITY - 1e-6)
+
+
+def _labelled_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_id, root, shingles) per row (row_id, root, text)."""
+    for batch in batches:
+        own = [labelled(shingles(word_hashes(text))).view(np.int64) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_id"), batch.column("root"), pa.array(own, pa.list_(pa.int64()))], ["row_id", "root", "shingles"]
+        )
+
+
+def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct (a, b) of different roots in larger buckets that can be similar; no similar pair is left out.
+
+    ``roots`` are (node, root) of the links so far, ``texts`` (row_id, text) of
+    all members. Similar texts have ``_needed`` labelled shingles in common, and
+    all of these occur under both roots. So a text with too few that occur under
+    several roots is done, and of the others, in one order of all shingles with
+    those under one root first, then by frequency, the first n - needed + 1 of
+    both have one in common.
+    """
+    large = shared.where(F.col("n") > SMALL).select("bucket", "row_id").join(roots.toDF("row_id", "root"), "row_id", "left")
+    large = large.withColumn("root", F.coalesce("root", "row_id"))
+    several = large.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    left = large.join(several.select("bucket"), "bucket").select("row_id", "root").distinct()
+    told = texts.join(left, "row_id").select("row_id", "root", "text").mapInArrow(_labelled_shingles, "row_id long, root long, shingles array<long>")
+    own = stored(told.select("row_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    common = own.groupBy("shingle").agg(F.count("*").alias("f"), F.min("root").alias("low"), F.max("root").alias("high"))
+    met = own.join(common.where("low < high").select("shingle", "f"), "shingle")
+    in_order = W.partitionBy("row_id").orderBy("f", "shingle")
+    met = met.withColumns({"place": F.row_number().over(in_order), "met": F.count("*").over(W.partitionBy("row_id"))})
+    # those under one root come first and join nothing
+    met = met.withColumn("at", F.col("place") + F.col("n") - F.col("met"))
+    first = met.where((F.col("met") >= _needed(F.col("n"))) & (F.col("at") <= F.col("n") - _needed(F.col("n")) + 1))
+    first = stored(first.select("shingle", "row_id", "root", "n", "at"), "rarest")
+    x, y = (first.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("row_id", "root", "n", "at")]) for side in "xy")
+    # where the first shingle in common stands tells how many can be, and both sizes how many must be
+    can = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) + 1
+    must = F.ceil((F.col("n_x") + F.col("n_y")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    met = x.join(y, "shingle").where("row_id_x < row_id_y and root_x != root_y").where(can >= must)
+    return _ordered(met, "row_id_x", "row_id_y")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for links (a, b): the smallest node that each node is joined to by links.
 
@@ -313,8 +364,9 @@ def classes(table: DataFrame) -> DataFrame:
     """(row_id, n_links, class_row) for rows (row_id, text) of a stored table.
 
     ``class_row`` is the smallest row of the group, ``n_links`` the links that
-    were found between the row's words and other words. Not all members of a
-    crowded bucket are compared, so in a large group there can be more.
+    were found between the row's words and other words. Members of a crowded
+    bucket that are known to be of one class are not all compared, so there can
+    be more links within a large group, but none between two groups.
     """
     sketched = stored(
         table.select("row_id", "text").mapInArrow(_sketch, "row_id long, words_key binary, bands array<long>"), "sketches"
@@ -333,9 +385,14 @@ def classes(table: DataFrame) -> DataFrame:
     pairs = stored(first_pairs(shared), "pairs")
     links = verify(pairs)
     roots = components(links)
-    more = verify(further_pairs(shared, roots).join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(more)
+    further = stored(further_pairs(shared, roots).join(pairs, ["a", "b"], "left_anti"), "further")
+    links = links.union(verify(further))
     roots = components(links)
+    # the exact way for what leaders do not reach
+    rest = verify(remaining_pairs(shared, roots, texts).join(pairs.union(further), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.union(rest)
+        roots = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n_links"))
     roots = roots.toDF("head", "class_row")
     told = heads.select("words_key", F.col("row_id").alias("head")).join(ends, "head", "left").join(roots, "head", "left")
