@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tripflow.llm import lm_score as lm
@@ -61,6 +62,65 @@ def model_of(texts):
     return lm.Model(packed)
 
 
+def test_slots_do_not_depend_on_blocks(monkeypatch):
+    lines = [b"the cat", b"", b"x" * 3000, "Ä 12 mats ate the ünlikely dog ".encode() * 40 + b"end"]
+    flat, firsts, ends = lm.joined_lines(lines)
+    whole = lm.slots(flat)
+    read = []
+    alone = lm._slots
+    monkeypatch.setattr(lm, "_slots", lambda part: read.append(len(part)) or alone(part))
+    monkeypatch.setattr(lm, "BLOCK", 64)
+    assert all((a == b).all() for a, b in zip(whole, lm.slots(flat)))
+    # a word of many blocks is not read anew for each of them
+    assert len(read) > 5 and sum(read) < 4 * len(flat)
+    apart = lm.joined([lm.symbols(line.split(b" ") if line else []) for line in lines])
+    assert all((a == b).all() for a, b in zip((flat, firsts, ends), apart))
+
+
+def test_counts_of_16_bits_lose_nothing(monkeypatch):
+    cells = np.concatenate([np.full(200_000, 7), np.arange(1 << 20), np.full(70_000, (1 << 20) - 1)])
+    counts = lm.Counts(15)
+    counts.add(cells)
+    counts.add(cells[:100])
+    want = np.bincount(np.concatenate([cells, cells[:100]]))
+    assert (np.concatenate(list(counts.parts())) == want).all()
+    # a worker's tables
+    assert counts.table.nbytes == 2 * len(want)
+
+
+def test_a_worker_holds_few_texts(monkeypatch):
+    held = []
+
+    class Known(dict):
+        def get(self, word, other=None):
+            return None
+
+    class Reader:
+        def read(self, flat, firsts, ends):
+            held.append(len(flat))
+            return np.zeros(len(firsts))
+
+    monkeypatch.setattr(lm, "_loaded", lambda model, frequent: (Reader(), Known()))
+    monkeypatch.setattr(lm, "CHUNK", 1000)
+    texts = ["some words here " * 10, None, "", "a"] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], ["doc_id", "text"])
+    got = pa.Table.from_batches(lm._apply(None, None)([batch, batch.slice(0, 0)]))
+    assert got["doc_id"].to_pylist() == list(range(400))
+    assert got["n_words"].to_pylist() == [len(lm.tokens(t)) for t in texts]
+    assert len(held) > 10 and max(held) < 1500
+
+
+def test_texts_come_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with lm._small_batches(spark):
+        sizes = spark.range(5000).coalesce(1).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long"
+        ).collect()
+    assert max(r["n"] for r in sizes) <= lm.BATCH and sum(r["n"] for r in sizes) == 5000
+    assert spark.conf.get(name) == before
+
+
 def test_scores_do_not_depend_on_neighbours():
     model = model_of(["the cat sat on the mat"] * 3)
     texts = [lm.symbols(lm.tokens(t)) for t in ("the cat", "", "a dog ate the mat " * 700, "the mat", "the cat")]

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -41,9 +43,9 @@ PAD = max(back for back, _ in CONTEXTS)
 #: slots of 32 counts in a block that is summed as one
 BLOCK_SLOTS = 1 << 11
 #: symbols read before weights start anew, symbols between two updates, windows that advance together
-WINDOW, STEP, LANES = 4096, 32, 128
-#: symbols prepared at once
-CHUNK = 1 << 21
+WINDOW, STEP, LANES = 4096, 32, 256
+#: symbols prepared at once, and those whose slots are worked out together
+CHUNK, BLOCK = 1 << 20, 1 << 14
 #: first weights by context: where long contexts are unknown, one is known, both are
 FIRST_WEIGHTS = np.array(
     [[0.4, 0.4, 0.4, 0.1, 0.1], [0.2, 0.3, 0.2, 0.4, 0.2], [0.2, 0.3, 0.2, 0.2, 0.4], [0.1, 0.1, 0.15, 0.45, 0.3]],
@@ -52,35 +54,54 @@ FIRST_WEIGHTS = np.array(
 WEIGHT_RATE, TABLE_RATE = 0.008, 0.05
 #: tables hold log odds in sixteenths
 SCALE = 16
+#: documents in an Arrow batch at most
+BATCH = 1000
 #: input splits that one task counts, where that leaves every core a task
 SPLITS_PER_TASK = 4
 #: words whose counts every task knows, each of so many bytes at most; the rest is joined
 FREQUENT, FREQUENT_BYTES = 1 << 18, 64
 
-_SYMBOL = np.full(256, ESCAPE, dtype=np.uint8)
-_SYMBOL[np.frombuffer(COMMON, dtype=np.uint8)] = np.arange(len(COMMON))
+_SYMBOL = bytes(COMMON.index(b) if b in COMMON else ESCAPE for b in range(256))
 _END_SYMBOL = len(COMMON) - 1
-# the path of each symbol through a tree of 31 inner nodes: nodes 1 to 31 and the bit taken at each
-_BITS = np.array([[(s >> (4 - d)) & 1 for s in range(32)] for d in range(5)], dtype=np.float32)
+# the path of each symbol through a tree of 31 inner nodes: nodes 1 to 31
 _NODES = np.array([[(32 + s) >> (5 - d) for s in range(32)] for d in range(5)], dtype=np.int64)
+_UP = np.arange(5, 0, -1, dtype=np.uint8)[:, None, None]
+_DOWN = _UP - np.uint8(1)
+_GATES = np.arange(len(FIRST_WEIGHTS), dtype=np.uint8)
 
 
 def tokens(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case."""
-    return text.encode("utf-8", "replace").translate(LOWER).split() if text else []
+    return _tokens(text.encode("utf-8", "replace")) if text else []
+
+
+def _tokens(data: bytes | None) -> list[bytes]:
+    return data.translate(LOWER).split() if data else []
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """The UTF-8 of a batch's texts, one text at a time: a batch may hold thousands of long ones."""
+    return (text.as_py() for text in batch.column("text").cast(pa.binary()))
 
 
 def symbols(words: list[bytes]) -> np.ndarray:
     """The 5-bit symbols of words, spaces and the end mark."""
-    data = np.frombuffer(b" ".join(words) + END, dtype=np.uint8)
-    first = _SYMBOL[data]
+    return _escaped(b" ".join(words) + END)[0]
+
+
+def _escaped(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, bytes that take three of them)."""
+    first = np.frombuffer(data.translate(_SYMBOL), dtype=np.uint8)
     rare = np.flatnonzero(first == ESCAPE)
     if not len(rare):
-        return first
-    out = np.insert(first, np.repeat(rare + 1, 2), 0)
+        return first, rare
     at = rare + 2 * np.arange(len(rare))
-    out[at + 1], out[at + 2] = data[rare] >> 4, data[rare] & 15
-    return out
+    out, plain = np.empty(len(first) + 2 * len(rare), dtype=np.uint8), np.ones(len(first) + 2 * len(rare), dtype=bool)
+    plain[at + 1] = plain[at + 2] = False
+    out[plain] = first
+    byte = np.frombuffer(data, dtype=np.uint8)[rare]
+    out[at + 1], out[at + 2] = byte >> 4, byte & 15
+    return out, rare
 
 
 def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,16 +112,50 @@ def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return flat, ends - [len(t) for t in texts], ends
 
 
+def joined_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``joined`` symbols of texts that are given as words with single spaces, without the end mark."""
+    flat, rare = _escaped(b"".join(x for line in lines for x in (END * PAD, line, END)))
+    size = np.array([len(line) + 1 for line in lines])
+    ends = np.cumsum(size + PAD)
+    firsts = ends - size
+    return flat, firsts + 2 * np.searchsorted(rare, firsts), ends + 2 * np.searchsorted(rare, ends)
+
+
 def slots(flat: np.ndarray) -> list[np.ndarray]:
     """For each context the table slot at each position."""
+    out = [np.empty(len(flat), dtype=np.int32) for _ in CONTEXTS]
+    begins = np.flatnonzero(np.concatenate([[True], (flat[:-1] == 0) | (flat[:-1] == _END_SYMBOL)]))
+    a = 0
+    while a < len(flat):
+        # what a block looks back on: some symbols and the word it begins in; within a long word blocks double
+        word = int(begins[np.searchsorted(begins, a, side="right") - 1])
+        first = max(min(a - PAD, word), 0)
+        b = a + max(BLOCK, a - first)
+        for whole, part in zip(out, _slots(flat[first:b])):
+            whole[a:b] = part[a - first :]
+        a = b
+    return out
+
+
+def _slots(flat: np.ndarray) -> Iterator[np.ndarray]:
+    """``slots`` of a short run of symbols."""
     n = len(flat)
-    out = []
+    # the last 1, 2, 4, 8 symbols, the latest in the lowest bits
+    last = {1: np.zeros(n, dtype=np.uint64)}
+    last[1][1:] = flat[:-1]
+    k = 1
+    while 2 * k <= PAD:
+        last[2 * k] = last[k].copy()
+        last[2 * k][k:] |= last[k][:-k] << np.uint64(5 * k)
+        k *= 2
     with np.errstate(over="ignore"):
         for back, bits in CONTEXTS:
             if back:
-                h = np.zeros(n, dtype=np.uint64)
-                for i in range(1, back + 1):
-                    h[i:] |= flat[:-i].astype(np.uint64) << np.uint64(5 * (i - 1))
+                h, done = np.zeros(n, dtype=np.uint64), 0
+                for k in last:
+                    if back & k:
+                        h[done:] |= last[k][: n - done] << np.uint64(5 * done)
+                        done += k
                 if bits < 5 * back:
                     h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
             else:
@@ -109,8 +164,7 @@ def slots(flat: np.ndarray) -> list[np.ndarray]:
                 stop = (flat == 0) | (flat == _END_SYMBOL)
                 start = np.maximum.accumulate(np.where(np.concatenate([[True], stop[:-1]]), np.arange(n), 0))
                 h = mix64((sums[:-1] - sums[start]) * down[start]) >> np.uint64(64 - bits)
-            out.append(h.astype(np.int64))
-    return out
+            yield h.astype(np.int32)
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -128,21 +182,51 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 # ---- learning -------------------------------------------------------------------
 
 
+class Counts:
+    """How often each symbol followed in each slot of a context: 16 bits each, and what those do not hold apart."""
+
+    #: steps in which counts move to ``more``; as many symbols at most are added before counts are looked at
+    FULL = 1 << 15
+
+    def __init__(self, bits: int):
+        self.table, self.more = np.zeros(32 << bits, dtype=np.uint16), Counter()
+
+    def add(self, cells: np.ndarray) -> None:
+        for a in range(0, len(cells), self.FULL):
+            some = cells[a : a + self.FULL]
+            np.add.at(self.table, some, np.uint16(1))
+            full = some[self.table.take(some) >= self.FULL]
+            if len(full):
+                full = np.unique(full)
+                self.table[full] -= np.uint16(self.FULL)
+                self.more.update(full.tolist())
+
+    def parts(self) -> Iterator[np.ndarray]:
+        """The counts of each block of slots."""
+        each = 32 * min(BLOCK_SLOTS, len(self.table) // 32)
+        apart = sorted(self.more)
+        for a in range(0, len(self.table), each):
+            part = self.table[a : a + each].astype(np.uint32)
+            for cell in apart[bisect_left(apart, a) : bisect_left(apart, a + each)]:
+                part[cell - a] += np.uint32(self.more[cell] * self.FULL)
+            yield part
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (task, block, packed counts, word, n): what a task counted; words are sent whenever many are held."""
     from pyspark import TaskContext
 
-    tables = [np.zeros(32 << bits, dtype=np.uint32) for _, bits in CONTEXTS]
+    counts = [Counts(bits) for _, bits in CONTEXTS]
     task, vocabulary, waiting, size = TaskContext.get().partitionId(), Counter(), [], 0
     names = ["task", "block", "packed", "word", "n"]
 
     def count() -> None:
-        flat, firsts, ends = joined(waiting)
+        flat, firsts, ends = joined_lines(waiting)
         real = np.ones(len(flat), dtype=bool)
         for i in range(1, PAD + 1):
             real[firsts - i] = False
-        for table, slot in zip(tables, slots(flat)):
-            np.add.at(table, (slot * 32 + flat)[real], np.uint32(1))
+        for own, slot in zip(counts, slots(flat)):
+            own.add(((slot << 5) | flat)[real].astype(np.intp))
 
     def said() -> pa.RecordBatch:
         k = len(vocabulary)
@@ -157,13 +241,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names,
         )
 
+    _CACHE.clear()  # a model that this worker read with earlier
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            w = tokens(text)
+        for text in _each(batch):
+            w = _tokens(text)
             vocabulary.update(w)
             vocabulary[END] += 1
-            waiting.append(symbols(w))
-            size += len(waiting[-1])
+            waiting.append(b" ".join(w))
+            size += len(waiting[-1]) + 1
             if size > CHUNK:
                 count()
                 waiting, size = [], 0
@@ -175,8 +260,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if vocabulary:
         yield said()
     block = 0
-    for table in tables:
-        for part in table.reshape(-1, 32 * min(BLOCK_SLOTS, len(table) // 32)):
+    for own in counts:
+        for part in own.parts():
             if part.any():
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -231,11 +316,13 @@ class Model:
         self.tables, block = [], 0
         for _, bits in CONTEXTS:
             count, each = blocks_of(bits)
-            table = np.zeros((count, 32 * each), dtype=np.int8)
+            # a slot's row of 32 bytes never crosses a cache line
+            space = np.zeros((32 << bits) + 64, dtype=np.int8)
+            table = space[-space.ctypes.data % 64 :][: 32 << bits].reshape(count, 32 * each)
             for i in range(count):
                 if block + i in packed:
                     table[i] = np.frombuffer(zlib.decompress(packed[block + i]), np.int8)[: 32 * each]
-            self.tables.append(table.reshape(-1))
+            self.tables.append(table.reshape(-1, 32))
             block += count
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -247,59 +334,88 @@ class Model:
             while upto < len(texts) and (size < CHUNK or upto == at):
                 size += len(texts[upto])
                 upto += 1
-            flat, firsts, ends = joined(texts[at:upto])
-            where = slots(flat)
-            owner, start, end = [], [], []
-            for i, (a, b) in enumerate(zip(firsts.tolist(), ends.tolist())):
-                cuts = list(range(a, b, WINDOW))
-                owner += [i] * len(cuts)
-                start += cuts
-                end += [*cuts[1:], b]
-            owner, start, end = np.array(owner), np.array(start), np.array(end)
-            order = np.argsort(start - end, kind="stable")  # the longest first
-            for k in range(0, len(order), LANES):
-                lanes = order[k : k + LANES]
-                np.add.at(out, at + owner[lanes], self._read(flat, where, start[lanes], end[lanes]))
+            out[at:upto] = self.read(*joined(texts[at:upto]))
             at = upto
         return out
 
+    def read(self, flat: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Natural-log probability of each of the joined texts."""
+        out = np.zeros(len(firsts))
+        where = slots(flat)
+        owner, start, end = [], [], []
+        for i, (a, b) in enumerate(zip(firsts.tolist(), ends.tolist())):
+            cuts = list(range(a, b, WINDOW))
+            owner += [i] * len(cuts)
+            start += cuts
+            end += [*cuts[1:], b]
+        owner, start, end = np.array(owner), np.array(start), np.array(end)
+        order = np.argsort(start - end, kind="stable")  # the longest first
+        for k in range(0, len(order), LANES):
+            lanes = order[k : k + LANES]
+            np.add.at(out, owner[lanes], self._read(flat, where, start[lanes], end[lanes]))
+        return out
+
     def _read(self, flat: np.ndarray, where: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of each window, all read side by side; windows come longest first."""
         lanes, c, gates = len(start), len(CONTEXTS), len(FIRST_WEIGHTS)
-        weights = np.repeat(FIRST_WEIGHTS[None], lanes, axis=0)
+        # predictions stay in units of 1 / SCALE, which weights and their rate make up for
+        weights = np.repeat(FIRST_WEIGHTS[None] / np.float32(SCALE), lanes, axis=0)
+        rate = np.float32(WEIGHT_RATE) / np.float32(SCALE * SCALE)
         refine = np.repeat(np.linspace(-8, 8, 33, dtype=np.float32)[None], lanes, axis=0)
         total = np.zeros(lanes)
         length = end - start
         ahead = np.arange(STEP)
         one, half = np.float32(1), np.float32(0.5)
+        n = -1
         for t in range(0, int(length[0]), STEP):
-            n = int(np.searchsorted(-length, -t, side="left"))  # windows that still have symbols
+            left = int(np.searchsorted(-length, -t, side="left"))  # windows that still have symbols
+            if left != n:
+                n = left
+                x, gain = np.empty((c, 5, n, STEP), dtype=np.float32), np.empty((c, n, STEP), dtype=np.float32)
+                z, seen, part, wrong = (np.empty((5, n, STEP), dtype=np.float32) for _ in range(4))
+                node, cell = (np.empty((5, n, STEP), dtype=np.int64) for _ in range(2))
+                odds, fetched = np.empty((5, n, STEP), dtype=np.int8), np.empty((n, STEP, 32), dtype=np.int8)
+                rows = np.arange(0, n * STEP * 32, 32).reshape(n, STEP)
+                gate, row = np.arange(0, n * gates, gates)[:, None], np.arange(0, n * 33, 33)[:, None]
             at = start[:n, None] + (t + ahead)[None]
-            mask = (at < end[:n, None]).astype(np.float32)
+            mask = at < end[:n, None]
             np.minimum(at, len(flat) - 1, out=at)
             symbol = flat.take(at)
-            path, bit = _NODES.take(symbol, axis=1), _BITS.take(symbol, axis=1)
-            x = np.empty((c, 5, n, STEP), dtype=np.float32)
+            np.add((symbol | 32) >> _UP, rows, out=node)
+            # half a 1, the sign that of the bit not taken
+            np.subtract(half, (symbol >> _DOWN) & 1, out=wrong)
+            met = []
             for i in range(c):
-                x[i] = self.tables[i].take(path + (where[i].take(at) << 5))
-            x *= np.float32(1 / SCALE)
-            known = (x[LONG, 0] != 0) + 2 * (x[WORD, 0] != 0)
-            own = known + np.arange(0, n * gates, gates)[:, None]
+                # the slots' rows first: each is fetched once, not once for every node
+                self.tables[i].take(where[i].take(at), axis=0, out=fetched, mode="clip")
+                fetched.take(node, out=odds, mode="clip")
+                x[i] = odds
+                met.append((odds[0] != 0).view(np.uint8))
+            known = met[LONG] + 2 * met[WORD]
+            own = known + gate
             w = weights[:n].reshape(n * gates, c).T
-            z = x[0] * w[0].take(own)
+            np.multiply(x[0], w[0].take(own), out=z)
             for i in range(1, c):
-                z += x[i] * w[i].take(own)
+                z += np.multiply(x[i], w[i].take(own), out=part)
             np.clip(z, -8, 8, out=z)
-            cell = np.rint((z + np.float32(8)) * np.float32(2)).astype(np.int64)
-            cell += np.arange(0, n * 33, 33)[:, None]
+            np.add(z, np.float32(8), out=part)
+            part *= np.float32(2)
+            np.add(np.rint(part, out=part).astype(np.int64), row, out=cell)
             # a step's symbols see weights and table as they were before the step
-            seen = refine[:n].reshape(-1).take(cell)
-            against = np.exp((z + seen) * (half - bit))  # odds of the wrong bit
-            total[:n] -= (np.log(one + against).sum(axis=0) * mask).sum(axis=1, dtype=np.float64)
-            error = against / (one + against) * (bit + bit - one) * mask
-            gain = np.stack([(error * x[i]).sum(axis=0) for i in range(c)], axis=2)
-            chosen = (known[:, None, :] == np.arange(gates)[None, :, None]).astype(np.float32)
-            weights[:n] += np.float32(WEIGHT_RATE) * (chosen @ gain)
+            refine[:n].reshape(-1).take(cell, out=seen, mode="clip")
+            z += seen
+            z *= wrong
+            against = np.exp(z, out=z)  # odds of the wrong bit
+            np.add(against, one, out=part)
+            total[:n] -= (np.log(part, out=seen).sum(axis=0) * mask).sum(axis=1, dtype=np.float64)
+            against /= part
+            wrong *= np.float32(-2)
+            against *= wrong
+            error = np.multiply(against, mask, out=against)
+            for i in range(c):
+                np.multiply(error, x[i], out=part).sum(axis=0, out=gain[i])
+            chosen = (known[:, None, :] == _GATES[None, :, None]).astype(np.float32)
+            weights[:n] += rate * (chosen @ gain.transpose(1, 2, 0))
             moved = np.bincount(cell.ravel(), error.ravel(), minlength=n * 33)
             refine[:n] += (TABLE_RATE * moved).reshape(n, 33).astype(np.float32)
         return total
@@ -316,34 +432,27 @@ def held_out() -> Column:
 def _apply(model, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, known = _loaded(model, frequent)
-        for batch in batches:
-            rows, texts = [], []
-            for text in batch.column("text").to_pylist():
-                w = tokens(text)
-                texts.append(symbols(w))
-                found, rare, total = 0, [], 0.0
-                for t in w:
-                    log = known.get(t)
-                    if log is None:
-                        rare.append(t)
-                    else:
-                        found += 1
-                        total += log
-                rows.append((len(w), found, total, rare, len(b" ".join(w)) + 1))
-            scores = lm.score(texts) / math.log(10) if texts else []
+        names = ["doc_id", "n_words", "n_frequent", "frequent_log", "rare", "bytes", "score"]
+
+        def scored(ids: pa.Array, rows: list[tuple], lines: list[bytes]) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.int64()]
             columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(columns[0], pa.int64()),
-                    pa.array(columns[1], pa.int64()),
-                    pa.array(columns[2], pa.float64()),
-                    pa.array(columns[3], pa.list_(pa.binary())),
-                    pa.array(columns[4], pa.int64()),
-                    pa.array(scores, pa.float64()),
-                ],
-                ["doc_id", "n_words", "n_frequent", "frequent_log", "rare", "bytes", "score"],
-            )
+            scores = pa.array(lm.read(*joined_lines(lines)) / math.log(10) if lines else [], pa.float64())
+            return pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, types)], scores], names)
+
+        for batch in batches:
+            ids, rows, lines, at, size = batch.column("doc_id"), [], [], 0, 0
+            for text in _each(batch):
+                w = _tokens(text)
+                lines.append(b" ".join(w))
+                logs = list(map(known.get, w))
+                rare = [t for t, log in zip(w, logs) if log is None]
+                rows.append((len(w), len(w) - len(rare), math.fsum(filter(None, logs)), rare, len(lines[-1]) + 1))
+                size += len(lines[-1]) + 1
+                if size >= CHUNK:
+                    yield scored(ids.slice(at, len(rows)), rows, lines)
+                    at, rows, lines, size = at + len(rows), [], [], 0
+            yield scored(ids.slice(at), rows, lines)
 
     return run
 
@@ -366,6 +475,18 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(short).orderBy(F.desc("c"), "word").limit(most)
 
 
+@contextmanager
+def _small_batches(spark) -> Iterator[None]:
+    """What runs inside sends texts to Python in batches of BATCH rows at most: thousands of long ones fill an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, before if 0 < int(before) < BATCH else str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int = FREQUENT) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) per row of ``docs``.
 
@@ -381,9 +502,10 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int
     # a task's tables have one size whatever it reads, so a few splits are counted together
     splits = learn_from.rdd.getNumPartitions()
     together = learn_from.select("text").coalesce(max(spark.sparkContext.defaultParallelism, splits // SPLITS_PER_TASK, 1))
-    gathered = stored(
-        together.mapInArrow(_gather, "task int, block int, packed binary, word binary, n long"), "counts"
-    )
+    with _small_batches(spark):
+        gathered = stored(
+            together.mapInArrow(_gather, "task int, block int, packed binary, word binary, n long"), "counts"
+        )
     counts = stored(
         gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary"
     )
@@ -407,7 +529,8 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int
         _apply(model, frequent),
         f"doc_id {id_type}, n_words long, n_frequent long, frequent_log double, rare array<binary>, bytes long, score double",
     )
-    rows = numbered(read, ["doc_id"], **{c: F.col(c) for c in read.columns[1:]})
+    with _small_batches(spark):
+        rows = numbered(read, ["doc_id"], **{c: F.col(c) for c in read.columns[1:]})
     rare = rows.select("row_id", F.explode("rare").alias("word")).groupBy("row_id", "word").agg(F.count("*").alias("tf"))
     known = (
         rare.join(counts, "word")
