@@ -195,6 +195,15 @@ def test_odd_rows(odd, none):
     assert lm.score_documents(none, odd).count() == 0
 
 
+def test_counts_of_many_tasks_are_summed_in_two_levels(odd, monkeypatch):
+    learn = odd.repartition(7)
+    plain = sorted(tuple(r) for r in lm.score_documents(odd.where("doc_id > 0"), learn).collect())
+    monkeypatch.setattr(lm, "TOGETHER", 0)
+    monkeypatch.setattr(lm, "SPLITS_PER_TASK", 1)
+    got = sorted(tuple(r) for r in lm.score_documents(odd.where("doc_id > 0"), learn).collect())
+    assert np.array(got) == pytest.approx(np.array(plain))
+
+
 def test_query_has_a_row_for_each_document(spark, small):
     got = lm.op6_lm_score(spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(small["documents"].doc_id)

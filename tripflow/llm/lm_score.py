@@ -58,6 +58,8 @@ SCALE = 16
 BATCH = 1000
 #: input splits that one task counts, where that leaves every core a task
 SPLITS_PER_TASK = 4
+#: tasks whose counts of a block are summed at once
+TOGETHER = 64
 #: words whose counts every task knows, each of so many bytes at most; the rest is joined
 FREQUENT, FREQUENT_BYTES = 1 << 18, 64
 
@@ -435,7 +437,7 @@ def _apply(model, frequent):
         names = ["doc_id", "n_words", "n_frequent", "frequent_log", "rare", "bytes", "score"]
 
         def scored(ids: pa.Array, rows: list[tuple], lines: list[bytes]) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.map_(pa.binary(), pa.int64()), pa.int64()]
             columns = list(zip(*rows)) or [()] * 5
             scores = pa.array(lm.read(*joined_lines(lines)) / math.log(10) if lines else [], pa.float64())
             return pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, types)], scores], names)
@@ -447,7 +449,8 @@ def _apply(model, frequent):
                 lines.append(b" ".join(w))
                 logs = list(map(known.get, w))
                 rare = [t for t, log in zip(w, logs) if log is None]
-                rows.append((len(w), len(w) - len(rare), math.fsum(filter(None, logs)), rare, len(lines[-1]) + 1))
+                found, total = len(w) - len(rare), math.fsum(filter(None, logs))
+                rows.append((len(w), found, total, list(Counter(rare).items()), len(lines[-1]) + 1))
                 size += len(lines[-1]) + 1
                 if size >= CHUNK:
                     yield scored(ids.slice(at, len(rows)), rows, lines)
@@ -512,10 +515,11 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int
     v, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     packs = gathered.where("block is not null")
     tasks = packs.agg(F.max("task")).first()[0] or 0
-    # two levels, so that a group holds about the square root of the tasks' packs
-    salt = (F.col("task") % (math.isqrt(tasks) + 1)).alias("salt")
-    halves = packs.groupBy("block", salt).applyInPandas(_partly, "block int, packed binary")
-    whole = halves.groupBy("block").applyInPandas(_wholly, "block int, packed binary").toArrow()
+    if tasks >= TOGETHER:
+        # two levels, so that a group holds about the square root of the tasks' packs
+        salt = (F.col("task") % (math.isqrt(tasks) + 1)).alias("salt")
+        packs = packs.groupBy("block", salt).applyInPandas(_partly, "block int, packed binary")
+    whole = packs.select("block", "packed").groupBy("block").applyInPandas(_wholly, "block int, packed binary").toArrow()
     blocks = dict(zip(whole["block"].to_pylist(), whole["packed"].to_pylist()))
     digest = zlib.crc32(b"".join(blocks[k] for k in sorted(blocks)))
     top = most_frequent(counts, frequent_words).toArrow()
@@ -527,11 +531,11 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, frequent_words: int
     id_type = dict(docs.dtypes)["doc_id"]
     read = docs.select("doc_id", "text").mapInArrow(
         _apply(model, frequent),
-        f"doc_id {id_type}, n_words long, n_frequent long, frequent_log double, rare array<binary>, bytes long, score double",
+        f"doc_id {id_type}, n_words long, n_frequent long, frequent_log double, rare map<binary,long>, bytes long, score double",
     )
     with _small_batches(spark):
         rows = numbered(read, ["doc_id"], **{c: F.col(c) for c in read.columns[1:]})
-    rare = rows.select("row_id", F.explode("rare").alias("word")).groupBy("row_id", "word").agg(F.count("*").alias("tf"))
+    rare = rows.select("row_id", F.explode("rare").alias("word", "tf"))
     known = (
         rare.join(counts, "word")
         .groupBy("row_id")
